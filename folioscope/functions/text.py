@@ -95,26 +95,6 @@ def cleaned_lines(c: Column, headers: Iterable[str]) -> Column:
     return drop_repeats(collapse_bullets(kept))
 
 
-def line_blocks(lines: Column, size: int) -> Column:
-    """Every run of ``size`` neighbouring lines, as one string each."""
-    return let(
-        lines,
-        lambda a: F.when(F.size(a) < size, F.array().cast("array<string>")).otherwise(
-            F.transform(
-                F.sequence(F.lit(1), F.size(a) - (size - 1)),
-                lambda i: F.array_join(F.slice(a, i, size), "\n"),
-            )
-        ),
-    )
-
-
-def has_repeated_block(lines: Column, size: int) -> Column:
-    return let(
-        line_blocks(lines, size),
-        lambda b: F.size(b) > F.size(F.array_distinct(b)),
-    )
-
-
 def cut_at_line(text: Column, titles: Iterable[str]) -> Column:
     """Text before the first line that equals one of ``titles``."""
     names = list(titles)

@@ -8,19 +8,24 @@ it is appended to its predecessor (overlap included).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.text import let, strip
-from ..functions.tokens import Tokenizer, word_count, word_pieces
+from ..functions.tokens import Tokenizer, WordTokenizer, word_count, word_pieces
+from .arrow import map_column
 from .ordered import running_sums
 
 PAGE_BUCKET = 256
+CHUNK_LIST = T.ArrayType(
+    T.StructType(
+        [T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType())]
+    )
+)
 
 
 @dataclass(frozen=True)
@@ -135,21 +140,6 @@ def chunk_with(tokenizer: Tokenizer, text: str, size: ChunkSize) -> list[tuple[s
     return [(p, len(tokenizer.encode(p))) for p in parts]
 
 
-def chunk_array_with(text: Column, tokenizer: Tokenizer, size: ChunkSize = DEFAULT_SIZE) -> Column:
-    """As ``chunk_array`` with a plug-in tokenizer; each text is one row."""
-
-    @F.pandas_udf("array<struct<text:string,n_tokens:int>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(
-                lambda t: [
-                    {"text": p, "n_tokens": n} for p, n in chunk_with(tokenizer, t or "", size)
-                ]
-            )
-
-    return cut(text)
-
-
 def split_into_chunks(
     df: DataFrame,
     text: str = "text",
@@ -159,12 +149,17 @@ def split_into_chunks(
 ) -> DataFrame:
     """One row per chunk of each text: ``keep..., chunk_no (from 1), text, token_count``."""
     if tokenizer is None and size.closed_form:
-        chunks = chunk_array(F.col(text), size)
+        rows = df.select(*keep, chunk_array(F.col(text), size).alias("_chunks"))
     else:
-        from ..functions.tokens import WordTokenizer
-
-        chunks = chunk_array_with(F.col(text), tokenizer or WordTokenizer(), size)
-    return df.select(*keep, F.posexplode(chunks).alias("_pos", "_chunk")).select(
+        tool = tokenizer or WordTokenizer()
+        rows = map_column(
+            df.select(*keep, F.col(text).alias("_text")),
+            "_chunks",
+            CHUNK_LIST,
+            ["_text"],
+            lambda t: [{"text": p, "n_tokens": n} for p, n in chunk_with(tool, t or "", size)],
+        )
+    return rows.select(*keep, F.posexplode("_chunks").alias("_pos", "_chunk")).select(
         *keep,
         (F.col("_pos") + 1).alias("chunk_no"),
         F.col("_chunk.text").alias("text"),

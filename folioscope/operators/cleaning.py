@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import text as X
+from .arrow import map_column
 
 
 def _skip_seen_blocks(text: str, size: int) -> str:
@@ -29,27 +30,17 @@ def _skip_seen_blocks(text: str, size: int) -> str:
     return "\n".join(kept)
 
 
-def skip_seen_blocks(text: Column, size: int = K.BLOCK_LINES) -> Column:
+def dedupe_blocks(df: DataFrame, text: str = "text", size: int = K.BLOCK_LINES) -> DataFrame:
     """Drop a block of lines that was seen before on the page.
 
     Each skip moves the scan, so blocks depend on earlier skips: this is the
     one cleaning step that needs Python.
     """
 
-    @F.pandas_udf("string")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: None if t is None else _skip_seen_blocks(t, size))
-
-    return scan(text)
+    def scan(value: str | None) -> str | None:
+        return None if value is None else _skip_seen_blocks(value, size)
 
-
-def dedupe_blocks(df: DataFrame, text: str = "text", size: int = K.BLOCK_LINES) -> DataFrame:
-    """Apply :func:`skip_seen_blocks`; only texts that hold a repeat go to Python."""
-    repeated = X.has_repeated_block(F.split(F.col(text), "\n", -1), size)
-    marked = df.withColumn("_again", F.when(repeated, F.col(text)))
-    done = marked.withColumn("_once", skip_seen_blocks(F.col("_again"), size))
-    return done.withColumn(text, F.coalesce("_once", text)).drop("_again", "_once")
+    return map_column(df, text, T.StringType(), [text], scan)
 
 
 def clean_lines(
