@@ -78,6 +78,11 @@ def terms_sql(column: str) -> str:
     return f"list_filter({found}, lambda t: len(t) > 1 OR regexp_matches(t, '^[0-9]$'))"
 
 
+def upper_sql(expression: str) -> str:
+    """Upper case with the sharp s written as two letters."""
+    return f"upper(replace({expression}, 'ß', 'ss'))"
+
+
 def strip_sql(expression: str) -> str:
     return rf"regexp_replace({expression}, '^\s+|\s+$', '', 'g')"
 

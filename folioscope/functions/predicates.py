@@ -77,11 +77,7 @@ def is_profile_heading(c: Column) -> Column:
 
 def has_excluded_word(title: Column, words: Iterable[str] = K.EXCLUDED_TITLE_WORDS) -> Column:
     """Any of the words occurs inside the upper-cased title."""
-    upper = F.upper(title)
-    test = F.lit(False)
-    for word in words:
-        test = test | upper.contains(word)
-    return test
+    return F.upper(title).rlike("|".join(words))
 
 
 def is_excluded_title(title: Column, titles: Iterable[str] = K.EXCLUDED_SECTIONS) -> Column:

@@ -12,9 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Python's str methods see it: Unicode white space plus the
-# four ASCII separators.
-WS = r"[\s\x1c-\x1f]"
-NOT_WS = r"[^\s\x1c-\x1f]"
+# four ASCII separators.  Spelled out, because Java's \s knows ASCII only and
+# its Unicode mode looks up a property per character.
+_SPACES = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+WS = f"[{_SPACES}]"
+NOT_WS = f"[^{_SPACES}]"
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -24,17 +29,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove white space at both ends (``trim`` keeps no-break spaces)."""
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Remove white space at both ends (plain ``trim`` removes spaces only)."""
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+\z", "")
+    return F.rtrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def squeeze(c: Column) -> Column:
     """Every run of white space becomes one space."""
-    return F.regexp_replace(c, rf"(?U){WS}+", " ")
+    return F.regexp_replace(c, rf"{WS}+", " ")
 
 
 def lines_of(c: Column) -> Column:

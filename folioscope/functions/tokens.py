@@ -15,7 +15,7 @@ SEARCH_TERM = r"\b[a-zA-Z0-9]+(?:[-/][a-zA-Z0-9]+)*\b"
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"(?U){NOT_WS}+"))
+    return F.regexp_count(c, F.lit(rf"{NOT_WS}+"))
 
 
 def word_pieces(c: Column) -> Column:
@@ -23,7 +23,7 @@ def word_pieces(c: Column) -> Column:
 
     White space before the first word stays with that word.
     """
-    return F.regexp_extract_all(c, F.lit(rf"(?U)(?:\A{WS}+)?{NOT_WS}+{WS}*"), 0)
+    return F.regexp_extract_all(c, F.lit(rf"(?:\A{WS}+)?{NOT_WS}+{WS}*"), 0)
 
 
 def search_terms(c: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.text import let, lines_of, squeeze, strip
-from .ordered import first_rows, lag_in_order, lead_in_order, numbered
+from ..session import settle
+from .ordered import first_rows, lag_in_order, number_and_lead, numbered
 
 ORDER_BUCKET = 64
 
@@ -245,6 +246,8 @@ def detect_headings(
 
     Enough bookmarks settle a document.  Otherwise headings of a failed
     strategy stay, and the next strategy appends to them, so pages may go back.
+    Headings are few, so each strategy's result is written out once and read
+    back: later steps would otherwise scan all texts again.
     """
     documents = pages.select("document_id").distinct()
     none = pages.sparkSession.createDataFrame(
@@ -252,7 +255,7 @@ def detect_headings(
         "document_id string, page_number int, title string, "
         "order struct<source:int,major:bigint,minor:bigint>",
     )
-    first = bookmark_headings(bookmarks) if bookmarks is not None else none
+    first = settle(bookmark_headings(bookmarks), "bookmarks") if bookmarks is not None else none
     settled = (
         first.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= K.BOOKMARK_MIN_HEADINGS)
@@ -261,10 +264,10 @@ def detect_headings(
     found = first
     if layout is not None:
         open_layout = layout.join(settled, "document_id", "left_anti")
-        found = first_titles(found.unionByName(layout_headings(open_layout)))
+        found = settle(first_titles(found.unionByName(layout_headings(open_layout))), "layout")
     few = _counted(found, documents).where(F.col("_n") < K.LINE_SCAN_BELOW)
     scanned = line_headings(pages.join(few, "document_id", "left_semi"))
-    return first_titles(found.unionByName(scanned))
+    return settle(first_titles(found.unionByName(scanned)), "headings")
 
 
 def page_buckets(pages: DataFrame, size: int = K.BUCKET_PAGES) -> DataFrame:
@@ -315,10 +318,9 @@ def section_ranges(
     """
     last = pages.groupBy("document_id").agg(F.max("page_number").alias("_last"))
     keyed = headings.withColumn("_bucket", bucket)
-    led = lead_in_order(keyed, ["document_id"], "_bucket", order, "page_number", "_next")
-    rows = numbered(led, ["document_id"], "_bucket", order, "ord").join(
-        last, "document_id", "left"
-    )
+    rows = number_and_lead(
+        keyed, ["document_id"], "_bucket", order, "page_number", "ord", "_next"
+    ).join(last, "document_id", "left")
     end = F.coalesce(F.col("_next") - 1, F.col("_last"), F.col("page_number"))
     if clamp:
         end = F.when(

@@ -43,29 +43,39 @@ def lag_in_order(
     )
 
 
-def lead_in_order(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str
+def number_and_lead(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    order: Sequence[str],
+    value: str,
+    number: str,
+    following: str,
 ) -> DataFrame:
-    """Value of the row after, null on the last row of the group."""
-    starts = df.groupBy(*keys, bucket).agg(
-        F.min_by(value, F.struct(*order)).alias("_start")
+    """Row number from 1 and value of the row after, in one go."""
+    parts = df.groupBy(*keys, bucket).agg(
+        F.min_by(value, F.struct(*order)).alias("_start"), F.count(F.lit(1)).alias("_n")
     )
-    carried = starts.select(
+    along = Window.partitionBy(*keys).orderBy(bucket)
+    carried = parts.select(
         *keys,
         bucket,
-        F.lead("_start").over(Window.partitionBy(*keys).orderBy(bucket)).alias("_carried"),
+        F.col("_n").alias("_size"),
+        F.lead("_start").over(along).alias("_carried"),
+        F.coalesce(
+            F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_before"),
     )
     inside = _inside(keys, bucket, order)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, bucket))
+    row = F.row_number().over(inside)
     return (
         df.join(carried, [*keys, bucket])
         .withColumn(
-            out,
-            F.when(F.row_number().over(inside) == size, F.col("_carried")).otherwise(
-                F.lead(value).over(inside)
-            ),
+            following,
+            F.when(row == F.col("_size"), F.col("_carried")).otherwise(F.lead(value).over(inside)),
         )
-        .drop("_carried")
+        .withColumn(number, F.col("_before") + row)
+        .drop("_size", "_carried", "_before")
     )
 
 

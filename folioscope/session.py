@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "folioscope", master: str | None = None, **conf) -> SparkSession:
@@ -53,19 +54,26 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.conf.get("spark.master", "local").startswith("local"):
-        path = tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("spark.checkpoint.dir", path) if _settable(spark) else None
-        return path
+        return _local_dir()
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:
-        return False
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="folioscope-")
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written copy.
+
+    Cuts the lineage: later steps neither repeat the work nor lose it with an
+    executor.
+    """
+    path = new_run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
