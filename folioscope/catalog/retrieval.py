@@ -360,9 +360,10 @@ def attach_patient(spark, d):
 
 def ask(spark, d):
     """The whole question plan in hybrid mode with targets, context and prompt."""
-    q = _targeted(spark, d, questions(spark, d)).drop(
-        "has_target", "target_id", "target_file", "target_org"
+    wanted = table(spark, d, "documents").select(
+        F.col("doc_id").alias("query_id"), F.col("source").alias("doc_filter")
     )
+    q = questions(spark, d).join(wanted, "query_id", "left")
     docs = corpus(spark, d).select("chunk_id", "document_id", "pdf_file", "section_title", "text")
     chunks = docs.join(vectors(spark, d), "chunk_id").select(
         F.col("chunk_id").cast("string").alias("chunk_id"),
@@ -516,6 +517,46 @@ SELECT user_id::VARCHAR AS document_id, concat({_sql_text(K.PATIENT_HEAD)}, '- B
   '- Comorbidities / Risk Factors: None specified', chr(10), '- Current Medications: ',
   CASE WHEN kind = 'click' THEN 'None reported' ELSE kinds END, chr(10), '- Report Summary: ',
   {_sql_text(K.DEFAULT_REPORT_SUMMARY)}, chr(10), chr(10), {_sql_text(K.PATIENT_TAIL)}) AS note FROM k""",
+    "ask": f"""
+WITH q AS ({QUESTIONS_SQL}), w AS (SELECT doc_id AS query_id, source AS wanted FROM documents),
+doc AS (SELECT doc_id, source, lang, text, embedding, {terms_sql("lang || ' ' || text")} AS t,
+    doc_id::VARCHAR AS chunk_id FROM documents JOIN embeddings ON vec_id = doc_id),
+stat AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM doc),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM doc) GROUP BY 1, 2),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stat),
+idf AS (SELECT term, CASE WHEN r < 0 THEN {K.BM25_EPSILON} * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+asks AS (SELECT query_id, term, count(*) AS times FROM (
+  SELECT query_id, unnest({terms_sql('query')}) AS term FROM q) GROUP BY 1, 2),
+hit AS (SELECT query_id, post.doc_id,
+    sum(times * idf * tf * {K.BM25_K1 + 1} / (tf + {K.BM25_K1} * ({1 - K.BM25_B} + {K.BM25_B} * len(t) / avgdl))) AS s
+  FROM asks JOIN post USING (term) JOIN idf USING (term) JOIN doc ON doc.doc_id = post.doc_id, stat GROUP BY 1, 2),
+both_ AS (SELECT q.query_id, doc.chunk_id, source, round(coalesce(s, 0.0), 6) + 0.0 AS b,
+    round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) + 0.0 AS c
+  FROM q CROSS JOIN doc LEFT JOIN hit ON hit.query_id = q.query_id AND hit.doc_id = doc.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS cr,
+    row_number() OVER (PARTITION BY query_id ORDER BY b DESC, chunk_id) AS br FROM both_),
+l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY cr) AS dr
+  FROM ranked LEFT JOIN w USING (query_id) WHERE cr <= 60 AND (wanted IS NULL OR contains(source, wanted))),
+r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY br) AS sr
+  FROM ranked LEFT JOIN w USING (query_id) WHERE br <= 60 AND (wanted IS NULL OR contains(source, wanted))),
+pair AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.chunk_id, r.chunk_id) AS chunk_id, dr, sr
+  FROM (SELECT * FROM l WHERE dr <= 10) l FULL JOIN (SELECT * FROM r WHERE sr <= 10) r
+  ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+    coalesce(0.5::DOUBLE / (60 + dr), 0.0) + coalesce(0.5::DOUBLE / (60 + sr), 0.0) DESC, dr NULLS LAST, sr) AS rank
+  FROM pair),
+ctx AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids,
+    string_agg(concat('[', rank, '] Document: ', upper(source[1]) || source[2:], ', Section: ', lang,
+      ' | Page 1', chr(10), text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  FROM fused JOIN doc USING (chunk_id) WHERE rank <= 5 GROUP BY query_id),
+orgs AS (SELECT source, min(lang) AS lang FROM documents GROUP BY source)
+SELECT q.query_id, wanted AS doc_filter, chunk_ids,
+  concat('CONTEXT:', chr(10), coalesce(context, {_sql_text(K.EMPTY_CONTEXT)}), chr(10), chr(10),
+  CASE WHEN wanted IS NULL THEN '' ELSE concat({_sql_text(_HEAD)}, 'Collection of ', wanted,
+    {_sql_text(_MIDDLE)}, 'Org ', orgs.lang, '.)', {_sql_text(_TAIL)}) END,
+  'QUESTION: ', query, chr(10), chr(10), 'ANSWER:') AS prompt
+FROM q LEFT JOIN w USING (query_id) LEFT JOIN ctx USING (query_id) LEFT JOIN orgs ON orgs.source = wanted""",
     "attach_patient": """
 WITH n AS (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id),
 r AS (SELECT e.user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type FROM events e

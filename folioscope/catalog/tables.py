@@ -37,14 +37,14 @@ def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         F.concat(
             F.col("source"), F.lit("\n"), F.col("text"), F.lit("\n[\n[  "), F.col("lang"),
-            F.lit("\t page \n"), F.col("doc_id").cast("string"),
+            F.lit("\t   page \n"), F.col("doc_id").cast("string"),
         ).alias("text"),
     )
 
 
 RAW_PAGES_SQL = (
     "SELECT doc_id, concat(source, chr(10), text, chr(10), '[', chr(10), '[  ', lang, "
-    "chr(9), ' page ', chr(10), doc_id) AS text FROM documents"
+    "chr(9), '   page ', chr(10), doc_id) AS text FROM documents"
 )
 
 

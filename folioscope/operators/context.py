@@ -64,51 +64,56 @@ def format_sources(hits: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def source_block() -> Column:
+SOURCE_FIELDS = [
+    "rank", "chunk_id", "document_id", "document_name", "pdf_file",
+    "section_title", "page_start", "page_end", "score", "text",
+]
+
+
+def collect_sources(sources: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """One row per query with its ordered sources (the k hits of the query)."""
+    return sources.groupBy(query_id).agg(
+        F.array_sort(F.collect_list(F.struct(*SOURCE_FIELDS))).alias("sources")
+    )
+
+
+def source_block(s: Column) -> Column:
     pages = F.when(
-        F.col("page_start") == F.col("page_end"),
-        F.concat(F.lit("Page "), F.col("page_start").cast("string")),
+        s["page_start"] == s["page_end"],
+        F.concat(F.lit("Page "), s["page_start"].cast("string")),
     ).otherwise(
         F.concat(
-            F.lit("Pages "),
-            F.col("page_start").cast("string"),
-            F.lit("-"),
-            F.col("page_end").cast("string"),
+            F.lit("Pages "), s["page_start"].cast("string"), F.lit("-"), s["page_end"].cast("string")
         )
     )
     section = F.when(
-        F.coalesce("section_title", F.lit("")) != "",
-        F.concat(F.lit(", Section: "), F.col("section_title")),
+        F.coalesce(s["section_title"], F.lit("")) != "",
+        F.concat(F.lit(", Section: "), s["section_title"]),
     ).otherwise("")
     return F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit("] Document: "), F.col("document_name"),
-        section, F.lit(" | "), pages, F.lit("\n"), F.col("text"),
+        F.lit("["), s["rank"].cast("string"), F.lit("] Document: "), s["document_name"],
+        section, F.lit(" | "), pages, F.lit("\n"), s["text"],
+    )
+
+
+def context_text(sources: Column) -> Column:
+    """Context of an ordered array of sources; a placeholder when there is none."""
+    joined = F.array_join(F.transform(sources, source_block), K.CONTEXT_SEPARATOR)
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, joined).otherwise(
+        F.lit(K.EMPTY_CONTEXT)
     )
 
 
 def build_context(
     queries: DataFrame, sources: DataFrame, query_id: str = "query_id"
 ) -> DataFrame:
-    """``query_id, context, n_sources``; a query without hits gets a placeholder.
-
-    A group holds the k hits of one query.
-    """
-    joined = (
-        sources.withColumn("_block", source_block())
-        .groupBy(query_id)
-        .agg(
-            ordered_text("rank", "_block", K.CONTEXT_SEPARATOR).alias("context"),
-            F.count(F.lit(1)).alias("n_sources"),
-        )
-    )
-    return (
-        queries.select(query_id)
-        .join(joined, query_id, "left")
-        .select(
-            query_id,
-            F.coalesce("context", F.lit(K.EMPTY_CONTEXT)).alias("context"),
-            F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
-        )
+    """``query_id, context, n_sources`` of every query."""
+    per_query = queries.select(query_id).join(collect_sources(sources, query_id), query_id, "left")
+    count = F.when(F.col("sources").isNull(), 0).otherwise(F.size("sources"))
+    return per_query.select(
+        query_id,
+        context_text(F.col("sources")).alias("context"),
+        count.cast("bigint").alias("n_sources"),
     )
 
 
@@ -220,14 +225,3 @@ def build_prompt(
         F.coalesce(patient, blank), past, F.coalesce(target, blank),
         F.lit("QUESTION: "), query, F.lit("\n\nANSWER:"),
     )
-
-
-def collect_sources(sources: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """One row per query with its ordered sources (at most k each)."""
-    fields = [
-        "rank", "chunk_id", "document_id", "document_name", "pdf_file",
-        "section_title", "page_start", "page_end", "score", "text",
-    ]
-    return sources.groupBy(query_id).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("sources")
-    )

@@ -156,6 +156,8 @@ def bm25_top_k(
         query_id,
         **limits,
     )
+    if own:
+        index.close()
     return hits.withColumnRenamed("score", "bm25_score")
 
 
@@ -173,7 +175,9 @@ def bm25_top_k_prefiltered(
     **limits,
 ) -> DataFrame:
     """As ``bm25_top_k``, ranking only chunks of each query's target document."""
-    index = index or build_index(corpus, text)
+    own = index is None
+    if own:
+        index = build_index(corpus, text)
     weights = query_weights(queries, index, query_text, query_id).join(
         queries.select(query_id, "has_target", "target_id", "target_file", "target_org"), query_id
     )
@@ -194,4 +198,6 @@ def bm25_top_k_prefiltered(
         query_id,
         **limits,
     )
+    if own:
+        index.close()
     return hits.withColumnRenamed("score", "bm25_score")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ordered import top_k
 
 MAX_SHIPPED_QUERY_ROWS = 200_000
@@ -136,6 +137,7 @@ def best_k(
 
         found = items.mapInArrow(shipped, out)
     else:
+        queries = settle(queries, "queries")
         n_items = items.select(item_id).count()
         n_queries = queries.count()
         item_blocks = max(1, math.ceil(n_items / rows_per_block))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import file_name, strip
+from ..session import settle
 from .ordered import top_k
 
 QUOTED = r'@"([^"]+)"'
@@ -86,12 +87,12 @@ def resolve_targets(
     Containment is an equality join on substrings.  Registry keys are reduced
     to the first ``ord`` per substring before the join, so each target meets at
     most one row per substring and no pairs are formed.  Only substrings of
-    lengths that occur on the other side are made; two small jobs read those
-    lengths (a handful of numbers).
+    lengths that occur on the other side are made: the distinct keys of both
+    sides are written once, and their lengths (a handful of numbers) are read.
     """
     plain = F.regexp_replace(F.lower(strip(F.col(text))), r"\.pdf|@", "")
     asked = targets.select(target_id, F.col(text), F.nullif(plain, F.lit("")).alias("key"))
-    distinct = asked.where(F.col("key").isNotNull()).select("key").distinct()
+    distinct = settle(asked.where(F.col("key").isNotNull()).select("key").distinct(), "targets")
 
     rows = registry.select(
         F.col("ord"),
@@ -104,7 +105,7 @@ def resolve_targets(
         rows.select("ord", F.explode(F.array("id", "file", "org", "name")).alias("key"))
     )
     partial = rows.select("ord", F.explode(F.array("id", "file", "org")).alias("key"))
-    partial = _first_by_key(partial)
+    partial = settle(_first_by_key(partial), "registry")
 
     sizes, key_sizes = _sizes(distinct), _sizes(partial)
     contained = (

@@ -11,9 +11,10 @@ from ..functions import constants as K
 from ..operators import context, dense, fusion, lexical, state, targets
 
 from ..plugins import Embedder, Generator, embed, generate
+from ..session import settle
 
 MODES = ("dense", "sparse", "hybrid", "score_fusion")
-FEW_QUERIES = 20_000
+FEW_HITS = 100_000
 
 
 def leg_size(k: int) -> int:
@@ -100,14 +101,15 @@ def ask(
 
     ``queries`` need ``query_id, query``; optional ``doc_filter``, ``vector``,
     ``conv_id``, ``user_id``.  Without a generator the result ends with the
-    prompt; no answer is made up.
+    prompt; no answer is made up.  Runs the retrieval; the texts are joined
+    lazily.
     """
     q = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
     q = targets.extract_mentions(q, "query", "doc_filter" if "doc_filter" in q.columns else None)
     filtered = registry is not None
     resolved = None
     if filtered:
-        resolved = targets.resolve_targets(q, registry)
+        resolved = settle(targets.resolve_targets(q, registry), "targets")
         q = targets.target_keys(q, resolved)
     if reports is not None and "user_id" in q.columns:
         q = state.attach_patient(q, reports)
@@ -124,16 +126,20 @@ def ask(
             raise ValueError("queries have no vector: give an embedder or use sparse mode")
         q = embed(q, embedder, "dense_query", "query", "vector").drop("embedding_model")
 
-    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    hits = retrieve(chunks, q, mode, k, filtered, prefilter, index=index)
-    sources = context.format_sources(
-        context.attach_chunks(
-            hits.select("query_id", "chunk_id", "rank", "score"), chunks, few_hits=few
-        )
+    # the prepared questions and the ranked ids are small and used several
+    # times below, so each is written once and read back
+    q = settle(q.withColumn("patient_note", note), "questions")
+    hits = settle(
+        retrieve(chunks, q, mode, k, filtered, prefilter, index=index).select(
+            "query_id", "chunk_id", "rank", "score"
+        ),
+        "hits",
+    )
+    few = hits.count() <= FEW_HITS
+    sources = context.format_sources(context.attach_chunks(hits, chunks, few_hits=few))
+    out = q.join(context.collect_sources(sources), "query_id", "left").withColumn(
+        "context", context.context_text(F.col("sources"))
     )
-    per_query = context.collect_sources(sources)
-    contexts = context.build_context(q, sources)
-    out = q.join(per_query, "query_id", "left").join(contexts, "query_id")
     if resolved is not None:
         out = out.join(
             resolved.select("query_id", "document_name", "organization"), "query_id", "left"
@@ -150,7 +156,9 @@ def ask(
         out = out.withColumn("history", F.lit(None).cast("string"))
     out = out.withColumn(
         "prompt",
-        context.build_prompt(F.col("context"), F.col("query"), note, F.col("history"), target),
+        context.build_prompt(
+            F.col("context"), F.col("query"), F.col("patient_note"), F.col("history"), target
+        ),
     )
     result = out.select("query_id", "query", "doc_filter", "sources", "context", "prompt")
     return generate(result, generators) if generators else result

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import chunking, dense, evaluation, fusion, lexical
 from ..operators.chunking import ChunkSize
+from ..session import settle
 
 BENCHMARK_MODES = ("dense", "sparse", "hybrid_rrf", "hybrid_weighted")
 
@@ -30,11 +31,11 @@ def rank_modes(
 ) -> DataFrame:
     """``mode, query_id, rank, chunk_id`` of the four modes.
 
-    The two legs are computed once to ``leg`` rows and shared: the first ``k``
-    rows are the single-leg modes.
+    The two legs are computed once to ``leg`` rows, written and shared: the
+    first ``k`` rows are the single-leg modes.
     """
-    d = dense.dense_top_k(vectors, queries, leg)
-    s = lexical.bm25_top_k(corpus, queries, leg, text=text)
+    d = settle(dense.dense_top_k(vectors, queries, leg), "dense")
+    s = settle(lexical.bm25_top_k(corpus, queries, leg, text=text), "sparse")
     return reduce(
         DataFrame.unionByName,
         [

@@ -9,6 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A union of equally partitioned inputs may otherwise be zipped partition by
+# partition, which fails when adaptive execution has merged partitions of one
+# input only.
+RUNTIME_SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the operators count on to a given session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def get_session(app: str = "folioscope", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators count on.
 
@@ -26,7 +39,7 @@ def get_session(app: str = "folioscope", master: str | None = None, **conf) -> S
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
 
 
 def local_session(cores: int = 8, **conf) -> SparkSession:
