@@ -10,13 +10,23 @@ from .. import schemas
 from .pages import list_files
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array (or one object per line group) of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(
+    spark: SparkSession, path: str, schema: str, lines: bool = False
+) -> DataFrame:
+    """JSON arrays of records, one array per file; ``lines``: one record per line.
+
+    Only the line form can be split, so large data should come as lines (or
+    Parquet).
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_json_tolerant(
-    spark: SparkSession, path: str, schema: str, wrapper: str = "chunks"
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    wrapper: str = "chunks",
+    lines: bool = False,
 ) -> DataFrame:
     """As :func:`read_json`; also takes ``{"<wrapper>": [...]}``.
 
@@ -28,7 +38,7 @@ def read_json_tolerant(
     try:
         rows = (
             spark.read.schema(wrapped)
-            .option("multiLine", True)
+            .option("multiLine", not lines)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_bad")
             .json(path)
@@ -49,7 +59,7 @@ def _fields(df: DataFrame) -> str:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Overwrite a folder with JSON lines."""
+    """Overwrite a folder with JSON lines (read with ``lines=True``)."""
     df.write.mode("overwrite").json(path)
 
 
