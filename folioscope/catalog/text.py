@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrays import each
 from ..functions.tokens import search_terms, word_count
 from ..operators import chunking, cleaning, headings
 from ..sources.pages import conversation_pages
@@ -131,9 +132,8 @@ def section_text(spark, d):
 
 
 def lexical_tokens(spark, d):
-    return table(spark, d, "documents").select(
-        "doc_id", F.posexplode(search_terms(F.col("text"))).alias("pos", "term")
-    )
+    docs = table(spark, d, "documents")
+    return each(docs, ["doc_id"], search_terms(F.col("text")), "term", "pos")
 
 
 def whitespace_counts(spark, d):

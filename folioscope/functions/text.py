@@ -11,16 +11,14 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Python's str methods see it: Unicode white space plus the
-# four ASCII separators.  Spelled out, because Java's \s knows ASCII only and
-# its Unicode mode looks up a property per character.
-_SPACES = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-WS = f"[{_SPACES}]"
-NOT_WS = f"[^{_SPACES}]"
+# White space as Python's str methods see it.  Java's \\s knows the six ASCII
+# characters only; the others are mapped to a space first, which is much faster
+# than a regular expression that lists them all.
 SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+RARE_SPACES = "".join(c for c in SPACE_CHARACTERS if c not in " \t\n\x0b\x0c\r")
+RARE_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACE_CHARACTERS) + "]"
+NOT_WS = "[^" + WS[1:]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,14 +35,23 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(SPACE_CHARACTERS))
 
 
+def plain_spaces(c: Column) -> Column:
+    """Rare white space as spaces, so that Java's own class covers the rest."""
+    return F.translate(c, RARE_SPACES, " " * len(RARE_SPACES))
+
+
+def has_rare_space(c: Column) -> Column:
+    return F.length(F.translate(c, RARE_SPACES, "")) < F.length(c)
+
+
 def squeeze(c: Column) -> Column:
     """Every run of white space becomes one space."""
-    return F.regexp_replace(c, rf"{WS}+", " ")
+    return F.regexp_replace(plain_spaces(c), r"\s+", " ")
 
 
 def lines_of(c: Column) -> Column:
     """Split at every Unicode line boundary."""
-    return F.split(c, LINE_BREAK, -1)
+    return F.split(F.translate(c, RARE_BREAKS, "\n" * len(RARE_BREAKS)), r"\r?\n|\r", -1)
 
 
 def stripped_lines(c: Column) -> Column:

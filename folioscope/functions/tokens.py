@@ -8,14 +8,14 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, WS
+from .text import NOT_WS, WS, has_rare_space, let, plain_spaces, strip
 
 # fixed value: what counts as one search term
 SEARCH_TERM = r"\b[a-zA-Z0-9]+(?:[-/][a-zA-Z0-9]+)*\b"
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"{NOT_WS}+"))
+    return F.regexp_count(plain_spaces(c), F.lit(r"\S+"))
 
 
 def word_pieces(c: Column) -> Column:
@@ -23,7 +23,18 @@ def word_pieces(c: Column) -> Column:
 
     White space before the first word stays with that word.
     """
-    return F.regexp_extract_all(c, F.lit(rf"(?:\A{WS}+)?{NOT_WS}+{WS}*"), 0)
+
+    def joined_start(p: Column) -> Column:
+        head = F.array(F.concat(F.get(p, 0), F.get(p, 1)))
+        return (
+            F.when(strip(F.get(p, 0)) != "", p)
+            .when(F.size(p) > 1, F.concat(head, F.slice(p, 3, F.greatest(F.size(p), F.lit(1)))))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    quick = let(F.split(c, r"(?<=\s)(?=\S)", -1), joined_start)
+    exact = F.regexp_extract_all(c, F.lit(rf"(?:\A{WS}+)?{NOT_WS}+{WS}*"), 0)
+    return F.when(has_rare_space(c), exact).otherwise(quick)
 
 
 def search_terms(c: Column) -> Column:
@@ -35,7 +46,7 @@ def search_terms(c: Column) -> Column:
     found = F.regexp_extract_all(F.lower(c), F.lit(rf"(?U){SEARCH_TERM}"), 0)
     return F.filter(
         F.coalesce(found, F.array().cast("array<string>")),
-        lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"),
+        lambda t: (F.length(t) > 1) | t.between("0", "9"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..functions.arrays import each
 from ..functions.text import let, strip
 from ..functions.tokens import Tokenizer, WordTokenizer, word_count, word_pieces
 from .arrow import map_column
@@ -159,7 +160,7 @@ def split_into_chunks(
             ["_text"],
             lambda t: [{"text": p, "n_tokens": n} for p, n in chunk_with(tool, t or "", size)],
         )
-    return rows.select(*keep, F.posexplode("_chunks").alias("_pos", "_chunk")).select(
+    return each(rows, keep, "_chunks", "_chunk").select(
         *keep,
         (F.col("_pos") + 1).alias("chunk_no"),
         F.col("_chunk.text").alias("text"),
@@ -364,11 +365,11 @@ def build_chunks(
     cursors = F.when(F.col("_raw") == 0, none).otherwise(
         numbers(F.floor((raw_start - reach) / adv), F.least(last, F.floor(raw_end / adv)))
     )
-    given = laid.select(
-        *keys,
-        "section_title",
-        F.col("page_number").alias("_page"),
-        F.explode(F.concat(F.transform(windows, part), F.transform(cursors, span))).alias("_p"),
+    given = each(
+        laid,
+        [*keys, "section_title", F.col("page_number").alias("_page")],
+        F.concat(F.transform(windows, part), F.transform(cursors, span)),
+        "_p",
     ).where(
         F.col("_p.words").isNotNull() | F.col("_p.start").isNotNull() | F.col("_p.end").isNotNull()
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions.arrays import each
 from .arrow import map_column
 
 
@@ -66,7 +67,7 @@ def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:
 
 def split_lines(df: DataFrame, text: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """One row per non-blank stripped line, with ``pos`` from 0."""
-    return df.select(*keep, F.posexplode(X.stripped_lines(F.col(text))).alias("pos", "line"))
+    return each(df, list(keep), X.stripped_lines(F.col(text)), "line", "pos")
 
 
 def drop_header_lines(lines: DataFrame, headers: DataFrame, header: str = "header") -> DataFrame:

@@ -16,12 +16,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.arrays import each
 from ..functions.text import let, strip
+from ..session import settle
 
 BLOCK_ROWS = 2000
 
@@ -39,61 +41,68 @@ def character_counts(text: Column) -> Column:
     )
 
 
-def _alike_rows(threshold: float):
+FOUND = pa.schema(
+    [("sig", pa.string()), ("ord", pa.int64()), ("other", pa.string()), ("ratio", pa.float64())]
+)
+
+
+def _compare_cell(threshold: float):
     """Compare the rows of one block pair; keep each row's first earlier match."""
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        left = cell[cell["side"] == 0]
-        right = cell[cell["side"] == 1]
-        if len(right) == 0:
-            right = left  # a block against itself
-        if len(left) == 0:
-            return pd.DataFrame(columns=["sig", "ord", "other", "ratio"])
-        letters: dict[str, int] = {}
-        a = _count_matrix(left, letters)
-        b = _count_matrix(right, letters)
-        width = max(a.shape[1], b.shape[1])
-        a = np.pad(a, ((0, 0), (0, width - a.shape[1])))
-        b = np.pad(b, ((0, 0), (0, width - b.shape[1])))
-        common = np.zeros((len(a), len(b)), dtype=np.int64)
-        for c in range(width):
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        kind, i, j = (cell.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        counts = _count_matrix(cell.column("counts").combine_chunks())
+        order = cell.column("ord").to_numpy()
+        side = cell.column("side").to_numpy()
+        if kind == 0 and i == j:
+            left = right = np.arange(len(order))  # a block against itself
+        else:
+            left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+        if not len(left) or not len(right):
+            return FOUND.empty_table()
+        a, b = counts[left], counts[right]
+        common = np.zeros((len(a), len(b)), dtype=np.int32)
+        for c in range(counts.shape[1]):
             common += np.minimum.outer(a[:, c], b[:, c])
         ratio = 2.0 * common / np.add.outer(a.sum(axis=1), b.sum(axis=1))
         alike = ratio >= threshold
-        ord_a, ord_b = left["ord"].to_numpy(), right["ord"].to_numpy()
-        out = _first_earlier(left, right, alike & (ord_b[None, :] < ord_a[:, None]), ratio, ord_b)
-        if right is not left:
-            back = alike.T & (ord_a[None, :] < ord_b[:, None])
-            out = pd.concat([out, _first_earlier(right, left, back, ratio.T, ord_a)])
-        return out
+        rows, others, ratios = _first_earlier(left, right, alike, ratio, order)
+        if left is not right:
+            back = _first_earlier(right, left, alike.T, ratio.T, order)
+            rows, others, ratios = (
+                np.concatenate(pair) for pair in zip((rows, others, ratios), back)
+            )
+        return pa.table(
+            [
+                cell.column("sig").take(pa.array(rows)),
+                pa.array(order[others]),
+                cell.column("chunk_id").take(pa.array(others)),
+                pa.array(ratios),
+            ],
+            schema=FOUND,
+        )
 
     return run
 
 
-def _count_matrix(rows: pd.DataFrame, letters: dict[str, int]) -> np.ndarray:
-    counted = []
-    for counts in rows["counts"]:
-        counted.append([(letters.setdefault(x["c"], len(letters)), x["n"]) for x in counts])
-    matrix = np.zeros((len(counted), max(1, len(letters))), dtype=np.int64)
-    for i, pairs in enumerate(counted):
-        for j, n in pairs:
-            matrix[i, j] = n
+def _count_matrix(counts: pa.Array) -> np.ndarray:
+    """Rows x characters matrix from ``list<struct<c, n>>``."""
+    pairs = counts.flatten()
+    letters = pairs.field("c").dictionary_encode()
+    rows = np.repeat(np.arange(len(counts)), np.diff(counts.offsets.to_numpy()))
+    matrix = np.zeros((len(counts), len(letters.dictionary)), dtype=np.int32)
+    matrix[rows, letters.indices.to_numpy()] = pairs.field("n").to_numpy()
     return matrix
 
 
-def _first_earlier(rows, others, match, ratio, order) -> pd.DataFrame:
-    place = np.where(match, order[None, :], np.iinfo(np.int64).max)
+def _first_earlier(rows, others, alike, ratio, order):
+    """Per row with a match: row, first matching earlier row, ratio."""
+    match = alike & (order[others][None, :] < order[rows][:, None])
+    place = np.where(match, order[others][None, :], np.iinfo(np.int64).max)
     best = place.argmin(axis=1)
-    has = match.any(axis=1)
-    i = np.nonzero(has)[0]
-    return pd.DataFrame(
-        {
-            "sig": rows["sig"].to_numpy()[i],
-            "ord": order[best[i]],
-            "other": others["chunk_id"].to_numpy()[best[i]],
-            "ratio": ratio[i, best[i]],
-        }
-    )
+    has = np.nonzero(match.any(axis=1))[0]
+    return rows[has], others[best[has]], ratio[has, best[has]]
 
 
 def near_duplicates(
@@ -104,8 +113,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``ord, chunk_id, other_ord, other_id, ratio`` for each repeated text.
 
-    ``chunks`` needs a unique ``ord`` (the order of the rows).  Runs one small
-    job: the number of distinct texts per length band (some hundred numbers).
+    ``chunks`` needs a unique ``ord`` (the order of the rows).  The counts are
+    written once; a small job reads the number of distinct texts per length
+    band (some hundred numbers).
     """
     rows = (
         chunks.select("ord", "chunk_id", strip(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
@@ -113,6 +123,7 @@ def near_duplicates(
         .select("ord", "chunk_id", F.length("_t").alias("n"), character_counts(F.col("_t")).alias("counts"))
         .withColumn("sig", F.sha2(F.col("counts").cast("string"), 256))
     )
+    rows = settle(rows, "counts")
     distinct = rows.groupBy("sig").agg(
         F.min(F.struct("ord", "chunk_id")).alias("first"),
         F.any_value("n").alias("n"),
@@ -164,13 +175,16 @@ def near_duplicates(
         upto(blocks_of(band - 1)), lambda i: cell(1, band - 1, i, block, F.lit(1))
     )
     placed = (
-        banded.withColumn("block", own)
-        .withColumn("cell", F.explode(F.concat(same, above, below)))
+        each(
+            banded.withColumn("block", own),
+            ["sig", "ord", "chunk_id", "counts"],
+            F.concat(same, above, below),
+            "cell",
+        )
         .select("sig", "ord", "chunk_id", "counts", "cell.*")
     )
-    # a neighbouring band that pairs with nothing has one side only
-    alike = placed.groupBy("kind", "band", "i", "j").applyInPandas(
-        _cell_compare(threshold), "sig string, ord bigint, other string, ratio double"
+    alike = placed.groupBy("kind", "band", "i", "j").applyInArrow(
+        _compare_cell(threshold), "sig string, ord bigint, other string, ratio double"
     )
     own_first = distinct.select(
         "sig",
@@ -195,15 +209,3 @@ def near_duplicates(
             F.col("m.ratio").alias("ratio"),
         )
     )
-
-
-def _cell_compare(threshold: float):
-    compare = _alike_rows(threshold)
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        kind, i, j = cell["kind"].iat[0], cell["i"].iat[0], cell["j"].iat[0]
-        if (kind == 1 or i != j) and cell["side"].nunique() < 2:
-            return pd.DataFrame(columns=["sig", "ord", "other", "ratio"])
-        return compare(cell)
-
-    return run

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import predicates as P
+from ..functions.arrays import each
 from ..functions.text import let, lines_of, squeeze, strip
 from ..session import settle
 from .ordered import first_rows, lag_in_order, number_and_lead, numbered
@@ -89,10 +90,12 @@ def profile_headings(
     """
     skipped = list(skip_pages)
     scanned = pages.where(~F.col("page_number").isin(skipped)) if skipped else pages
-    found = scanned.select(
-        "document_id",
-        "page_number",
-        F.posexplode(merge_continuations(lines_of(F.col("text")))).alias("pos", "title"),
+    found = each(
+        scanned,
+        ["document_id", "page_number"],
+        merge_continuations(lines_of(F.col("text"))),
+        "title",
+        "pos",
     ).where(P.is_profile_heading(F.col("title")))
     keyed = found.withColumn("_key", F.upper("title")).withColumn(
         "_bucket", F.floor(F.col("page_number") / ORDER_BUCKET)
@@ -216,15 +219,15 @@ def layout_headings(layout: DataFrame, body: DataFrame | None = None) -> DataFra
 
 def line_headings(pages: DataFrame) -> DataFrame:
     """Strategy 3: rule-matching lines of the page text."""
-    lines = pages.select(
-        "document_id",
-        "page_number",
-        F.posexplode(
-            F.transform(
-                lines_of(F.col("text")),
-                lambda x: F.when(P.is_rule_heading(x), P.trim_title(strip(x))),
-            )
-        ).alias("pos", "title"),
+    lines = each(
+        pages,
+        ["document_id", "page_number"],
+        F.transform(
+            lines_of(F.col("text")),
+            lambda x: F.when(P.is_rule_heading(x), P.trim_title(strip(x))),
+        ),
+        "title",
+        "pos",
     )
     usable = lines.where(
         F.col("title").isNotNull() & (F.length("title") < K.HEADING_MAX_CHARS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.arrays import each
 from ..functions.tokens import search_terms
 from . import scoring
 
@@ -24,11 +25,11 @@ def term_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
     kinds of row are reduced before the shuffle.
     """
     terms = corpus.select(search_terms(F.col(text)).alias("terms"))
-    marked = terms.select(
-        F.size("terms").alias("n"),
-        F.explode(
-            F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))
-        ).alias("term"),
+    marked = each(
+        terms,
+        [F.size("terms").alias("n")],
+        F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string"))),
+        "term",
     )
     return marked.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
@@ -113,7 +114,7 @@ def query_weights(
     Terms the corpus lacks keep weight 0; queries without terms disappear.
     """
     asked = (
-        queries.select(query_id, F.explode(search_terms(F.col(text))).alias("term"))
+        each(queries, [query_id], search_terms(F.col(text)), "term")
         .groupBy(query_id, "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )

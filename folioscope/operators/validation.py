@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..functions.arrays import each
 from ..functions.text import percent, strip, stripped_lines
 from ..functions.tokens import word_count
 from .arrow import map_column
@@ -257,7 +258,7 @@ def short_text() -> list[tuple[Column, Column]]:
 def row_issues(chunks: DataFrame, checks: list[tuple[Column, Column]]) -> DataFrame:
     """Run checks of one row in one pass; rows without issues emit nothing."""
     found = F.array_compact(F.array(*[F.when(cond, issue) for cond, issue in checks]))
-    return chunks.select(F.explode(found).alias("i")).select("i.*")
+    return each(chunks, [], found, "i").select("i.*")
 
 
 # -- checks across rows -------------------------------------------------------
@@ -331,10 +332,9 @@ def running_header_leak(
             "document_id",
             F.upper(strip(F.coalesce("section_title", F.lit("")))).alias("_upper"),
         ).distinct()
-        exploded = chunks.select(
-            "ord", "chunk_id", "document_id",
-            F.upper(strip(F.coalesce("section_title", F.lit("")))).alias("_own"),
-            F.posexplode(lines).alias("pos", "line"),
+        own = F.upper(strip(F.coalesce("section_title", F.lit(""))))
+        exploded = each(
+            chunks, ["ord", "chunk_id", "document_id", own.alias("_own")], lines, "line", "pos"
         ).withColumn("_upper", F.upper("line"))
         other = (
             exploded.where(F.col("_upper") != F.col("_own"))
@@ -371,22 +371,19 @@ def duplicate_text(chunks: DataFrame, **options) -> DataFrame:
 
 
 def _longest_common(a: str, b: str, least: int) -> int:
-    """Length of the longest common substring, 0 when below ``least``."""
-
-    def shared(n: int) -> bool:
-        parts = {a[i : i + n] for i in range(len(a) - n + 1)}
-        return any(b[i : i + n] in parts for i in range(len(b) - n + 1))
-
-    low, high = least, min(len(a), len(b))
-    if high < low or not shared(low):
-        return 0
-    while low < high:
-        middle = (low + high + 1) // 2
-        if shared(middle):
-            low = middle
+    """Length of the longest common substring, 0 when below ``least``.
+
+    Grows the best length found so far: every start in ``b`` is tried for a
+    match that is one character longer.
+    """
+    best = least - 1
+    start = 0
+    while start + best < len(b):
+        if b[start : start + best + 1] in a:
+            best += 1
         else:
-            high = middle - 1
-    return low
+            start += 1
+    return best if best >= least else 0
 
 
 def neighbour_overlaps(chunks: DataFrame, bucket_rows: int = CHUNK_BUCKET) -> DataFrame:

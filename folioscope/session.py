@@ -81,6 +81,17 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A table that arrives as one small file would be worked on by one task.  A
+    scan that already has enough partitions, as any large table does, is left
+    alone and not shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written copy.
 
