@@ -9,6 +9,9 @@ from ..functions import constants as K
 from ..functions.vectors import point_id
 from . import scoring
 
+# vectors are long: 4096 of 3072 doubles are 100 MB
+MAX_SHIPPED_VECTORS = 4096
+
 
 def dense_top_k(
     vectors: DataFrame,
@@ -28,7 +31,7 @@ def dense_top_k(
         k,
         item_id,
         query_id,
-        **limits,
+        **{"max_shipped": MAX_SHIPPED_VECTORS, **limits},
     )
     return hits.withColumnRenamed("score", "dense_score")
 
@@ -65,7 +68,7 @@ def dense_top_k_prefiltered(
         k,
         item_id,
         query_id,
-        **limits,
+        **{"max_shipped": MAX_SHIPPED_VECTORS, **limits},
     )
     return hits.withColumnRenamed("score", "dense_score")
 

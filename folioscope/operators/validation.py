@@ -267,21 +267,23 @@ def row_issues(chunks: DataFrame, checks: list[tuple[Column, Column]]) -> DataFr
 def duplicate_chunk_id(chunks: DataFrame) -> DataFrame:
     """One issue for the second and every later row of an id.
 
-    Made from the count per id, so the rows of a repeated id never meet.
+    Only repeated ids (one row each, reduced before the shuffle) are joined
+    back, so the rows of a repeated id need not meet in one task: the join can
+    be a broadcast, and adaptive execution can split a hot id.
     """
-    counts = (
-        chunks.where(F.coalesce("chunk_id", F.lit("")) != "")
-        .groupBy("chunk_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+    rows = chunks.where(F.coalesce("chunk_id", F.lit("")) != "").select("chunk_id", "ord")
+    repeated = (
+        rows.groupBy("chunk_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("_first"))
         .where(F.col("n") > 1)
     )
-    return counts.select(
+    later = rows.join(repeated, "chunk_id").where(F.col("ord") > F.col("_first"))
+    return later.select(
         F.lit("ERROR").alias("level"),
         F.lit("duplicate_chunk_id").alias("check"),
         "chunk_id",
         F.lit("chunk_id is not unique").alias("message"),
-        F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n"))).alias("_i"),
-    ).drop("_i")
+    )
 
 
 def unknown_section(chunks: DataFrame, sections: DataFrame) -> DataFrame:

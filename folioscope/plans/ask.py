@@ -15,26 +15,23 @@ from ..session import settle
 
 MODES = ("dense", "sparse", "hybrid", "score_fusion")
 FEW_HITS = 100_000
+FEW_QUERIES = 1_000
 
 
 def leg_size(k: int) -> int:
     return max(k * K.LEG_FACTOR, K.LEG_MIN)
 
 
-def _first(hits: DataFrame, k: int) -> DataFrame:
-    return hits.where(F.col("rank") <= k)
-
-
-def _dense(chunks, queries, k, filtered, prefilter, item_id):
+def _dense(chunks, queries, k, filtered, prefilter, item_id, few):
     if not filtered:
         return dense.dense_top_k(chunks, queries, k, item_id)
     if prefilter:
         return dense.dense_top_k_prefiltered(chunks, queries, k, item_id)
     wide = dense.dense_top_k(chunks, queries, targets.overfetch(k), item_id)
-    return targets.keep_target_hits(wide, queries, chunks, k, item_id)
+    return targets.keep_target_hits(wide, queries, chunks, k, item_id, few_hits=few)
 
 
-def _sparse(chunks, queries, k, filtered, prefilter, item_id, index):
+def _sparse(chunks, queries, k, filtered, prefilter, item_id, few, index):
     if not filtered:
         return lexical.bm25_top_k(chunks, queries, k, item_id, "index_text", index=index)
     if prefilter:
@@ -44,7 +41,7 @@ def _sparse(chunks, queries, k, filtered, prefilter, item_id, index):
     wide = lexical.bm25_top_k(
         chunks, queries, targets.overfetch(k), item_id, "index_text", index=index
     )
-    return targets.keep_target_hits(wide, queries, chunks, k, item_id)
+    return targets.keep_target_hits(wide, queries, chunks, k, item_id, few_hits=few)
 
 
 def retrieve(
@@ -68,15 +65,19 @@ def retrieve(
         corpus = chunks.withColumn(
             "index_text", lexical.corpus_text(F.col("section_title"), F.col("text"))
         )
+    few = (
+        filtered and not prefilter
+        and queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    )
     if mode == "dense":
-        hits = _dense(corpus, queries, k, filtered, prefilter, item_id)
+        hits = _dense(corpus, queries, k, filtered, prefilter, item_id, few)
         return hits.withColumn("score", F.col("dense_score"))
     if mode == "sparse":
-        hits = _sparse(corpus, queries, k, filtered, prefilter, item_id, index)
+        hits = _sparse(corpus, queries, k, filtered, prefilter, item_id, few, index)
         return hits.withColumn("score", F.col("bm25_score"))
     n = leg_size(k)
-    left = _dense(corpus, queries, n, filtered, prefilter, item_id)
-    right = _sparse(corpus, queries, n, filtered, prefilter, item_id, index)
+    left = _dense(corpus, queries, n, filtered, prefilter, item_id, few)
+    right = _sparse(corpus, queries, n, filtered, prefilter, item_id, few, index)
     fuse = (
         fusion.relative_score_fusion if mode == "score_fusion" else fusion.reciprocal_rank_fusion
     )
