@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import chunking, duplicates, validation
-from .chunks import SMALL
+from .chunks import SMALL, windows_sql
 from .tables import RAW_PAGES_SQL, raw_pages, strip_sql, table, upper_sql
 
 EXCLUDED = ("FR", "OF.", "AS.")
@@ -238,7 +238,7 @@ _SQLS = {
     "token_count_mismatch": _sql(
         "WARNING", "token_count_mismatch",
         f"concat('stored token_count=', token_count, ' vs recomputed=', {_N}, ' (drift ', "
-        f"CAST(round({_DRIFT} * 100) AS BIGINT), '%, tolerance 10%)')",
+        f"CAST(round_even({_DRIFT} * 100, 0) AS BIGINT), '%, tolerance 10%)')",
         f"token_count IS NOT NULL AND {_N} > 0 AND {_DRIFT} > 0.1",
     ),
     "token_bounds": _sql(
@@ -334,6 +334,38 @@ alike AS (SELECT o, min(p) AS p, arg_min(2.0 * m / total, p) AS ratio FROM commo
   WHERE 2.0 * m / total >= {K.DUPLICATE_RATIO} GROUP BY o)"""
 
 
+def _overlap_sql() -> str:
+    """Longest common substrings as runs of equal 20-character pieces.
+
+    Pieces that match along one diagonal without a gap form a longer match.
+    """
+    windows = windows_sql("SELECT doc_id, text FROM documents", "doc_id", SMALL)
+    return f"""
+WITH {windows},
+p AS (SELECT a.doc_id, b.chunk_no, a.chunk_no AS prev, right(a.text, 1500) AS t, left(b.text, 1500) AS h,
+    least(a.token_count, b.token_count) AS smaller
+  FROM made a JOIN made b ON b.doc_id = a.doc_id AND b.chunk_no = a.chunk_no + 1),
+ga AS (SELECT doc_id, chunk_no, i, substring(t, i, 20) AS g FROM (
+  SELECT *, unnest(range(1, len(t) - 18)) AS i FROM p)),
+gb AS (SELECT doc_id, chunk_no, i, substring(h, i, 20) AS g FROM (
+  SELECT *, unnest(range(1, len(h) - 18)) AS i FROM p)),
+m AS (SELECT doc_id, chunk_no, gb.i AS i, gb.i - ga.i AS diagonal FROM ga JOIN gb USING (doc_id, chunk_no, g)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, chunk_no, diagonal ORDER BY i) AS run FROM m),
+l AS (SELECT doc_id, chunk_no, diagonal, run, count(*) + 19 AS n FROM r GROUP BY ALL),
+best AS (SELECT doc_id, chunk_no, max(n) AS chars FROM l GROUP BY 1, 2),
+s AS (SELECT doc_id, chunk_no, prev, chars, chars / 4.0::DOUBLE AS tokens,
+    chars / 4.0::DOUBLE / greatest(smaller, 1) AS share FROM best JOIN p USING (doc_id, chunk_no))
+SELECT CASE WHEN share >= 0.5 THEN 'ERROR' WHEN share >= 0.3 THEN 'WARNING' ELSE 'INFO' END AS level,
+  CASE WHEN share >= 0.3 THEN 'excessive_overlap' ELSE 'measured_overlap' END AS "check",
+  concat(doc_id, printf('_c%03d', chunk_no)) AS chunk_id,
+  concat('~', chars, ' chars (~', CAST(round_even(tokens, 0) AS BIGINT), ' tokens, ',
+    CAST(round_even(share * 100, 0) AS BIGINT),
+    '% of the smaller neighboring chunk) shared between tail of ', chr(39), doc_id, printf('_c%03d', prev),
+    chr(39), ' and head of this chunk', CASE WHEN share >= 0.5
+    THEN ' — well beyond typical overlap, check chunker.py overlap logic' ELSE '' END) AS message
+FROM s"""
+
+
 ORACLE = {name: f"WITH {CHUNKS_SQL} {sql}" for name, sql in _SQLS.items()}
 ORACLE.update(
     {
@@ -359,6 +391,7 @@ ORACLE.update(
         "duplicate_chunk_text": f"""
 WITH {_alike_sql("SELECT doc_id AS ord, concat('doc_', doc_id) AS chunk_id, text FROM documents")}
 SELECT concat('doc_', o) AS chunk_id, concat('doc_', p) AS other_id, round(ratio, 6) AS ratio FROM alike""",
+        "chunk_overlaps": _overlap_sql(),
         "section_boundary_leak": f"WITH {CHUNKS_SQL} {_BOUNDARY}",
         "validation_report": f"""
 WITH {CHUNKS_SQL}, issues AS ({_ROW_ISSUES} UNION ALL {_DUPLICATE_IDS})

@@ -177,5 +177,10 @@ def document_name_of(path: Column) -> Column:
     return title_case(F.regexp_replace(file_stem(path), "_", " "))
 
 
+def whole(c: Column) -> Column:
+    """Nearest whole number as text, halves to even."""
+    return F.bround(c, 0).cast("bigint").cast("string")
+
+
 def percent(c: Column) -> Column:
-    return F.format_string("%.0f%%", c * 100)
+    return F.concat(whole(c * 100), F.lit("%"))

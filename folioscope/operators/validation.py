@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.arrays import each
-from ..functions.text import percent, strip, stripped_lines
+from ..functions.text import percent, strip, stripped_lines, whole
 from ..functions.tokens import word_count
 from .arrow import map_column
 from .duplicates import near_duplicates
@@ -444,7 +444,7 @@ def overlap_issues(overlaps: DataFrame) -> DataFrame:
         .otherwise("INFO")
     )
     message = _cat(
-        "~", F.col("chars"), " chars (~", F.format_string("%.0f", "tokens"), " tokens, ",
+        "~", F.col("chars"), " chars (~", whole(F.col("tokens")), " tokens, ",
         percent(share), " of the smaller neighboring chunk) shared between tail of '",
         F.col("previous_id"), "' and head of this chunk",
         F.when(

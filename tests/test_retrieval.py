@@ -8,7 +8,6 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from folioscope.operators import context, dense, evaluation, fusion, lexical, targets
 from folioscope.plans.ask import ask
