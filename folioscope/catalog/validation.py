@@ -406,3 +406,25 @@ SELECT "check", min(level) AS level, count(*) AS n, greatest(0, count(*) - 5) AS
 FROM r GROUP BY "check" """,
     }
 )
+
+_VALIDATE = f"""
+WITH {CHUNKS_SQL},
+{_alike_sql("SELECT ord, chunk_id, text FROM chunks")},
+pr AS (SELECT *, lag(text) OVER w AS before, lag(coalesce(nullif(token_count, 0), {_N})) OVER w AS bn,
+    coalesce(nullif(token_count, 0), {_N}) AS an FROM chunks
+  WINDOW w AS (PARTITION BY document_id, section_id ORDER BY ord)),
+pp AS (SELECT ord, right(before, 1500) AS t, left(text, 1500) AS h, least(an, bn) AS smaller FROM pr
+  WHERE before IS NOT NULL),
+ga AS (SELECT ord, i, substring(t, i, 20) AS g FROM (SELECT *, unnest(range(1, len(t) - 18)) AS i FROM pp)),
+gb AS (SELECT ord, i, substring(h, i, 20) AS g FROM (SELECT *, unnest(range(1, len(h) - 18)) AS i FROM pp)),
+mt AS (SELECT ord, gb.i AS i, gb.i - ga.i AS diagonal FROM ga JOIN gb USING (ord, g)),
+rn AS (SELECT *, i - row_number() OVER (PARTITION BY ord, diagonal ORDER BY i) AS run FROM mt),
+ln_ AS (SELECT ord, diagonal, run, count(*) + 19 AS n FROM rn GROUP BY ALL),
+sh AS (SELECT ord, max(n) / 4.0::DOUBLE / greatest(any_value(smaller), 1) AS share FROM ln_ JOIN pp USING (ord) GROUP BY ord),
+issues AS ({_ROW_ISSUES} UNION ALL {_DUPLICATE_IDS} UNION ALL {_UNKNOWN} UNION ALL {_HEADER_LEAK}
+  UNION ALL {_BOUNDARY}
+  UNION ALL SELECT 'ERROR', 'duplicate_chunk_text', '', '' FROM alike
+  UNION ALL SELECT CASE WHEN share >= 0.5 THEN 'ERROR' WHEN share >= 0.3 THEN 'WARNING' ELSE 'INFO' END,
+    CASE WHEN share >= 0.3 THEN 'excessive_overlap' ELSE 'measured_overlap' END, '', '' FROM sh)
+SELECT "check", level, count(*) AS n FROM issues GROUP BY 1, 2"""
+ORACLE["validate_chunks"] = _VALIDATE

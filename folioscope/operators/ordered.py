@@ -9,6 +9,7 @@ bucket.  ``bucket`` must not decrease along ``order``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,31 @@ def _inside(keys: Sequence[str], bucket: str, order: Sequence[str]):
     return Window.partitionBy(*keys, bucket).orderBy(*order)
 
 
+def _join_carried(
+    df: DataFrame, carried: DataFrame, keys: Sequence[str], bucket: str, null_keys: bool = False
+) -> DataFrame:
+    """Bring the bucket summary back to the rows.
+
+    The plain join leaves the rows partitioned as the window after it needs
+    them.  With ``null_keys`` a null key is a group as well, at the cost of one
+    more shuffle when the summary is too large to be broadcast.
+    """
+    if not null_keys:
+        return df.join(carried, [*keys, bucket])
+    names = {c: f"_key_{c}" for c in (*keys, bucket)}
+    side = carried.withColumnsRenamed(names)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    return df.join(side, reduce(lambda a, b: a & b, same)).drop(*names.values())
+
+
 def lag_in_order(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    order: Sequence[str],
+    value: str,
+    out: str,
+    null_keys: bool = False,
 ) -> DataFrame:
     """Value of the row before, null on the first row of the group."""
     ends = df.groupBy(*keys, bucket).agg(
@@ -32,7 +56,7 @@ def lag_in_order(
     )
     inside = _inside(keys, bucket, order)
     return (
-        df.join(carried, [*keys, bucket])
+        _join_carried(df, carried, keys, bucket, null_keys)
         .withColumn(
             out,
             F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(
@@ -69,7 +93,7 @@ def number_and_lead(
     inside = _inside(keys, bucket, order)
     row = F.row_number().over(inside)
     return (
-        df.join(carried, [*keys, bucket])
+        _join_carried(df, carried, keys, bucket)
         .withColumn(
             following,
             F.when(row == F.col("_size"), F.col("_carried")).otherwise(F.lead(value).over(inside)),
@@ -109,7 +133,7 @@ def running_sums(
         ],
     )
     inside = _inside(keys, bucket, order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(carried, [*keys, bucket])
+    joined = _join_carried(df, carried, keys, bucket)
     for name, col in values.items():
         joined = joined.withColumn(
             f"{name}_before",
@@ -131,7 +155,7 @@ def numbered(
     )
     inside = _inside(keys, bucket, order)
     return (
-        df.join(carried, [*keys, bucket])
+        _join_carried(df, carried, keys, bucket)
         .withColumn(out, F.col("_carried") + F.row_number().over(inside))
         .drop("_carried")
     )

@@ -406,7 +406,8 @@ def neighbour_overlaps(chunks: DataFrame, bucket_rows: int = CHUNK_BUCKET) -> Da
         F.floor(F.col("ord") / bucket_rows).alias("_bucket"),
     )
     paired = lag_in_order(
-        ends, ["document_id", "section_id"], "_bucket", ["ord"], "_me", "_previous"
+        ends, ["document_id", "section_id"], "_bucket", ["ord"], "_me", "_previous",
+        null_keys=True,
     ).where(F.col("_previous").isNotNull())
     measured = map_column(
         paired.select(
