@@ -19,9 +19,9 @@ THRESHOLD = 75  # percent, shared of all shingles
 # probability 1 - 6e-6.
 BANDS, ROWS = 32, 4
 BINS, BITS = 2048, 2048
-# Sketches below this similarity are put aside.  An estimate at 0.75 has a
-# standard deviation of at most 0.017, mostly half of that.
-SKETCH_AT_LEAST = 0.66
+# Pairs whose sketches are this many standard deviations below the threshold
+# are put aside.
+DEVIATIONS = 5
 MEMBERS = 512  # rows of a bucket that are compared as one block
 
 
@@ -124,11 +124,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _compare(dealt: DataFrame, across: bool) -> DataFrame:
+def _least_estimate(shingles: np.ndarray, samples: np.ndarray, percent: int) -> np.ndarray:
+    """Least estimate that a row's partners need so that none at the threshold
+    is lost.
+
+    Two errors add up: that of samples standing for sets, which shrinks as the
+    samples cover the set, and that of samples meeting in one bit.
+    """
+    j = percent / 100
+    sampling = j * (1 - j) / samples * (1 - samples / shingles)
+    apart = 2 * samples * (1 - j) / (1 + j)
+    meeting = apart * np.exp(2 * apart / BITS) / np.sqrt(BITS / 2) * (1 + j) ** 2 / (4 * samples)
+    return j - DEVIATIONS * np.sqrt(sampling + meeting**2) - 0.005
+
+
+def _compare(dealt: DataFrame, percent: int, across: bool) -> DataFrame:
     """Pairs of ids whose sketches are similar enough, from each block pair.
 
     Without ``across`` every row names its most similar partner only.  With
-    it, all pairs of different components are named.
+    it, all pairs of different components are named, each in the first bucket
+    that both share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +153,7 @@ def _compare(dealt: DataFrame, across: bool) -> DataFrame:
             ids = group.column("id").to_numpy()
             own = group.column("_own").to_numpy()
             samples = group.column("samples").to_numpy().astype(np.float64)
+            enough = _least_estimate(group.column("n_shingles").to_numpy(), samples, percent)
             joined = b"".join(group.column("sketch").to_pylist())
             sketches = np.frombuffer(joined, np.uint64).reshape(len(ids), BITS // 64)
             p, q = group.column("_p")[0].as_py(), group.column("_q")[0].as_py()
@@ -147,17 +163,22 @@ def _compare(dealt: DataFrame, across: bool) -> DataFrame:
             alike = sketch_similarity(
                 sketches[left], samples[left], sketches[right], samples[right], BITS
             )
-            alike[ids[left][:, None] == ids[right][None, :]] = -1
+            least = np.minimum(enough[left][:, None], enough[right][None, :])
+            alike[(ids[left][:, None] == ids[right][None, :]) | (alike < least)] = -1
             if across:
                 part = group.column("component").to_numpy()
                 alike[part[left][:, None] == part[right][None, :]] = -1
-                at, to = np.nonzero(alike >= SKETCH_AT_LEAST)
+                at, to = np.nonzero(alike >= 0)
+                bands = np.stack(group.column("bands").to_numpy())
+                first = (bands[left[at]] == bands[right[to]]).argmax(axis=1)
+                here = bands[left[at], first] == group.column("key")[0].as_py()
+                at, to = at[here], to[here]
             else:
                 rows, columns = np.arange(len(left)), np.arange(len(right))
                 nearest, nearest_back = alike.argmax(axis=1), alike.argmax(axis=0)
                 at = np.concatenate([rows, nearest_back])
                 to = np.concatenate([nearest, columns])
-                good = alike[at, to] >= SKETCH_AT_LEAST
+                good = alike[at, to] >= 0
                 at, to = at[good], to[good]
             if len(at):
                 a, b = ids[left][at], ids[right][to]
@@ -220,14 +241,14 @@ def near_duplicates(
     reps = settle(
         keyed.join(named, ["id", "set_key"])
         .dropDuplicates(["id", "set_key"])
-        .select("id", "bands", "sketch", "samples"),
+        .select("id", "n_shingles", "bands", "sketch", "samples"),
         "representatives",
     )
     placed = reps.select("id", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(placed.join(shared, "key"), "members")
-    sketched = members.join(reps.select("id", "sketch", "samples"), "id")
-    first = settle(_compare(_in_blocks(sketched), across=False), "nearest")
+    sketched = members.join(reps.drop("bands"), "id")
+    first = settle(_compare(_in_blocks(sketched), percent, across=False), "nearest")
     near = settle(
         first.select("a").unionAll(first.select("b")).distinct().withColumnRenamed("a", "id"), "near_ids"
     )
@@ -246,8 +267,8 @@ def near_duplicates(
         .where("x <> y")
         .select("key", "n")
     )
-    open_members = labelled.join(mixed, "key").join(reps.select("id", "sketch", "samples"), "id")
-    more = settle(_compare(_in_blocks(open_members), across=True), "across")
+    open_members = labelled.join(mixed, "key").join(reps, "id")
+    more = settle(_compare(_in_blocks(open_members), percent, across=True), "across")
     late = _confirm(more, sets, percent)
     named_a = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
     named_b = labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
