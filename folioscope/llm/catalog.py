@@ -1,8 +1,8 @@
 """The queries of this package and the SQL that some of them must agree with."""
 
-from . import exact_dedup, near_dedup
+from . import bpe, exact_dedup, mixing, near_dedup, toxicity
 
-_PARTS = (exact_dedup, near_dedup)
+_PARTS = (bpe, exact_dedup, mixing, near_dedup, toxicity)
 
 
 def queries() -> dict:

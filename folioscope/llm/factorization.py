@@ -46,15 +46,15 @@ def fit(
     labels: np.ndarray,
     *,
     factors: int = 4,
-    steps: int = 500,
-    rate: float = 0.02,
+    steps: int = 250,
+    rate: float = 0.03,
     strictness: float = 0.8,
     seed: int = 7,
 ) -> Machine:
     """Logistic loss, classes weighed alike, adaptive steps over all rows.
 
     The slope of a term without effect is noise of about 1 / sqrt(rows).
-    Terms with less than half of ``strictness`` times that at the start are
+    Terms with less than three quarters of ``strictness`` times that at the start are
     left out.  After each step weights and factors move towards zero by as
     much as such noise would move them, so terms without effect stay at zero.
     """
@@ -67,14 +67,35 @@ def fit(
     flat = np.concatenate(documents)
     rows = np.repeat(np.arange(count), [len(d) for d in documents])
     noise = strictness / np.sqrt(count)
-    vocabulary = _screened(flat, rows, (0.5 - labels) * weigh, noise / 2)
+    vocabulary = _screened(flat, rows, (0.5 - labels) * weigh, 0.75 * noise)
     if not len(vocabulary):
         return Machine(vocabulary, 0.0, np.empty(0), np.empty((0, factors)))
     at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
     hit = vocabulary[at] == flat
     at, rows = at[hit], rows[hit]
 
-    size = len(vocabulary)
+    machine = _descend(vocabulary, at, rows, labels, weigh, factors, steps, rate, noise / 4, seed)
+    # Once more on the terms that stayed, hardly held back.
+    kept = np.isin(vocabulary, machine.terms)
+    hit = kept[at]
+    at, rows = (np.cumsum(kept) - 1)[at[hit]], rows[hit]
+    return _descend(vocabulary[kept], at, rows, labels, weigh, factors, steps, rate, noise / 40, seed)
+
+
+def _descend(
+    vocabulary: np.ndarray,
+    at: np.ndarray,
+    rows: np.ndarray,
+    labels: np.ndarray,
+    weigh: np.ndarray,
+    factors: int,
+    steps: int,
+    rate: float,
+    shrink: float,
+    seed: int,
+) -> Machine:
+    """``at`` is a term's place in the vocabulary, ``rows`` the row that has it."""
+    size, count = len(vocabulary), len(labels)
     bias, bias_sum = 0.0, 1e-8
     w, w_sum = np.zeros(size), np.full(size, 1e-8)
     v = np.random.default_rng(seed).normal(0, 0.1, (size, factors))
@@ -85,7 +106,7 @@ def fit(
         total += 0.1 * slope**2
         pace = rate / np.sqrt(total)
         moved = value - pace * slope
-        return np.sign(moved) * np.maximum(np.abs(moved) - pace * noise / 4, 0)
+        return np.sign(moved) * np.maximum(np.abs(moved) - pace * shrink, 0)
 
     for _ in range(steps):
         sums = np.stack([np.bincount(rows, v[at, f], count) for f in range(factors)], axis=1)

@@ -8,20 +8,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .factorization import Machine, fit
 
 TERM_BITS = 24
+STEM = 4
 MAX_TRAINING_ROWS = 8_000  # bound of the labelled sample that the fit sees
 MAX_TRAINING_TERMS = 4_000  # terms of one training text, those of least hash
 CUT = 0.7
 
 
 def hashed_terms(text: Column) -> Column:
-    """Distinct hashes of the lower-cased words of a text; none if it is null."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    hashes = F.transform(words, lambda w: F.hash(w).bitwiseAND(F.lit((1 << TERM_BITS) - 1)))
-    return F.array_distinct(hashes)
+    """Distinct hashes of the lower-cased words of a text and of their stems,
+    the first letters; none if the text is null."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
+    whole = F.transform(words, lambda w: F.hash(w))
+    stems = F.transform(words, lambda w: F.hash(F.lit("stem"), F.substring(w, 1, STEM)))
+    mask = F.lit((1 << TERM_BITS) - 1)
+    return F.array_distinct(F.transform(F.concat(whole, stems), lambda h: h.bitwiseAND(mask)))
 
 
 def train(
@@ -60,22 +65,36 @@ def train(
     return fit(documents, rows.column("_label").to_numpy().astype(np.float64))
 
 
-def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every row; the whole text counts.
-
-    A null or empty text gets the score of a text without known terms.
-    """
+def _scored(df: DataFrame, machine: Machine, keep: list[str], text_col: str, out: str) -> DataFrame:
+    """Columns ``keep`` and the score as ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(len(keep))
             rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             scores = machine.scores(lists.flatten().to_numpy(), rows, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[: len(keep)] + [pa.array(scores)], names=[*keep, out]
+            )
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
+    hashed = df.select(*keep, hashed_terms(F.col(text_col)).alias("_terms"))
+    return hashed.mapInArrow(run, schema)
+
+
+def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every row; the whole text counts.
+
+    A null or empty text gets the score of a text without known terms.  An
+    empty table gives no rows.
+    """
+    return _scored(df, machine, [id_col], text_col, "score")
+
 
-    kind = df.schema[id_col].dataType.simpleString()
-    hashed = df.select(F.col(id_col).alias("id"), hashed_terms(F.col(text_col)).alias("terms"))
-    return hashed.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+def keep_below(df: DataFrame, machine: Machine, *, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows with a score below ``cut``, with all their columns."""
+    scored = _scored(df, machine, df.columns, text_col, "_toxicity")
+    return scored.where(F.col("_toxicity") < cut).select(*df.columns)
 
 
 def held_out(id_col: Column) -> Column:
