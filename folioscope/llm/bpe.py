@@ -7,7 +7,6 @@ by itself, and no special tokens are known.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import re
 from collections.abc import Iterator, Sequence
@@ -18,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .worker import kept
+
 CACHED_PIECES = 400_000  # bound of the cache of encoded pre-tokens in a worker
 GROUP_BITS = 8  # ranks of one second-level bitmap: 2 ** GROUP_BITS
 
@@ -175,16 +176,15 @@ class Encoder(dict):
         return len(self.packed(text)) // 4
 
 
-@functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
     """Byte strings and ranks of a rank file (base64, white space, number)."""
     with open(path, "rb") as lines:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-@functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+    """The encoder of this worker for a rank file."""
+    return kept(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
 
 def _schema(df: DataFrame, keep: Sequence[str], out: str, kind: str) -> str:
@@ -223,7 +223,7 @@ def decode(df: DataFrame, ids_col: str, bytes_col: str, *, rank_file: str, keep:
     names = [*keep, bytes_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_of = {rank: word for word, rank in read_ranks(rank_file).items()}
+        word_of = kept(("words", rank_file), lambda: {r: word for word, r in read_ranks(rank_file).items()})
         for batch in batches:
             ids = batch.column(len(keep))
             words = [word_of[i] for i in ids.flatten().to_pylist()]
