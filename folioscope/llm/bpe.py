@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .worker import kept
 
 CACHED_PIECES = 400_000  # bound of the cache of encoded pre-tokens in a worker
+PIECE_BYTES = 4_000_000
 GROUP_BITS = 8  # ranks of one second-level bitmap: 2 ** GROUP_BITS
 
 # Letters and numbers that the split pattern of the rank files
@@ -187,6 +188,15 @@ def encoder(path: str, pattern: str) -> Encoder:
     return kept(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, which bounds what is
+    held in Python besides a batch."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _schema(df: DataFrame, keep: Sequence[str], out: str, kind: str) -> str:
     return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` {kind}"])
 
@@ -203,7 +213,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(rank_file, pattern).packed
-        for batch in batches:
+        for batch in pieces(batches):
             parts = [packed(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
             ends = np.cumsum([0, *map(len, parts)]) // 4
             made = pa.ListArray.from_arrays(
@@ -224,13 +234,11 @@ def decode(df: DataFrame, ids_col: str, bytes_col: str, *, rank_file: str, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_of = kept(("words", rank_file), lambda: {r: word for word, r in read_ranks(rank_file).items()})
-        for batch in batches:
-            ids = batch.column(len(keep))
-            words = [word_of[i] for i in ids.flatten().to_pylist()]
-            made, at = [], 0
-            for size in ids.value_lengths().fill_null(0).to_pylist():
-                made.append(b"".join(words[at : at + size]))
-                at += size
+        for batch in pieces(batches):
+            made = [
+                b"".join(map(word_of.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
+                for ids in batch.column(len(keep))
+            ]
             yield pa.RecordBatch.from_arrays(
                 batch.columns[: len(keep)] + [pa.array(made, pa.binary())], names=names
             )
