@@ -1,8 +1,20 @@
 """The queries of this package and the SQL that some of them must agree with."""
 
-from . import bpe, exact_dedup, mixing, near_dedup, toxicity
+from . import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    token_file,
+    toxicity,
+    url_filter,
+    warc,
+)
 
-_PARTS = (bpe, exact_dedup, mixing, near_dedup, toxicity)
+_PARTS = (
+    bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, toxicity, near_dedup,
+)
 
 
 def queries() -> dict:
