@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .worker import kept
 
-CACHED_PIECES = 400_000  # bound of the cache of encoded pre-tokens in a worker
+CACHED_PIECES = 1_200_000  # bound of the cache of encoded pre-tokens in a worker, about 250 MB
 PIECE_BYTES = 4_000_000
 GROUP_BITS = 8  # ranks of one second-level bitmap: 2 ** GROUP_BITS
 
