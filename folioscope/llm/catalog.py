@@ -2,6 +2,7 @@
 
 from . import (
     bpe,
+    edit_counts,
     embedding_dedup,
     exact_dedup,
     mixing,
@@ -13,7 +14,8 @@ from . import (
 )
 
 _PARTS = (
-    bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, toxicity, near_dedup,
+    bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, edit_counts, toxicity,
+    near_dedup,
 )
 
 
