@@ -65,21 +65,23 @@ def train(
     return fit(documents, rows.column("_label").to_numpy().astype(np.float64))
 
 
-def _scored(df: DataFrame, machine: Machine, keep: list[str], text_col: str, out: str) -> DataFrame:
-    """Columns ``keep`` and the score as ``out``."""
+def _scored(df: DataFrame, machine: Machine, keep: list[str], text_col: str) -> DataFrame:
+    """Columns ``keep``, renamed ``k0``, ``k1`` and so on, and ``score``."""
+    names = [f"k{n}" for n in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(len(keep))
+            lists = batch.column(len(names))
             rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             scores = machine.scores(lists.flatten().to_numpy(), rows, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                batch.columns[: len(keep)] + [pa.array(scores)], names=[*keep, out]
+                batch.columns[: len(names)] + [pa.array(scores)], names=[*names, "score"]
             )
 
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
-    hashed = df.select(*keep, hashed_terms(F.col(text_col)).alias("_terms"))
-    return hashed.mapInArrow(run, schema)
+    kinds = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep)]
+    kept = [F.col(c).alias(n) for n, c in zip(names, keep)]
+    hashed = df.select(*kept, hashed_terms(F.col(text_col)).alias("terms"))
+    return hashed.mapInArrow(run, T.StructType([*kinds, T.StructField("score", T.DoubleType())]))
 
 
 def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,13 +90,13 @@ def score(df: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col:
     A null or empty text gets the score of a text without known terms.  An
     empty table gives no rows.
     """
-    return _scored(df, machine, [id_col], text_col, "score")
+    return _scored(df, machine, [id_col], text_col).select(F.col("k0").alias(id_col), "score")
 
 
 def keep_below(df: DataFrame, machine: Machine, *, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows with a score below ``cut``, with all their columns."""
-    scored = _scored(df, machine, df.columns, text_col, "_toxicity")
-    return scored.where(F.col("_toxicity") < cut).select(*df.columns)
+    scored = _scored(df, machine, df.columns, text_col).where(F.col("score") < cut)
+    return scored.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(df.columns)))
 
 
 def held_out(id_col: Column) -> Column:

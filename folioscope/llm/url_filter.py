@@ -112,7 +112,7 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     max_bad: float = 0.3,
-    z: float = 1.64,
+    z: float = 2.0,
 ) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict`` and
     ``bad_rate``.
@@ -157,7 +157,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MAX_BAD, Z = 0.24, 1.64
+MAX_BAD, Z = 0.24, 2.0
 # The number in a page's path is the document it was made of.
 DOCUMENT = r"^/[^/]*/(\d+)"
 
