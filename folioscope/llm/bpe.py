@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .worker import kept
 
-CACHED_PIECES = 1_200_000  # bound of the cache of encoded pre-tokens in a worker, about 250 MB
+CACHED_PIECES = 300_000  # encoded pre-tokens in each half of a worker's cache, about 60 MB
 PIECE_BYTES = 4_000_000
 GROUP_BITS = 8  # ranks of one second-level bitmap: 2 ** GROUP_BITS
 
@@ -152,17 +153,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Encodes texts; keeps the packed ids of recent pre-tokens."""
+    """Encodes texts; keeps the packed ids of recent pre-tokens.
+
+    When the cache is full it becomes the old one, from which entries that are
+    needed again come back; so frequent pre-tokens are never lost.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.ranks = ranks
         self.split = Splitter(pattern)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHED_PIECES:
+            self.old = dict(self)
             self.clear()
-        packed = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = array("i", merge(piece.encode(), self.ranks)).tobytes()
         self[piece] = packed
         return packed
 
@@ -197,19 +206,40 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterat
             yield batch.slice(at, step)
 
 
-def _schema(df: DataFrame, keep: Sequence[str], out: str, kind: str) -> str:
-    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` {kind}"])
+def _schema(df: DataFrame, keep: Sequence[str], made: Sequence[tuple[str, str]]) -> str:
+    kept_fields = [(c, df.schema[c].dataType.simpleString()) for c in keep]
+    return ", ".join(f"`{name}` {kind}" for name, kind in [*kept_fields, *made])
+
+
+def _word_of(rank_file: str) -> dict[int, bytes]:
+    return kept(("words", rank_file), lambda: {r: word for word, r in read_ranks(rank_file).items()})
+
+
+def _decoded(ids: pa.ListArray, rank_file: str) -> pa.Array:
+    word_of = _word_of(rank_file)
+    return pa.array(
+        [b"".join(map(word_of.__getitem__, i.values.to_numpy().tolist())) if i.is_valid else b"" for i in ids],
+        pa.binary(),
+    )
 
 
 def encode(
-    df: DataFrame, text_col: str, ids_col: str, *, rank_file: str, pattern: str, keep: Sequence[str]
+    df: DataFrame,
+    text_col: str,
+    ids_col: str,
+    *,
+    rank_file: str,
+    pattern: str,
+    keep: Sequence[str],
+    decoded_col: str | None = None,
 ) -> DataFrame:
-    """Columns ``keep`` and ``ids_col``, the token ids of the whole text.
+    """Columns ``keep`` and ``ids_col``, the token ids of the whole text; with
+    ``decoded_col`` also the bytes that the ids decode to, as a check.
 
     A null text counts as empty and has no ids.  The rank file has to be
     readable at this path on every executor.
     """
-    names = [*keep, ids_col]
+    names = [*keep, ids_col, *([decoded_col] if decoded_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = encoder(rank_file, pattern).packed
@@ -219,10 +249,12 @@ def encode(
             made = pa.ListArray.from_arrays(
                 pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32))
             )
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + [made], names=names)
+            more = [_decoded(made, rank_file)] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made, *more], names=names)
 
     chosen = df.select(*keep, F.col(text_col).alias("_text"))
-    return chosen.mapInArrow(run, _schema(df, keep, ids_col, "array<int>"))
+    kinds = [(ids_col, "array<int>"), *([(decoded_col, "binary")] if decoded_col else [])]
+    return chosen.mapInArrow(run, _schema(df, keep, kinds))
 
 
 def decode(df: DataFrame, ids_col: str, bytes_col: str, *, rank_file: str, keep: Sequence[str]) -> DataFrame:
@@ -230,29 +262,27 @@ def decode(df: DataFrame, ids_col: str, bytes_col: str, *, rank_file: str, keep:
 
     Null ids count as none.  An id that the rank file lacks is an error.
     """
-    names = [*keep, bytes_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_of = kept(("words", rank_file), lambda: {r: word for word, r in read_ranks(rank_file).items()})
         for batch in pieces(batches):
-            made = [
-                b"".join(map(word_of.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                for ids in batch.column(len(keep))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[: len(keep)] + [pa.array(made, pa.binary())], names=names
-            )
+            made = _decoded(batch.column(len(keep)), rank_file)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made], names=[*keep, bytes_col])
 
     chosen = df.select(*keep, F.col(ids_col).alias("_ids"))
-    return chosen.mapInArrow(run, _schema(df, keep, bytes_col, "binary"))
+    return chosen.mapInArrow(run, _schema(df, keep, [(bytes_col, "binary")]))
 
 
 def round_trip(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
     """Per document of ``doc_id, text``: token count and digests of the ids and
-    of the decoded bytes."""
-    encoded = encode(df, "text", "ids", rank_file=rank_file, pattern=pattern, keep=["doc_id"])
-    decoded = decode(encoded, "ids", "decoded", rank_file=rank_file, keep=["doc_id", "ids"])
-    return decoded.select(
+    of the bytes they decode to.
+
+    Ids and bytes are made in one pass, so that an executor runs one Python
+    worker per core.
+    """
+    encoded = encode(
+        df, "text", "ids", rank_file=rank_file, pattern=pattern, keep=["doc_id"], decoded_col="decoded"
+    )
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -33,7 +33,8 @@ def theirs():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
 
-def test_ids_are_those_of_the_library(ours, theirs):
+def test_ids_are_those_of_the_library(ours, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 100)
     for text in texts(1500, 1):
         assert ours.ids(text) == theirs.encode_ordinary(text)
 
@@ -65,6 +66,9 @@ def test_round_trip(spark, theirs):
         listed = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         expected.append((i, len(ids), listed, hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+    encoded = bpe.encode(df, "text", "n", rank_file=RANKS, pattern=public_tokenizers.PATTERN, keep=["doc_id", "ids"])
+    decoded = bpe.decode(encoded, "n", "back", rank_file=RANKS, keep=["doc_id"]).collect()
+    assert sorted((str(r.doc_id), bytes(r.back)) for r in decoded) == sorted((str(i), (t or "").encode()) for i, t in rows)
     empty = spark.createDataFrame([], DOCS)
     assert bpe.round_trip(empty, rank_file=RANKS, pattern=public_tokenizers.PATTERN).collect() == []
 
