@@ -157,7 +157,7 @@ def section_chunks_trimmed(spark, d):
         chunking.section_pages(pages, titled), excluded=TRIM_TITLES
     )
     return chunking.build_chunks(paged, SMALL).select(
-        "document_id", "section_id", "chunk_no", "token_count", "text"
+        "document_id", "section_id", "chunk_no", "page_start", "page_end", "token_count", "text"
     )
 
 
@@ -190,7 +190,7 @@ def point_ids(spark, d):
 def stream_ingest(spark, d):
     """Documents through the file stream into a fresh chunk table."""
     folder = new_run_dir(spark, "stream")
-    documents = document_stream(spark, d, SCHEMAS["documents"], "documents.parquet").select(
+    documents = document_stream(spark, f"{d}/documents.parquet", SCHEMAS["documents"]).select(
         F.col("doc_id").cast("string").alias("document_id"), "text"
     )
     chunks = StoredTable(spark, f"{folder}/chunks", TEXT_CHUNKS)
@@ -253,9 +253,7 @@ SELECT concat(document_id, '_', section_id, printf('_c%03d', chunk_no)) AS chunk
   section_id, section_title, page_start, page_end, token_count, text
 FROM spans JOIN sections USING (document_id, section_id)""",
     "section_chunks_trimmed": f"""
-WITH {_BUCKETED} {windows_sql(_trimmed_sql(), 'k', SMALL)}
-SELECT string_split(k, '/')[1] AS document_id, string_split(k, '/')[2] AS section_id,
-  CAST(chunk_no AS INTEGER) AS chunk_no, CAST(token_count AS INTEGER) AS token_count, text FROM made""",
+WITH {_BUCKETED} {windows_sql(_trimmed_sql(), 'k', SMALL)}, {_SPANS} SELECT * FROM spans""",
     "point_ids": _CHUNK_POINTS + """
 SELECT chunk_id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-',
   ['8','9','a','b'][1 + (instr('0123456789abcdef', h[17]) - 1) % 4], h[18:20], '-', h[21:32]) AS point_id

@@ -72,16 +72,15 @@ def mode_comparison(spark, d):
 
 
 def model_comparison(spark, d):
-    """The stored vectors and their first-half cut as two models."""
+    """The stored vectors and their signs, at full length, as two models."""
     v, q = vectors(spark, d), questions(spark, d)
 
-    def half(column):
-        c = F.col(column)
-        return F.slice(c, 1, (F.size(c) / 2).cast("int"))
+    def signs(column):
+        return F.transform(column, lambda x: F.signum(x))
 
     models = {
         "full": (v, q),
-        "half": (v.withColumn("embedding", half("embedding")), q.withColumn("vector", half("vector"))),
+        "signs": (v.withColumn("embedding", signs("embedding")), q.withColumn("vector", signs("vector"))),
     }
     return evaluate.compare_models(models, v, truth(spark, d), digits=DIGITS)
 
@@ -206,11 +205,11 @@ SELECT config_id, name, CAST(target_tokens AS INTEGER) AS target_tokens,
 FROM ch JOIN sc USING (config_id) GROUP BY ALL"""
 
 
-_HALF = """
-hs AS (SELECT q.query_id, vec_id AS chunk_id,
-    round(list_cosine_similarity(vector[1:len(vector) // 2], (embedding::DOUBLE[])[1:len(embedding) // 2]), 6) AS s
+_SIGNS = """
+hs AS (SELECT q.query_id, vec_id AS chunk_id, round(list_cosine_similarity(
+    list_transform(vector, lambda x: sign(x)::DOUBLE), list_transform(embedding, lambda x: sign(x)::DOUBLE)), 6) AS s
   FROM q CROSS JOIN embeddings),
-half AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM hs)
+signs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM hs)
 """
 _MODES = """
 SELECT 'dense' AS mode, query_id, chunk_id, rank FROM dense WHERE rank <= 5
@@ -228,9 +227,9 @@ SELECT query_id, CAST(k AS INTEGER) AS k, hit, round(precision, 6) AS precision,
 WITH {LEGS_SQL}, {_TRUTH}, {_metrics_sql(_MODES, K.BENCHMARK_KS, 'mode')}
 SELECT mode, CAST(k AS INTEGER) AS k, {_MEANS} FROM met GROUP BY mode, k""",
     "model_comparison": f"""
-WITH {DENSE_SQL}, {_HALF}, {_TRUTH}, {_metrics_sql(
+WITH {DENSE_SQL}, {_SIGNS}, {_TRUTH}, {_metrics_sql(
     "SELECT 'full' AS model, query_id, chunk_id, rank FROM dense WHERE rank <= 5 "
-    "UNION ALL SELECT 'half', query_id, chunk_id, rank FROM half WHERE rank <= 5", K.BENCHMARK_KS, 'model')}
+    "UNION ALL SELECT 'signs', query_id, chunk_id, rank FROM signs WHERE rank <= 5", K.BENCHMARK_KS, 'model')}
 SELECT model, CAST(k AS INTEGER) AS k, {_MEANS} FROM met GROUP BY model, k""",
     "k_sweep": f"""
 WITH {DENSE_SQL}, {_TRUTH},

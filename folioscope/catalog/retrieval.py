@@ -359,13 +359,16 @@ def attach_patient(spark, d):
 
 
 def ask(spark, d):
-    """The whole question plan in hybrid mode with targets, context and prompt."""
+    """The whole question plan in hybrid mode with targets, context and prompt.
+
+    All documents are searched by their terms, those with a vector by it as well.
+    """
     wanted = table(spark, d, "documents").select(
         F.col("doc_id").alias("query_id"), F.col("source").alias("doc_filter")
     )
     q = questions(spark, d).join(wanted, "query_id", "left")
     docs = corpus(spark, d).select("chunk_id", "document_id", "pdf_file", "section_title", "text")
-    chunks = docs.join(vectors(spark, d), "chunk_id").select(
+    chunks = docs.join(vectors(spark, d), "chunk_id", "left").select(
         F.col("chunk_id").cast("string").alias("chunk_id"),
         "document_id",
         "pdf_file",
@@ -520,7 +523,7 @@ SELECT user_id::VARCHAR AS document_id, concat({_sql_text(K.PATIENT_HEAD)}, '- B
     "ask": f"""
 WITH q AS ({QUESTIONS_SQL}), w AS (SELECT doc_id AS query_id, source AS wanted FROM documents),
 doc AS (SELECT doc_id, source, lang, text, embedding, {terms_sql("lang || ' ' || text")} AS t,
-    doc_id::VARCHAR AS chunk_id FROM documents JOIN embeddings ON vec_id = doc_id),
+    doc_id::VARCHAR AS chunk_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 stat AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM doc),
 post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM doc) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -534,10 +537,10 @@ hit AS (SELECT query_id, post.doc_id,
 both_ AS (SELECT q.query_id, doc.chunk_id, source, round(coalesce(s, 0.0), 6) + 0.0 AS b,
     round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) + 0.0 AS c
   FROM q CROSS JOIN doc LEFT JOIN hit ON hit.query_id = q.query_id AND hit.doc_id = doc.doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS cr,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC NULLS LAST, chunk_id) AS cr,
     row_number() OVER (PARTITION BY query_id ORDER BY b DESC, chunk_id) AS br FROM both_),
 l AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY cr) AS dr
-  FROM ranked LEFT JOIN w USING (query_id) WHERE cr <= 60 AND (wanted IS NULL OR contains(source, wanted))),
+  FROM ranked LEFT JOIN w USING (query_id) WHERE c IS NOT NULL AND cr <= 60 AND (wanted IS NULL OR contains(source, wanted))),
 r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY br) AS sr
   FROM ranked LEFT JOIN w USING (query_id) WHERE br <= 60 AND (wanted IS NULL OR contains(source, wanted))),
 pair AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.chunk_id, r.chunk_id) AS chunk_id, dr, sr

@@ -9,7 +9,9 @@ from ..functions import predicates as P
 from ..functions.text import squeeze, strip, stripped_lines
 from ..operators import headings
 from ..operators.ordered import first_rows
-from ..sources.pages import conversation_pages, html_bookmarks, html_layout
+from ..sources.pages import (
+    HTML_BLOCK, HTML_BOLD, HTML_HEADING, conversation_pages, html_bookmarks, html_layout,
+)
 from .tables import strip_sql, table, upper_sql
 
 # -- line tests ---------------------------------------------------------------
@@ -221,14 +223,13 @@ def body_size_mode(spark, d):
     return headings.body_font_sizes(html_layout(table(spark, d, "pages")))
 
 
-_LAYOUT = r"""
-blocks AS (SELECT url, i - 1 AS block_no, m[i].tag AS tag, m[i].bold AS bold,
-    regexp_replace(m[i].txt, '^\s+|\s+$', '', 'g') AS txt
+_INNER = r"regexp_replace(regexp_replace({}, '<br\s*/?>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+_LAYOUT = rf"""
+blocks AS (SELECT url, i - 1 AS block_no, regexp_extract(m[i], '^<(h[1-6]|p)', 1) AS tag,
+    CASE WHEN regexp_matches(m[i], '{HTML_BOLD}') THEN 'b' ELSE '' END AS bold,
+    regexp_replace({_INNER.format('m[i]')}, '^\s+|\s+$', '', 'g') AS txt
   FROM (SELECT url, unnest(range(1, len(m) + 1)) AS i, m FROM (
-    SELECT url, list_zip(regexp_extract_all(html, '<(h[1-6]|p)>(<b>)?([^<]*)', 1),
-        regexp_extract_all(html, '<(h[1-6]|p)>(<b>)?([^<]*)', 2),
-        regexp_extract_all(html, '<(h[1-6]|p)>(<b>)?([^<]*)', 3)) AS z,
-      list_transform(z, lambda x: {'tag': x[1], 'bold': x[2], 'txt': x[3]}) AS m FROM pages))),
+    SELECT url, regexp_extract_all(html, '{HTML_BLOCK}', 0) AS m FROM pages))),
 sized AS (SELECT *, CASE tag WHEN 'h1' THEN 24.0 WHEN 'h2' THEN 18.0 WHEN 'h3' THEN 14.0
     WHEN 'h4' THEN 12.0 WHEN 'p' THEN 10.0 ELSE 11.0 END::DOUBLE AS size FROM blocks),
 w AS (SELECT url, size, sum(len(txt)) AS n, min(block_no) AS place FROM sized WHERE txt <> ''
@@ -392,8 +393,8 @@ WITH {_HEADS} SELECT url AS document_id, CAST(1 AS INTEGER) AS page_number,
     "html_headings": f"""
 WITH {_HEADS},
 toc AS (SELECT url, i, trim(regexp_replace({strip_sql('x')}, '\\s+', ' ', 'g'), ':-. ') AS title, n
-  FROM (SELECT url, generate_subscripts(l, 1) AS i, unnest(l) AS x, len(l) AS n FROM (
-    SELECT url, regexp_extract_all(html, '<h([1-6])>([^<]*)', 2) AS l FROM pages))),
+  FROM (SELECT url, generate_subscripts(l, 1) AS i, {_INNER.format('unnest(l)')} AS x, len(l) AS n FROM (
+    SELECT url, regexp_extract_all(html, '{HTML_HEADING}', 0) AS l FROM pages))),
 s1 AS (SELECT url, 1 AS src, min(i) AS place, title FROM toc WHERE n >= 3 AND title <> ''
     AND len(title) < 140
     AND NOT regexp_matches(upper(title), '{"|".join(K.EXCLUDED_TITLE_WORDS)}') GROUP BY url, title),

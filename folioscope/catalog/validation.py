@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import chunking, duplicates, validation
+from ..session import settle
 from .chunks import SMALL, windows_sql
 from .tables import RAW_PAGES_SQL, raw_pages, strip_sql, table, upper_sql
 
@@ -144,37 +145,34 @@ def section_boundary_leak(spark, d):
     return validation.section_boundary_leak(faulty_chunks(spark, d), known_sections(spark, d))
 
 
-def _all_row_checks():
-    return (
-        validation.missing_field() + validation.empty_chunk() + validation.chunk_id_format()
-        + validation.page_numbers() + validation.token_count_mismatch() + validation.token_bounds()
-        + validation.excluded_section_leak(EXCLUDED) + validation.excluded_content_leak(EXCLUDED)
-        + validation.standalone_page_number() + validation.broken_bullet()
-        + validation.irregular_whitespace() + validation.short_text()
+def _all_issues(spark, d, chunks):
+    return validation.validate(
+        chunks, known_sections(spark, d), excluded=EXCLUDED, headers=HEADERS, prefix=PREFIX
     )
 
 
 def validation_report(spark, d):
-    """Totals of every check of one row and the repeated ids."""
+    """Totals of all checks."""
     chunks = faulty_chunks(spark, d)
-    issues = validation.row_issues(chunks, _all_row_checks()).unionByName(
-        validation.duplicate_chunk_id(chunks)
-    )
-    return validation.summary(chunks, issues)
+    return validation.summary(chunks, _all_issues(spark, d, chunks))
 
 
 def issues_by_check(spark, d):
-    chunks = faulty_chunks(spark, d)
-    issues = validation.row_issues(chunks, _all_row_checks())
+    """All checks with their counts and first issues; issues are stored once."""
+    issues = settle(_all_issues(spark, d, faulty_chunks(spark, d)), "issues")
     return validation.by_check(issues).withColumn("samples", F.array_join("samples", " | "))
 
 
+def publishing_gate(spark, d):
+    """Whether the chunks may be published: no issue of level ERROR."""
+    chunks = faulty_chunks(spark, d)
+    blocked = validation.has_errors(_all_issues(spark, d, chunks))
+    return chunks.agg(F.count(F.lit(1)).alias("total_chunks")).withColumn("blocked", F.lit(blocked))
+
+
 def validate_chunks(spark, d):
     """Every check together, counted per check and level."""
-    chunks = faulty_chunks(spark, d)
-    issues = validation.validate(
-        chunks, known_sections(spark, d), excluded=EXCLUDED, headers=HEADERS, prefix=PREFIX
-    )
+    issues = _all_issues(spark, d, faulty_chunks(spark, d))
     return issues.groupBy("check", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -199,6 +197,7 @@ QUERIES = {
     "chunk_overlaps": chunk_overlaps,
     "section_boundary_leak": section_boundary_leak,
     "validation_report": validation_report,
+    "publishing_gate": publishing_gate,
     "issues_by_check": issues_by_check,
     "validate_chunks": validate_chunks,
 }
@@ -253,7 +252,7 @@ _SQLS = {
     "excluded_section_leak": _sql(
         "ERROR", "excluded_section_leak",
         "concat('Chunk belongs to excluded section ''', section_title, ''' "
-        "(REFERENCES/ANNEXES should not reach chunks.json)')",
+        "(REFERENCES/ANNEXES should not reach the chunk table)')",
         f"section_title IN {EXCLUDED!r}",
     ),
     "excluded_content_leak": _sql(
@@ -293,7 +292,7 @@ _DUPLICATE_IDS = (
 )
 _UNKNOWN = _sql(
     "ERROR", "unknown_section_id",
-    "concat('section_id ''', section_id, ''' not found in sections.json')",
+    "concat('section_id ''', section_id, ''' not found in the section table')",
     "section_id <> 'section_1'",
 )
 _HEADER_LEAK = f"""
@@ -334,6 +333,14 @@ alike AS (SELECT o, min(p) AS p, arg_min(2.0 * m / total, p) AS ratio FROM commo
   WHERE 2.0 * m / total >= {K.DUPLICATE_RATIO} GROUP BY o)"""
 
 
+def _overlap_text(previous: str) -> str:
+    return f"""concat('~', chars, ' chars (~', CAST(round_even(tokens, 0) AS BIGINT), ' tokens, ',
+    CAST(round_even(share * 100, 0) AS BIGINT),
+    '% of the smaller neighboring chunk) shared between tail of ', chr(39), {previous},
+    chr(39), ' and head of this chunk', CASE WHEN share >= 0.5
+    THEN ' — well beyond typical overlap, check the overlap setting' ELSE '' END)"""
+
+
 def _overlap_sql() -> str:
     """Longest common substrings as runs of equal 20-character pieces.
 
@@ -358,11 +365,7 @@ s AS (SELECT doc_id, chunk_no, prev, chars, chars / 4.0::DOUBLE AS tokens,
 SELECT CASE WHEN share >= 0.5 THEN 'ERROR' WHEN share >= 0.3 THEN 'WARNING' ELSE 'INFO' END AS level,
   CASE WHEN share >= 0.3 THEN 'excessive_overlap' ELSE 'measured_overlap' END AS "check",
   concat(doc_id, printf('_c%03d', chunk_no)) AS chunk_id,
-  concat('~', chars, ' chars (~', CAST(round_even(tokens, 0) AS BIGINT), ' tokens, ',
-    CAST(round_even(share * 100, 0) AS BIGINT),
-    '% of the smaller neighboring chunk) shared between tail of ', chr(39), doc_id, printf('_c%03d', prev),
-    chr(39), ' and head of this chunk', CASE WHEN share >= 0.5
-    THEN ' — well beyond typical overlap, check chunker.py overlap logic' ELSE '' END) AS message
+  {_overlap_text("concat(doc_id, printf('_c%03d', prev))")} AS message
 FROM s"""
 
 
@@ -393,38 +396,43 @@ WITH {_alike_sql("SELECT doc_id AS ord, concat('doc_', doc_id) AS chunk_id, text
 SELECT concat('doc_', o) AS chunk_id, concat('doc_', p) AS other_id, round(ratio, 6) AS ratio FROM alike""",
         "chunk_overlaps": _overlap_sql(),
         "section_boundary_leak": f"WITH {CHUNKS_SQL} {_BOUNDARY}",
-        "validation_report": f"""
-WITH {CHUNKS_SQL}, issues AS ({_ROW_ISSUES} UNION ALL {_DUPLICATE_IDS})
-SELECT (SELECT count(*) FROM chunks) AS total_chunks, count(*) FILTER (WHERE level = 'ERROR') AS error_count,
-  count(*) FILTER (WHERE level = 'WARNING') AS warning_count, count(*) FILTER (WHERE level = 'INFO') AS info_count
-FROM issues""",
-        "issues_by_check": f"""
-WITH {CHUNKS_SQL}, issues AS ({_ROW_ISSUES}),
-r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY chunk_id, message) AS r FROM issues)
-SELECT "check", min(level) AS level, count(*) AS n, greatest(0, count(*) - 5) AS more,
-  string_agg(concat('[', chunk_id, '] ', message), ' | ' ORDER BY r) FILTER (WHERE r <= 5) AS samples
-FROM r GROUP BY "check" """,
     }
 )
 
-_VALIDATE = f"""
+_ALL_ISSUES = f"""
 WITH {CHUNKS_SQL},
 {_alike_sql("SELECT ord, chunk_id, text FROM chunks")},
-pr AS (SELECT *, lag(text) OVER w AS before, lag(coalesce(nullif(token_count, 0), {_N})) OVER w AS bn,
+pr AS (SELECT *, lag(text) OVER w AS before, lag(chunk_id) OVER w AS prev, lag(coalesce(nullif(token_count, 0), {_N})) OVER w AS bn,
     coalesce(nullif(token_count, 0), {_N}) AS an FROM chunks
   WINDOW w AS (PARTITION BY document_id, section_id ORDER BY ord)),
-pp AS (SELECT ord, right(before, 1500) AS t, left(text, 1500) AS h, least(an, bn) AS smaller FROM pr
+pp AS (SELECT ord, chunk_id, prev, right(before, 1500) AS t, left(text, 1500) AS h, least(an, bn) AS smaller FROM pr
   WHERE before IS NOT NULL),
 ga AS (SELECT ord, i, substring(t, i, 20) AS g FROM (SELECT *, unnest(range(1, len(t) - 18)) AS i FROM pp)),
 gb AS (SELECT ord, i, substring(h, i, 20) AS g FROM (SELECT *, unnest(range(1, len(h) - 18)) AS i FROM pp)),
 mt AS (SELECT ord, gb.i AS i, gb.i - ga.i AS diagonal FROM ga JOIN gb USING (ord, g)),
 rn AS (SELECT *, i - row_number() OVER (PARTITION BY ord, diagonal ORDER BY i) AS run FROM mt),
 ln_ AS (SELECT ord, diagonal, run, count(*) + 19 AS n FROM rn GROUP BY ALL),
-sh AS (SELECT ord, max(n) / 4.0::DOUBLE / greatest(any_value(smaller), 1) AS share FROM ln_ JOIN pp USING (ord) GROUP BY ord),
+sh AS (SELECT any_value(chunk_id) AS chunk_id, any_value(prev) AS prev, max(n) AS chars,
+    max(n) / 4.0::DOUBLE AS tokens, max(n) / 4.0::DOUBLE / greatest(any_value(smaller), 1) AS share
+  FROM ln_ JOIN pp USING (ord) GROUP BY ord),
 issues AS ({_ROW_ISSUES} UNION ALL {_DUPLICATE_IDS} UNION ALL {_UNKNOWN} UNION ALL {_HEADER_LEAK}
   UNION ALL {_BOUNDARY}
-  UNION ALL SELECT 'ERROR', 'duplicate_chunk_text', '', '' FROM alike
+  UNION ALL SELECT 'ERROR', 'duplicate_chunk_text', a.chunk_id,
+    concat('Near-duplicate text (ratio=', printf('%.2f', ratio), ') with chunk ', chr(39), b.chunk_id, chr(39))
+    FROM alike JOIN chunks a ON a.ord = o JOIN chunks b ON b.ord = p
   UNION ALL SELECT CASE WHEN share >= 0.5 THEN 'ERROR' WHEN share >= 0.3 THEN 'WARNING' ELSE 'INFO' END,
-    CASE WHEN share >= 0.3 THEN 'excessive_overlap' ELSE 'measured_overlap' END, '', '' FROM sh)
-SELECT "check", level, count(*) AS n FROM issues GROUP BY 1, 2"""
-ORACLE["validate_chunks"] = _VALIDATE
+    CASE WHEN share >= 0.3 THEN 'excessive_overlap' ELSE 'measured_overlap' END, chunk_id, {_overlap_text('prev')} FROM sh)
+"""
+ORACLE["validate_chunks"] = f'{_ALL_ISSUES} SELECT "check", level, count(*) AS n FROM issues GROUP BY 1, 2'
+ORACLE["validation_report"] = f"""{_ALL_ISSUES}
+SELECT (SELECT count(*) FROM chunks) AS total_chunks, count(*) FILTER (WHERE level = 'ERROR') AS error_count,
+  count(*) FILTER (WHERE level = 'WARNING') AS warning_count, count(*) FILTER (WHERE level = 'INFO') AS info_count
+FROM issues"""
+ORACLE["publishing_gate"] = f"""{_ALL_ISSUES}
+SELECT (SELECT count(*) FROM chunks) AS total_chunks, count(*) FILTER (WHERE level = 'ERROR') > 0 AS blocked
+FROM issues"""
+ORACLE["issues_by_check"] = f"""{_ALL_ISSUES},
+r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY chunk_id, message) AS r FROM issues)
+SELECT "check", min(level) AS level, count(*) AS n, greatest(0, count(*) - 5) AS more,
+  string_agg(concat('[', chunk_id, '] ', message), ' | ' ORDER BY r) FILTER (WHERE r <= 5) AS samples
+FROM r GROUP BY "check" """

@@ -14,32 +14,46 @@ from ..functions.arrays import each
 from .arrow import map_column
 
 
-def _skip_seen_blocks(text: str, size: int) -> str:
+def _repeated_spans(lines: list[str], size: int) -> list[int]:
+    """Starts of the spans of ``size`` lines to drop.
+
+    A span goes when a line that stays begins an equal span further up.  Only
+    starts of spans that occur further up at all can be such; they are taken
+    from the top, and those inside a dropped span are passed over.
+    """
+    spans = list(zip(*(lines[k:] for k in range(size))))
+    if len(set(spans)) == len(spans):
+        return []
+    places: dict[tuple[str, ...], list[int]] = {}
+    for at, span in enumerate(spans):
+        places.setdefault(span, []).append(at)
+    twins = {at: found[:n] for found in places.values() for n, at in enumerate(found) if n}
+    gone: set[int] = set()
+    starts: list[int] = []
+    for at in sorted(twins):
+        if at not in gone and not gone.issuperset(twins[at]):
+            starts.append(at)
+            gone.update(range(at, at + size))
+    return starts
+
+
+def _without_repeats(text: str, size: int) -> str:
     lines = text.split("\n")
-    seen = set()
-    kept = []
-    at = 0
-    while at < len(lines):
-        block = tuple(lines[at : at + size])
-        if len(block) == size and block in seen:
-            at += size
-            continue
-        if len(block) == size:
-            seen.add(block)
-        kept.append(lines[at])
-        at += 1
-    return "\n".join(kept)
+    for start in reversed(_repeated_spans(lines, size)):
+        del lines[start : start + size]
+    return "\n".join(lines)
 
 
 def dedupe_blocks(df: DataFrame, text: str = "text", size: int = K.BLOCK_LINES) -> DataFrame:
     """Drop a block of lines that was seen before on the page.
 
-    Each skip moves the scan, so blocks depend on earlier skips: this is the
-    one cleaning step that needs Python.
+    Whether a block goes depends on which of the blocks above it went: this is
+    the one cleaning step that needs Python.  Pages without two equal blocks
+    cost a set of their blocks only.
     """
 
     def scan(value: str | None) -> str | None:
-        return None if value is None else _skip_seen_blocks(value, size)
+        return None if value is None else _without_repeats(value, size)
 
     return map_column(df, text, T.StringType(), [text], scan)
 

@@ -30,30 +30,38 @@ def report_text(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_vitals(reports: DataFrame, extractors: list[Extractor]) -> DataFrame:
+def extract_vitals(
+    reports: DataFrame,
+    extractors: list[Extractor],
+    sent: int | None = None,
+    kept: int | None = None,
+) -> DataFrame:
     """``document_id, raw_text, vitals, summary`` by the first extractor that works.
 
     An extractor turns text into JSON.  A report none can read fails the job.
+    Extractors get the whole text and all of it is kept, unless ``sent`` or
+    ``kept`` bounds the characters (``constants.REPORT_TEXT_SENT`` and ``_KEPT``
+    suit models with a small context).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["json"] = [_first_json(extractors, t) for t in batch["text"]]
+            batch["json"] = [_first_json(extractors, t, sent) for t in batch["text"]]
             yield batch
 
     answered = reports.select("document_id", "text").mapInPandas(
         run, "document_id string, text string, json string"
     )
-    return parse_vitals(answered)
+    return parse_vitals(answered, kept=kept)
 
 
-def _first_json(extractors: list[Extractor], text: str) -> str:
+def _first_json(extractors: list[Extractor], text: str, sent: int | None) -> str:
     import json
 
     problem: Exception | None = None
     for extractor in extractors:
         try:
-            answer = extractor.extract(text[: K.REPORT_TEXT_SENT]).strip()
+            answer = extractor.extract(text[:sent]).strip()
             json.loads(answer)
             return answer
         except Exception as error:
@@ -61,12 +69,13 @@ def _first_json(extractors: list[Extractor], text: str) -> str:
     raise RuntimeError(f"no extractor could read the report: {problem}")
 
 
-def parse_vitals(answered: DataFrame, json: str = "json") -> DataFrame:
+def parse_vitals(answered: DataFrame, json: str = "json", kept: int | None = None) -> DataFrame:
     """Read extractor output; a missing summary gets the default text."""
+    text = F.col("text") if kept is None else F.left("text", F.lit(kept))
     vitals = F.from_json(json, schemas.VITALS)
     return answered.select(
         "document_id",
-        F.left("text", F.lit(K.REPORT_TEXT_KEPT)).alias("raw_text"),
+        text.alias("raw_text"),
         vitals.alias("vitals"),
         F.coalesce(vitals["clinical_summary"], F.lit(K.DEFAULT_REPORT_SUMMARY)).alias("summary"),
     )

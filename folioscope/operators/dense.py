@@ -23,10 +23,13 @@ def dense_top_k(
     query_id: str = "query_id",
     **limits,
 ) -> DataFrame:
-    """``query_id, item_id, dense_score, rank``, highest cosine first."""
+    """``query_id, item_id, dense_score, rank``, highest cosine first.
+
+    Rows and queries without a vector are left out.
+    """
     hits = scoring.best_k(
-        vectors.select(item_id, vector),
-        queries.select(query_id, query_vector),
+        vectors.where(F.col(vector).isNotNull()).select(item_id, vector),
+        queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector),
         scoring.vector_scorer(query_id, query_vector),
         k,
         item_id,
@@ -51,7 +54,7 @@ def dense_top_k_prefiltered(
     ``vectors`` needs ``document_id`` and ``pdf_file``; ``queries`` need the
     target columns of :func:`targets.target_keys`.
     """
-    items = vectors.select(
+    items = vectors.where(F.col(vector).isNotNull()).select(
         item_id,
         vector,
         F.lower(F.coalesce(F.col("document_id"), F.lit(""))).alias("_document"),
@@ -61,7 +64,7 @@ def dense_top_k_prefiltered(
     )
     hits = scoring.best_k(
         items,
-        queries.select(
+        queries.where(F.col(query_vector).isNotNull()).select(
             query_id, query_vector, "has_target", "target_id", "target_file", "target_org"
         ),
         scoring.vector_scorer(query_id, query_vector, scoring.document_filter()),

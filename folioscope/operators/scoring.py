@@ -130,6 +130,8 @@ def best_k(
     )
 
     small = queries.limit(max_shipped + 1).toArrow()
+    if not small.num_rows:
+        items = items.limit(0)
     if small.num_rows <= max_shipped:
 
         def shipped(batches):
@@ -173,6 +175,8 @@ def vector_scorer(query_id: str = "query_id", vector: str = "vector", matches=No
 
         def score(batch: pa.RecordBatch):
             rows = _matrix(batch.column(1))
+            if rows.shape[1] != q.shape[1]:
+                raise ValueError(f"vectors of {rows.shape[1]} and of {q.shape[1]} numbers cannot be compared")
             return (rows @ q.T) / _lengths(rows), allow(batch) if allow else None
 
         return ids, score
@@ -183,6 +187,9 @@ def vector_scorer(query_id: str = "query_id", vector: str = "vector", matches=No
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = column.value_lengths().unique()
+    if column.null_count or len(sizes) > 1:
+        raise ValueError(f"vectors must not be null and have one length, not {sizes.to_pylist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 

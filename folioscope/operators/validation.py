@@ -169,7 +169,7 @@ def excluded_section_leak(
                 "ERROR", "excluded_section_leak",
                 _cat(
                     "Chunk belongs to excluded section '", title,
-                    "' (REFERENCES/ANNEXES should not reach chunks.json)",
+                    "' (REFERENCES/ANNEXES should not reach the chunk table)",
                 ),
             ),
         )
@@ -298,7 +298,7 @@ def unknown_section(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     return lost.select(
         _issue(
             "ERROR", "unknown_section_id",
-            _cat("section_id '", F.col("section_id"), "' not found in sections.json"),
+            _cat("section_id '", F.col("section_id"), "' not found in the section table"),
         ).alias("i")
     ).select("i.*")
 
@@ -450,7 +450,7 @@ def overlap_issues(overlaps: DataFrame) -> DataFrame:
         F.col("previous_id"), "' and head of this chunk",
         F.when(
             share >= K.OVERLAP_ERROR,
-            " — well beyond typical overlap, check chunker.py overlap logic",
+            " — well beyond typical overlap, check the overlap setting",
         ).otherwise(""),
     )
     return overlaps.select(

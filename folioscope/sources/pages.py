@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -93,22 +93,26 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
 
 # -- HTML: tag level stands in for font size ----------------------------------
 
-HTML_BLOCK = r"<(h[1-6]|p)>(<b>)?([^<]*)"
+# A heading or paragraph up to its end tag; the start tag may have attributes.
+HTML_BLOCK = r"(?s)<(?:h[1-6]|p)(?:\s[^>]*)?>.*?</(?:h[1-6]|p)>"
+HTML_HEADING = r"(?s)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>"
+HTML_BOLD = r"(?s)^<[^>]*>\s*<b(?:\s[^>]*)?>"
+HTML_TAG = r"(?s)<[^>]*>"
 TAG_SIZE = {"h1": 24.0, "h2": 18.0, "h3": 14.0, "h4": 12.0, "h5": 11.0, "h6": 11.0, "p": 10.0}
 
 
 def html_layout(pages: DataFrame, document_id: str = "url", html: str = "html") -> DataFrame:
-    """Layout rows of HTML texts: one block per heading or paragraph tag."""
+    """Layout rows of HTML texts: one block per heading or paragraph tag.
+
+    The text of a block is all of it up to the end tag, without inline tags; a
+    line break counts as a space.  Blocks are found once and then taken apart.
+    """
     sizes = F.create_map(*[F.lit(x) for pair in TAG_SIZE.items() for x in pair])
-    blocks = F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(HTML_BLOCK), 1).alias("tag"),
-        F.regexp_extract_all(F.col(html), F.lit(HTML_BLOCK), 2).alias("bold"),
-        F.regexp_extract_all(F.col(html), F.lit(HTML_BLOCK), 3).alias("text"),
-    )
+    block = F.col("block")
     return pages.select(
         F.col(document_id).cast("string").alias("document_id"),
         F.lit(1).alias("page_number"),
-        F.posexplode(blocks).alias("block_no", "b"),
+        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HTML_BLOCK), 0)).alias("block_no", "block"),
     ).select(
         "document_id",
         "page_number",
@@ -116,28 +120,29 @@ def html_layout(pages: DataFrame, document_id: str = "url", html: str = "html")
         F.lit(0).alias("line_no"),
         F.array(
             F.struct(
-                strip(F.col("b.text")).alias("text"),
-                F.element_at(sizes, F.col("b.tag")).alias("size"),
-                F.when(F.col("b.bold") != "", "Serif-Bold").otherwise("Serif").alias("font"),
+                strip(inner_text(block)).alias("text"),
+                F.element_at(sizes, F.regexp_extract(block, "^<(h[1-6]|p)", 1)).alias("size"),
+                F.when(block.rlike(HTML_BOLD), "Serif-Bold").otherwise("Serif").alias("font"),
             )
         ).alias("spans"),
     )
 
 
+def inner_text(block: Column) -> Column:
+    """Text between the outer tags of a block, inline tags left out."""
+    return F.regexp_replace(F.regexp_replace(block, r"<br\s*/?>", " "), HTML_TAG, "")
+
+
 def html_bookmarks(pages: DataFrame, document_id: str = "url", html: str = "html") -> DataFrame:
     """Heading tags as bookmarks, all on page 1."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(r"<h([1-6])>([^<]*)"), 1).alias("level"),
-        F.regexp_extract_all(F.col(html), F.lit(r"<h([1-6])>([^<]*)"), 2).alias("title"),
-    )
     return pages.select(
         F.col(document_id).cast("string").alias("document_id"),
-        F.posexplode(found).alias("ord", "b"),
+        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HTML_HEADING), 0)).alias("ord", "block"),
     ).select(
         "document_id",
         "ord",
-        F.col("b.level").cast("int").alias("level"),
-        F.col("b.title").alias("title"),
+        F.substring("block", 3, 1).cast("int").alias("level"),
+        inner_text(F.col("block")).alias("title"),
         F.lit(1).alias("page_number"),
     )
 

@@ -19,14 +19,17 @@ TEXT_CHUNKS = "chunk_id string, document_id string, chunk_no int, token_count in
 
 
 def document_stream(
-    spark: SparkSession, folder: str, schema: str, pattern: str, files_per_batch: int = 64
+    spark: SparkSession, path: str, schema: str, files_per_batch: int = 64
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
+    """New Parquet files of a table as a stream.
+
+    ``path`` is a folder of part files or one file.  A stream takes a single
+    file only as a match of a pattern, so the last letter stands in brackets.
+    """
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{path[:-1]}[{path[-1]}]")
     )
 
 

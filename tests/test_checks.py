@@ -141,7 +141,7 @@ def test_stream_redelivery(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     table = tables.StoredTable(spark, new_run_dir(spark, "redelivery"), TEXT_CHUNKS)
     for attempt in range(2):  # a new checkpoint delivers every file again
-        stream = document_stream(spark, str(tmp_path / "in"), "document_id string, text string", "*.parquet")
+        stream = document_stream(spark, str(tmp_path / "in"), "document_id string, text string")
         start_ingest(stream, table, str(tmp_path / f"progress{attempt}")).awaitTermination()
     assert sorted(r.chunk_id for r in table.read().collect()) == ["a_c001", "b_c001"]
 
