@@ -1,15 +1,17 @@
 """Token files: frequency-ranked ids in a byte-aligned variable-length code.
 
-A file is a sequence of blocks, each closed by a newline.  A block holds the
-documents of one range of ids:
+Below ``blocks`` there is a folder for each range of document ids, in ascending
+order.  Its files are sequences of blocks, each closed by a newline.  A block
+holds documents that follow each other:
 
     magic "TOKB", then little-endian: 32-bit format version, 32-bit number of
-    documents, 64-bit number of ids, 64-bit data bytes; the document ids (64-bit
-    each) and id counts (64-bit each); the control bytes; the data bytes.
+    documents, 64-bit number of the first document in its range, 64-bit number
+    of ids, 64-bit data bytes; the document ids (64-bit each) and id counts
+    (64-bit each); the control bytes; the data bytes.
 
 A control byte tells the lengths of four codes, two bits each, first code in
 the lowest bits.  Codes are the ranks of token ids by frequency, with 1 to 4
-bytes, lowest first.  The ranking is a table of its own beside the files.
+bytes, lowest first.  The ranking is a table of its own beside the blocks.
 """
 
 from __future__ import annotations
@@ -21,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import new_run_dir, settle
+from .bpe import pieces
 from .worker import kept
 
 MAGIC, VERSION = b"TOKB", 1
-HEAD = "<4sIIQQ"
+HEAD = "<4sIIQQQ"
 BLOCK_TOKENS = 1_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000  # in each half of a worker's cache
 
 # Lengths of the four codes of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -62,17 +66,17 @@ def decode_codes(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
     return codes
 
 
-def pack_block(doc_ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
+def pack_block(first: int, doc_ids: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> bytes:
     control, data = encode_codes(codes)
-    head = struct.pack(HEAD, MAGIC, VERSION, len(doc_ids), len(codes), len(data))
+    head = struct.pack(HEAD, MAGIC, VERSION, len(doc_ids), first, len(codes), len(data))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, data])
 
 
-def unpack_blocks(content) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document ids, id counts and codes of each block of a file."""
+def unpack_blocks(content) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First number, document ids, id counts and codes of each block of a file."""
     at = 0
     while at < len(content):
-        magic, version, docs, tokens, size = struct.unpack_from(HEAD, content, at)
+        magic, version, docs, first, tokens, size = struct.unpack_from(HEAD, content, at)
         if magic != MAGIC or version != VERSION:
             raise ValueError("no block begins here")
         at += struct.calcsize(HEAD)
@@ -86,7 +90,7 @@ def unpack_blocks(content) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
         if content[at] != 10:
             raise ValueError("a block is not closed")
         at += 1
-        yield ids, counts, decode_codes(control, data, tokens)
+        yield first, ids, counts, decode_codes(control, data, tokens)
 
 
 # -- tokens -------------------------------------------------------------------
@@ -96,7 +100,9 @@ class WordTokens(dict):
     """Packed token ids of words, by a tokenizer that never joins words.
 
     Words are what stands between ASCII white space, which the tokenizer drops.
-    New words are encoded together, recent ones are kept.
+    The new words of a text are encoded together, as one text, and told apart
+    by the places of their tokens.  Recent words are kept; a full cache becomes
+    the old one, from which words that are needed again come back.
     """
 
     def __init__(self, path: str):
@@ -104,19 +110,34 @@ class WordTokens(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
 
+    def _learn(self, words: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, np.int32)
+        places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = np.searchsorted(places, starts).tolist()
+        packed = ids.tobytes()
+        for word, start, end in zip(words, cuts, cuts[1:]):
+            self[word] = packed[4 * start : 4 * end]
+
     def packed(self, text: str) -> bytes:
         words = text.translate(SPACES).split(" ")
-        fresh = list(set(words).difference(self))
-        if fresh:
-            if len(self) + len(fresh) > CACHED_WORDS:
+        unknown = set(words).difference(self)
+        if unknown:
+            if len(self) + len(unknown) > CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
-                fresh = list(set(words))
-            for word, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self[word] = np.array(made.ids, np.int32).tobytes()
+                unknown = set(words)
+            back = unknown.intersection(self.old)
+            self.update((w, self.old[w]) for w in back)
+            fresh = list(unknown - back)
+            if fresh:
+                self._learn(fresh)
         return b"".join(map(self.__getitem__, words))
 
 
@@ -128,31 +149,49 @@ def word_tokens(path: str) -> WordTokens:
     return kept(("tokenizer", path), lambda: WordTokens(path))
 
 
-def _token_arrays(batches: Iterator[pa.RecordBatch], path: str, end_id: int):
-    """Id and packed ids of each row; the end id closes every document."""
-    packed = word_tokens(path).packed
-    end = np.array([end_id], np.int32).tobytes()
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(batch.num_rows):
-            text = batch.column(1)[at].as_py()
-            yield ids[at], (packed(text) if text else b"") + end
+TOKENS = "range int, number bigint, id bigint, width int, ids binary, tokens array<int>, counts array<bigint>"
 
 
-def token_counts(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """``token`` and ``n`` over all documents, counted per task and added up."""
+def tokenise(texts: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+    """The ids of every row of ``id, text``, numbered in each partition, and one
+    row per partition with the token counts of all its rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1, np.int64)
-        for _, packed in _token_arrays(batches, tokenizer_file, end_id):
-            found = np.bincount(np.frombuffer(packed, np.int32))
-            if len(found) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
-            counts[: len(found)] += found
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["token", "n"])
+    Ids have two bytes each (``width``) if they all fit, else four.
+    """
 
-    return docs.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        packed = word_tokens(tokenizer_file).packed
+        end = np.array([end_id], np.int32).tobytes()
+        totals = np.zeros(1, np.int64)
+        number = 0
+        for batch in pieces(batches):
+            widths, rows = [], []
+            for text in batch.column(1).to_pylist():
+                ids = np.frombuffer((packed(text) if text else b"") + end, np.int32)
+                found = np.bincount(ids)
+                if len(found) > len(totals):
+                    totals = np.concatenate([totals, np.zeros(len(found) - len(totals), np.int64)])
+                totals[: len(found)] += found
+                widths.append(2 if len(found) <= 1 << 16 else 4)
+                rows.append(ids.astype(f"<u{widths[-1]}").tobytes())
+            n = batch.num_rows
+            numbers = np.arange(number, number + n)
+            number += n
+            yield _tokens([part] * n, numbers, batch.column(0), widths, rows, [None] * n, [None] * n)
+        used = np.flatnonzero(totals)
+        yield _tokens([part], [None], [None], [None], [None], [used], [totals[used]])
+
+    return texts.mapInArrow(run, TOKENS)
+
+
+def _tokens(*columns) -> pa.RecordBatch:
+    kinds = [
+        pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()),
+    ]
+    names = ["range", "number", "id", "width", "ids", "tokens", "counts"]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def write(
@@ -166,50 +205,63 @@ def write(
 ) -> None:
     """Write the ids of all documents below ``path``: ``ranks`` and ``blocks``.
 
-    Files are in ascending order of the document id, as are documents in a
-    file.  A null text counts as empty, and every document ends with
-    ``end_id``.  Rows with a null id come first, as id -1.  Rows that repeat an
-    id follow each other.
+    Documents are in ascending order of their id.  A null text counts as empty,
+    and every document ends with ``end_id``.  Rows with a null id come first,
+    as id -1.  Rows that repeat an id follow each other, in order of their text.
 
-    The ranking has one row per token of the vocabulary, so the driver may
-    hold it; it is made of per-task counts.  Documents are dealt out by ranges
-    of their id before they are encoded, so that sampling the ranges reads
-    texts but does not encode them.
+    Documents are dealt out by ranges of their id, then encoded once; the plain
+    ids are written in between, since the ranking needs all counts.  It has one
+    row per token of the vocabulary, so the driver may hold it; it is made of
+    per-task counts.
     """
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("id"), F.col(text_col).alias("text")
     )
-    ranks_path, blocks_path = f"{path}/ranks", f"{path}/blocks"
-    counted = token_counts(texts, tokenizer_file, end_id).orderBy(F.desc("n"), "token").toArrow()
-    by_rank = counted.column("token").to_numpy()
     spark = docs.sparkSession
-    spark.createDataFrame(
-        pa.table({"rank": np.arange(len(by_rank)), "token": by_rank})
-    ).coalesce(1).write.parquet(ranks_path)
+    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
+    plain = new_run_dir(spark, "plain_ids")
+    tokenise(ordered, tokenizer_file, end_id).write.option("compression", "zstd").parquet(plain)
+    stored = spark.read.parquet(plain)
+    counted = stored.where("number is null").select(
+        F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("counts").alias("n"))).alias("c")
+    )
+    ranked = (
+        counted.groupBy("c.token").agg(F.sum("c.n").alias("n")).orderBy(F.desc("n"), "token").toArrow()
+    )
+    by_rank = ranked.column("token").to_numpy()
+    ranks = pa.table({"rank": np.arange(len(by_rank)), "token": by_rank})
+    spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(ids, parts):
-            codes = rank_of[np.frombuffer(b"".join(parts), np.int32)]
-            counts = np.array([len(p) // 4 for p in parts], np.int64)
-            packed = pack_block(np.array(ids, np.int64), counts, codes)
-            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["value"])
-
-        ids, parts, size = [], [], 0
-        for doc_id, packed in _token_arrays(batches, tokenizer_file, end_id):
-            ids.append(doc_id)
-            parts.append(packed)
-            size += len(packed) // 4
-            if size >= BLOCK_TOKENS:
-                yield block(ids, parts)
-                ids, parts, size = [], [], 0
+        def block():
+            codes = np.concatenate([rank_of[x] for x in parts])
+            counts = np.array([len(x) for x in parts], np.int64)
+            packed = pack_block(first, np.array(ids, np.int64), counts, codes)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f"{part:08d}"]), pa.array([packed], pa.binary())], names=["range", "value"]
+            )
+
+        part, first, size, ids, parts = -1, 0, 0, [], []
+        for batch in pieces(batches):
+            for now, number, doc_id, width, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if ids and (size >= BLOCK_TOKENS or now != part or number != first + len(ids)):
+                    yield block()
+                    size, ids, parts = 0, [], []
+                if not ids:
+                    part, first = now, number
+                ids.append(doc_id)
+                parts.append(np.frombuffer(packed, f"<u{width}"))
+                size += len(parts[-1])
         if ids:
-            yield block(ids, parts)
+            yield block()
 
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
-    blocks = ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    blocks.write.option("lineSep", "\n").text(blocks_path)
+    rows = stored.where("number is not null").select("range", "number", "id", "width", "ids")
+    blocks = rows.mapInArrow(run, "range string, value binary")
+    blocks.select("range", F.col("value").cast("string")).write.option("lineSep", "\n").partitionBy(
+        "range"
+    ).text(f"{path}/blocks")
 
 
 def read_ranks(spark: SparkSession, path: str) -> np.ndarray:
@@ -219,20 +271,20 @@ def read_ranks(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """``file, place, doc_id, n_tokens`` and ``ids`` (with ``digest`` their
-    unsigned CRC-32 instead) of every document below ``path``.
+    """``range, first, place, doc_id, n_tokens`` and ``ids`` (with ``digest``
+    their unsigned CRC-32 instead) of every document below ``path``.
 
-    ``place`` is the number of ids before a document in its file.
+    ``first`` is the number of a block's first document in its range, and
+    ``place`` the number of ids before a document in its block.
     """
     token_at = read_ranks(spark, path)
     last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))
-    names = ["file", "place", "doc_id", "n_tokens", last[0]]
+    names = ["file", "first", "place", "doc_id", "n_tokens", last[0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                before = 0
-                for ids, counts, codes in unpack_blocks(content.as_buffer()):
+                for first, ids, counts, codes in unpack_blocks(content.as_buffer()):
                     tokens = token_at[codes]
                     ends = np.cumsum(counts)
                     if digest:
@@ -245,32 +297,42 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * len(ids), pa.string()),
-                            pa.array(before + ends - counts),
+                            pa.array([first] * len(ids), pa.int64()),
+                            pa.array(ends - counts),
                             pa.array(ids.astype(np.int64)),
                             pa.array(counts.astype(np.int64)),
                             made,
                         ],
                         names=names,
                     )
-                    before += int(ends[-1])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks")
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "part-*")
+        .option("recursiveFileLookup", "true")
+        .load(f"{path}/blocks")
+    )
     kind = "ids_crc32 bigint" if digest else "ids array<int>"
-    return files.select("path", "content").mapInArrow(
-        run, f"file string, place bigint, doc_id bigint, n_tokens bigint, {kind}"
+    found = files.select("path", "content").mapInArrow(
+        run, f"file string, first bigint, place bigint, doc_id bigint, n_tokens bigint, {kind}"
     )
+    return found.withColumn("range", F.regexp_extract("file", "/range=([0-9]+)/", 1)).drop("file")
 
 
 def with_starts(found: DataFrame) -> DataFrame:
     """``start``: the number of ids in all documents before.
 
-    Files are added up first and only files are numbered in one task; part
-    file names are in document order.
+    Blocks are added up first, then ranges; only ranges are numbered in one
+    task.
     """
-    sums = found.groupBy("file").agg(F.sum("n_tokens").alias("sum"))
-    order = Window.orderBy("file")
-    before = sums.select("file", (F.sum("sum").over(order) - F.col("sum")).alias("before"))
-    return found.join(before, "file").withColumn("start", F.col("before") + F.col("place"))
+    blocks = found.groupBy("range", "first").agg(F.sum("n_tokens").alias("sum"))
+    upto = Window.partitionBy("range").orderBy("first")
+    inside = blocks.withColumn("inside", F.sum("sum").over(upto) - F.col("sum"))
+    ranges = blocks.groupBy("range").agg(F.sum("sum").alias("sum"))
+    order = Window.orderBy("range")
+    before = ranges.select("range", (F.sum("sum").over(order) - F.col("sum")).alias("before"))
+    starts = inside.join(before, "range").select("range", "first", (F.col("before") + F.col("inside")).alias("begin"))
+    return found.join(starts, ["range", "first"]).withColumn("start", F.col("begin") + F.col("place")).drop("begin")
 
 
 # -- the query ----------------------------------------------------------------
