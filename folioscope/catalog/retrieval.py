@@ -9,6 +9,7 @@ from ..operators import context, dense, fusion, lexical, state, targets
 from ..operators.clinical import parse_vitals
 from ..plans.ask import ask as ask_plan
 from ..plans.ask import leg_size
+from ..session import new_run_dir, settle
 from .tables import (
     QUESTIONS_SQL,
     corpus,
@@ -52,6 +53,14 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_scor
 """
 
 
+def bm25_stored_index(spark, d):
+    """An index is built and stored, loaded again, and searched without the texts."""
+    path = new_run_dir(spark, "stored_bm25")
+    lexical.build_index(corpus(spark, d), "index_text", path=path)
+    index = lexical.Bm25Index.load(spark, path)
+    return lexical.bm25_top_k(None, text_questions(spark, d), K.TOP_K, index=index)
+
+
 def retrieve_bm25(spark, d):
     return lexical.bm25_top_k(
         corpus(spark, d), text_questions(spark, d), K.TOP_K, text="index_text"
@@ -240,7 +249,7 @@ def _sources(spark, d):
         F.size(F.split("text", "\n", -1)).alias("page_end"),
         "text",
     )
-    return context.format_sources(context.attach_chunks(hits, chunks, few_hits=True))
+    return context.format_sources(context.attach_chunks(settle(hits, "hits"), chunks))
 
 
 def format_sources(spark, d):
@@ -391,6 +400,7 @@ def ask(spark, d):
 QUERIES = {
     "bm25_idf": bm25_idf,
     "retrieve_bm25": retrieve_bm25,
+    "bm25_stored_index": bm25_stored_index,
     "retrieve_bm25_filtered": retrieve_bm25_filtered,
     "retrieve_bm25_prefiltered": retrieve_bm25_prefiltered,
     "retrieve_dense": retrieve_dense,
@@ -568,3 +578,4 @@ c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)
 SELECT conv_id::VARCHAR AS user_id, turns, k, event_type AS summary
 FROM c LEFT JOIN r ON r.user_id = c.conv_id""",
 }
+ORACLE["bm25_stored_index"] = ORACLE["retrieve_bm25"]

@@ -168,21 +168,36 @@ def split_into_chunks(
     )
 
 
+PAGE_BUCKET = 64
+
+
 def section_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Each section with its pages: equality on the document, range on the page.
+    """Each section with its pages: equality on the document and on a bucket of
+    pages, then the range.
 
-    A document's sections are few; Spark ships the section table when small.
+    A section is repeated for each bucket it reaches into, so a page meets the
+    sections near it only, and a document with very many pages and sections is
+    spread over its buckets.
     """
-    s = sections.select(
-        "document_id", "section_id", "section_title", "start_page", "end_page"
-    ).alias("s")
-    p = pages.alias("p")
-    return p.join(
-        s,
-        (F.col("p.document_id") == F.col("s.document_id"))
-        & (F.col("p.page_number") >= F.col("s.start_page"))
-        & (F.col("p.page_number") <= F.col("s.end_page")),
-    ).select("p.document_id", "s.section_id", "s.section_title", "p.page_number", "p.text")
+    s = sections.where(F.col("start_page") <= F.col("end_page")).select(
+        "document_id",
+        "section_id",
+        "section_title",
+        "start_page",
+        "end_page",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("start_page") / PAGE_BUCKET), F.floor(F.col("end_page") / PAGE_BUCKET)
+            )
+        ).alias("_bucket"),
+    )
+    p = pages.withColumn("_bucket", F.floor(F.col("page_number") / PAGE_BUCKET))
+    inside = F.col("page_number").between(F.col("start_page"), F.col("end_page"))
+    return (
+        p.join(s, ["document_id", "_bucket"])
+        .where(inside)
+        .select("document_id", "section_id", "section_title", "page_number", "text")
+    )
 
 
 def trim_section_lines(

@@ -16,15 +16,13 @@ def ordered_text(order: str, text: str, separator: str) -> Column:
     return F.array_join(F.transform(pairs, lambda p: p[text]), separator)
 
 
-def attach_chunks(
-    hits: DataFrame, chunks: DataFrame, item_id: str = "chunk_id", few_hits: bool = False
-) -> DataFrame:
+def attach_chunks(hits: DataFrame, chunks: DataFrame, item_id: str = "chunk_id") -> DataFrame:
     """Join chunk columns to hits after ranking, so text never enters the ranking.
 
-    ``few_hits`` may be set when the caller knows that queries x k is small; the
-    chunk table is then scanned without a shuffle.
+    Written hits have a size that Spark knows; if it is small, the chunk table
+    is scanned without a shuffle.
     """
-    return (F.broadcast(hits) if few_hits else hits).join(chunks, item_id)
+    return hits.join(chunks, item_id)
 
 
 def format_sources(hits: DataFrame, score: str = "score") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.arrays import each
 from ..functions.tokens import search_terms
+from ..session import new_run_dir
 from . import scoring
 
 
@@ -18,15 +21,21 @@ def corpus_text(title: Column, text: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))
 
 
-def term_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
+def term_table(
+    corpus: DataFrame, item_id: str = "chunk_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``item_id, terms`` and the columns of ``keep``: every text cut into terms."""
+    return corpus.select(item_id, search_terms(F.col(text)).alias("terms"), *keep)
+
+
+def term_counts(table: DataFrame) -> DataFrame:
     """``term, df, length``: document count per term in one pass.
 
     The row with a null term counts the documents and sums their lengths; both
     kinds of row are reduced before the shuffle.
     """
-    terms = corpus.select(search_terms(F.col(text)).alias("terms"))
     marked = each(
-        terms,
+        table.select("terms"),
         [F.size("terms").alias("n")],
         F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string"))),
         "term",
@@ -43,12 +52,18 @@ def _raw_idf(n_docs: int) -> Column:
 
 @dataclass
 class Bm25Index:
-    """Corpus statistics: three numbers and a table ``term, df``."""
+    """Stored statistics and term table of a corpus.
+
+    ``terms`` is ``term, df``; ``items`` is the :func:`term_table`, so a search
+    neither reads nor cuts texts again.
+    """
 
     n_docs: int
     average_length: float
     idf_floor: float
     terms: DataFrame
+    items: DataFrame
+    path: str
 
     def idf(self) -> DataFrame:
         """``term, df, idf``; negative values are lifted to the floor."""
@@ -57,53 +72,53 @@ class Bm25Index:
             "term", "df", F.when(raw < 0, F.lit(self.idf_floor)).otherwise(raw).alias("idf")
         )
 
-    def save(self, path: str) -> None:
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        totals = self.terms.sparkSession.createDataFrame(
-            [(self.n_docs, self.average_length, self.idf_floor)],
-            "n_docs bigint, average_length double, idf_floor double",
-        )
-        totals.write.mode("overwrite").parquet(f"{path}/totals")
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Bm25Index":
         row = spark.read.parquet(f"{path}/totals").first()
-        terms = spark.read.parquet(f"{path}/terms")
-        return Bm25Index(row.n_docs, row.average_length, row.idf_floor, terms)
-
-    def close(self) -> None:
-        self.terms.unpersist()
+        terms = spark.read.parquet(f"{path}/terms").where(F.col("term").isNotNull()).select("term", "df")
+        items = spark.read.parquet(f"{path}/items")
+        return Bm25Index(row.n_docs, row.average_length, row.idf_floor, terms, items, path)
 
 
 def build_index(
-    corpus: DataFrame, text: str = "text", epsilon: float = K.BM25_EPSILON
+    corpus: DataFrame,
+    text: str = "text",
+    item_id: str = "chunk_id",
+    keep: Sequence[str] = (),
+    path: str | None = None,
+    epsilon: float = K.BM25_EPSILON,
 ) -> Bm25Index:
-    """Count the corpus once; the counts stay cached until ``close``.
+    """Cut the corpus into terms once, count them and store both below ``path``
+    (a new folder for the run if there is none).
 
-    Runs two small jobs for the totals; only three numbers reach the driver.
+    An index that is there is replaced.  Three numbers reach the driver; they
+    are written last, so an index that was cut short cannot be loaded.
     """
-    counts = term_counts(corpus, text).persist()
+    spark = corpus.sparkSession
+    path = path or new_run_dir(spark, "bm25")
+    none = spark.createDataFrame([], "n_docs bigint, average_length double, idf_floor double")
+    none.write.mode("overwrite").parquet(f"{path}/totals")
+    term_table(corpus, item_id, text, keep).write.mode("overwrite").parquet(f"{path}/items")
+    counted = f"{path}/terms"
+    term_counts(spark.read.parquet(f"{path}/items")).write.mode("overwrite").parquet(counted)
+    counts = spark.read.parquet(counted)
     totals = counts.where(F.col("term").isNull()).first()
-    terms = counts.where(F.col("term").isNotNull()).select("term", "df")
-    if totals is None:
-        return Bm25Index(0, 0.0, 0.0, counts.select("term", "df"))
-    n_docs = totals.df
-    mean = terms.agg(F.avg(_raw_idf(n_docs))).first()[0]
-    index = Bm25Index(
-        n_docs, (totals.length or 0) / n_docs, epsilon * (mean or 0.0), terms
-    )
-    index.close = counts.unpersist  # the cached plan is the one with the totals row
-    return index
+    n_docs = totals.df if totals else 0
+    mean = counts.where(F.col("term").isNotNull()).agg(F.avg(_raw_idf(n_docs))).first()[0]
+    row = (n_docs, (totals.length or 0) / n_docs if n_docs else 0.0, epsilon * (mean or 0.0))
+    spark.createDataFrame([row], none.schema).write.mode("overwrite").parquet(f"{path}/totals")
+    return Bm25Index.load(spark, path)
 
 
 def reload_index(spark: SparkSession, path: str, current: Bm25Index) -> Bm25Index:
     """Load the index written at ``path``; keep the current one if there is none."""
     try:
-        return Bm25Index.load(spark, path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return current
-        raise
+        found = spark.read.parquet(f"{path}/totals").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return current
+    return Bm25Index.load(spark, path) if found else current
 
 
 def query_weights(
@@ -142,23 +157,19 @@ def bm25_top_k(
     """``query_id, item_id, bm25_score, rank``, highest score first.
 
     Documents without any query term score 0 and fill the list when fewer than
-    ``k`` match; equal scores follow the id order.
+    ``k`` match; equal scores follow the id order.  With a stored ``index``
+    the ``corpus`` is not read; without one it is indexed first.
     """
-    own = index is None
-    if own:
-        index = build_index(corpus, text)
-    weights = query_weights(queries, index, query_text, query_id)
+    index = index or build_index(corpus, text, item_id)
     hits = scoring.best_k(
-        corpus.select(item_id, search_terms(F.col(text)).alias("terms")),
-        weights,
+        index.items.select(item_id, "terms"),
+        query_weights(queries, index, query_text, query_id),
         scoring.term_scorer(index.average_length, k1, b, query_id),
         k,
         item_id,
         query_id,
         **limits,
     )
-    if own:
-        index.close()
     return hits.withColumnRenamed("score", "bm25_score")
 
 
@@ -175,16 +186,17 @@ def bm25_top_k_prefiltered(
     b: float = K.BM25_B,
     **limits,
 ) -> DataFrame:
-    """As ``bm25_top_k``, ranking only chunks of each query's target document."""
-    own = index is None
-    if own:
-        index = build_index(corpus, text)
+    """As ``bm25_top_k``, ranking only chunks of each query's target document.
+
+    A given ``index`` has to keep ``document_id`` and ``pdf_file``.
+    """
+    index = index or build_index(corpus, text, item_id, ("document_id", "pdf_file"))
     weights = query_weights(queries, index, query_text, query_id).join(
         queries.select(query_id, "has_target", "target_id", "target_file", "target_org"), query_id
     )
-    items = corpus.select(
+    items = index.items.select(
         item_id,
-        search_terms(F.col(text)).alias("terms"),
+        "terms",
         F.lower(F.coalesce(F.col("document_id"), F.lit(""))).alias("_document"),
         F.regexp_replace(
             F.lower(F.coalesce(F.col("pdf_file"), F.lit(""))), r"\.pdf", ""
@@ -199,6 +211,4 @@ def bm25_top_k_prefiltered(
         query_id,
         **limits,
     )
-    if own:
-        index.close()
     return hits.withColumnRenamed("score", "bm25_score")

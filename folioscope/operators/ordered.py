@@ -173,19 +173,32 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def _orderable(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Tie keys.  Long values stand as hashes, so a key stays small."""
+    plain = {"string", "binary"}
+    keys = []
+    for c in columns:
+        kind = df.schema[c].dataType.simpleString()
+        if "map<" not in kind and "variant" not in kind:
+            keys.append(F.xxhash64(c) if kind in plain else F.col(c))
+    return keys
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row of each group by ``order``; groups are reduced before the shuffle."""
+    """First row of each group by ``order``, then by the other columns that have
+    an order; groups are reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+        F.min_by(F.struct(*rest), F.struct(*order, *_orderable(df, rest))).alias("_row")
     )
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(df.columns)
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row of each group by ``order``; groups are reduced before the shuffle."""
+    """Last row of each group by ``order``, then by the other columns that have
+    an order; groups are reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+        F.max_by(F.struct(*rest), F.struct(*order, *_orderable(df, rest))).alias("_row")
     )
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(df.columns)

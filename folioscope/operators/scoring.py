@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from ..session import settle
 from .ordered import top_k
 
@@ -41,9 +43,13 @@ class BestK:
     def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
         self.kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n_queries
+        self.least = np.full(n_queries, -np.inf)  # k-th best score of each query so far
 
     def add(self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None) -> None:
-        for q in range(len(self.kept)):
+        if not len(ids):
+            return
+        # Queries for which no row reaches the k-th best score are passed over.
+        for q in np.flatnonzero(scores.max(axis=0) >= self.least).tolist():
             column = scores[:, q]
             row_ids = ids
             if allowed is not None:
@@ -59,6 +65,8 @@ class BestK:
                 row_ids = np.concatenate([self.kept[q][1], row_ids])
             order = np.lexsort((row_ids, -column))[: self.k]
             self.kept[q] = (column[order], row_ids[order])
+            if len(order) == self.k:
+                self.least[q] = column[order[-1]]
 
     def table(self, query_ids: list, schema: pa.Schema) -> pa.Table:
         qs, ids, scores = [], [], []
@@ -123,8 +131,8 @@ def best_k(
     out = f"{query_id} {query_type}, {item_id} {id_type}, score double"
     arrow_out = pa.schema(
         [
-            (query_id, pa.string() if query_type == "string" else pa.int64()),
-            (item_id, pa.string() if id_type == "string" else pa.int64()),
+            (query_id, to_arrow_type(queries.schema[query_id].dataType)),
+            (item_id, to_arrow_type(items.schema[item_id].dataType)),
             ("score", pa.float64()),
         ]
     )

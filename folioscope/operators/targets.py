@@ -189,19 +189,17 @@ def keep_target_hits(
     k: int,
     item_id: str = "chunk_id",
     query_id: str = "query_id",
-    few_hits: bool = False,
 ) -> DataFrame:
     """Filter over-fetched hits by each query's target and rank them again.
 
     ``hits`` are the best :func:`overfetch` rows per query (queries without a
     target use the same list: its first ``k`` rows are theirs).  The filter
-    sits above the rank limit, so fewer than ``k`` rows may remain.  With
-    ``few_hits`` (queries x over-fetch counted to be small) the hits are
-    broadcast and the document table is scanned in place.
+    sits above the rank limit, so fewer than ``k`` rows may remain.  The hits
+    are written first; Spark broadcasts them if the written size allows it and
+    then scans the document table in place.
     """
     keys = queries.select(query_id, "has_target", "target_id", "target_file", "target_org")
-    wanted = hits.join(keys, query_id)
-    joined = (F.broadcast(wanted) if few_hits else wanted).join(
+    joined = settle(hits.join(keys, query_id), "wide_hits").join(
         documents.select(item_id, "document_id", "pdf_file"), item_id
     )
     kept = joined.where(matches_target(F.col("document_id"), F.col("pdf_file")))

@@ -14,24 +14,22 @@ from ..plugins import Embedder, Generator, embed, generate
 from ..session import settle
 
 MODES = ("dense", "sparse", "hybrid", "score_fusion")
-FEW_HITS = 100_000
-FEW_QUERIES = 1_000
 
 
 def leg_size(k: int) -> int:
     return max(k * K.LEG_FACTOR, K.LEG_MIN)
 
 
-def _dense(chunks, queries, k, filtered, prefilter, item_id, few):
+def _dense(chunks, queries, k, filtered, prefilter, item_id):
     if not filtered:
         return dense.dense_top_k(chunks, queries, k, item_id)
     if prefilter:
         return dense.dense_top_k_prefiltered(chunks, queries, k, item_id)
     wide = dense.dense_top_k(chunks, queries, targets.overfetch(k), item_id)
-    return targets.keep_target_hits(wide, queries, chunks, k, item_id, few_hits=few)
+    return targets.keep_target_hits(wide, queries, chunks, k, item_id)
 
 
-def _sparse(chunks, queries, k, filtered, prefilter, item_id, few, index):
+def _sparse(chunks, queries, k, filtered, prefilter, item_id, index):
     if not filtered:
         return lexical.bm25_top_k(chunks, queries, k, item_id, "index_text", index=index)
     if prefilter:
@@ -41,7 +39,7 @@ def _sparse(chunks, queries, k, filtered, prefilter, item_id, few, index):
     wide = lexical.bm25_top_k(
         chunks, queries, targets.overfetch(k), item_id, "index_text", index=index
     )
-    return targets.keep_target_hits(wide, queries, chunks, k, item_id, few_hits=few)
+    return targets.keep_target_hits(wide, queries, chunks, k, item_id)
 
 
 def retrieve(
@@ -65,19 +63,15 @@ def retrieve(
         corpus = chunks.withColumn(
             "index_text", lexical.corpus_text(F.col("section_title"), F.col("text"))
         )
-    few = (
-        filtered and not prefilter
-        and queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    )
     if mode == "dense":
-        hits = _dense(corpus, queries, k, filtered, prefilter, item_id, few)
+        hits = _dense(corpus, queries, k, filtered, prefilter, item_id)
         return hits.withColumn("score", F.col("dense_score"))
     if mode == "sparse":
-        hits = _sparse(corpus, queries, k, filtered, prefilter, item_id, few, index)
+        hits = _sparse(corpus, queries, k, filtered, prefilter, item_id, index)
         return hits.withColumn("score", F.col("bm25_score"))
     n = leg_size(k)
-    left = _dense(corpus, queries, n, filtered, prefilter, item_id, few)
-    right = _sparse(corpus, queries, n, filtered, prefilter, item_id, few, index)
+    left = _dense(corpus, queries, n, filtered, prefilter, item_id)
+    right = _sparse(corpus, queries, n, filtered, prefilter, item_id, index)
     fuse = (
         fusion.relative_score_fusion if mode == "score_fusion" else fusion.reciprocal_rank_fusion
     )
@@ -136,8 +130,7 @@ def ask(
         ),
         "hits",
     )
-    few = hits.count() <= FEW_HITS
-    sources = context.format_sources(context.attach_chunks(hits, chunks, few_hits=few))
+    sources = context.format_sources(context.attach_chunks(hits, chunks))
     out = q.join(context.collect_sources(sources), "query_id", "left").withColumn(
         "context", context.context_text(F.col("sources"))
     )

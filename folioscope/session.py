@@ -66,7 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if master.startswith("local") and not master.startswith("local-cluster"):
         return _local_dir()
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
 

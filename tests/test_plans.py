@@ -99,11 +99,44 @@ def test_index_save_and_reload(spark):
     index = lexical.build_index(corpus)
     path = new_run_dir(spark, "index")
     assert lexical.reload_index(spark, path, index) is index
-    index.save(path)
+    lexical.build_index(corpus, path=path)
     again = lexical.reload_index(spark, path, index)
     assert again is not index and again.n_docs == 3 and again.average_length == index.average_length
     assert sorted(map(tuple, again.idf().collect())) == sorted(map(tuple, index.idf().collect()))
-    index.close()
+    asked = spark.createDataFrame([(1, "dose of salt")], "query_id int, query string")
+    hits = lexical.bm25_top_k(None, asked, 2, index=again)
+    assert [r.chunk_id for r in hits.orderBy("rank").collect()] == [1, 2]
+    assert "text" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_without_queries_or_vectors(spark):
+    from folioscope.operators import dense
+
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "chunk_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id int, vector array<double>")
+    found = dense.dense_top_k(items, asked, 5).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(1, 1), (1, 3)]
+    assert dense.dense_top_k(items, asked.limit(0), 5).collect() == []
+    longer = spark.createDataFrame([(1, [1.0, 1.0, 1.0])], "query_id int, vector array<double>")
+    with pytest.raises(Exception, match="cannot be compared"):
+        dense.dense_top_k(items, longer, 5).collect()
+
+
+def test_pages_of_many_sections(spark):
+    """A page meets the sections of its bucket only."""
+    from folioscope.operators import chunking
+
+    pages = spark.range(1, 1001).selectExpr("'d' AS document_id", "CAST(id AS INT) AS page_number", "'t' AS text")
+    sections = spark.range(0, 500).selectExpr(
+        "'d' AS document_id", "concat('s', id) AS section_id", "'x' AS section_title",
+        "CAST(2 * id + 1 AS INT) AS start_page", "CAST(2 * id + 2 + (id % 3) * 100 AS INT) AS end_page",
+    )
+    found = chunking.section_pages(pages, sections)
+    expected = sum(
+        1 for i in range(500) for p in range(2 * i + 1, min(1000, 2 * i + 2 + (i % 3) * 100) + 1)
+    )
+    assert found.count() == expected
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 class Broken:
