@@ -193,7 +193,7 @@ def stream_ingest(spark, d):
     documents = document_stream(spark, f"{d}/documents.parquet", SCHEMAS["documents"]).select(
         F.col("doc_id").cast("string").alias("document_id"), "text"
     )
-    chunks = StoredTable(spark, f"{folder}/chunks", TEXT_CHUNKS)
+    chunks = StoredTable(spark, f"{folder}/chunks", TEXT_CHUNKS, "chunk_id")
     start_ingest(documents, chunks, f"{folder}/progress", text_chunks).awaitTermination()
     return chunks.read()
 

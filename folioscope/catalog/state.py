@@ -149,10 +149,10 @@ def stored_tables(spark, d):
     """Chats through the stored table: insert, insert again, upsert, delete."""
     chats = _chats(spark, d)
     store = open_state(spark, new_run_dir(spark, "state"))["user_chats"]
-    store.insert_if_absent(chats, "id")
-    store.insert_if_absent(chats.withColumn("title", F.lit("again")), "id")
+    store.insert_if_absent(chats)
+    store.insert_if_absent(chats.withColumn("title", F.lit("again")))
     newer = chats.where(F.col("title") == "click").withColumn("title", F.lit("clicked"))
-    store.upsert(newer.withColumn("updated_at", F.col("updated_at") + 1), "id", "updated_at")
+    store.upsert(newer.withColumn("updated_at", F.col("updated_at") + 1), "updated_at")
     store.delete(chats.where(F.col("title") == "view").select("id", "user_id"), ["id", "user_id"])
     return store.read()
 

@@ -12,9 +12,10 @@ from ..functions import constants as K
 from ..functions import predicates as P
 from ..functions.text import strip
 from ..functions.tokens import Tokenizer
-from ..operators import chunking, headings
+from ..operators import chunking, dense, headings
 from ..operators.chunking import ChunkSize
 from ..plugins import Embedder, embed
+from ..session import settle
 from ..sources.pages import clean_pages
 
 Progress = Callable[[str, str, float], None]
@@ -171,15 +172,17 @@ def ingest(
 ) -> Ingested:
     """The way for any document: clean, detect sections, chunk.
 
-    Lazy; ``documents`` is ``document_id, document_name, pdf_file``.
+    ``documents`` is ``document_id, document_name, pdf_file``.  Cleaned pages,
+    headings and chunks are written once each and read from there on.
     """
-    pages = clean_pages(raw_pages, keep_blank=False) if clean else raw_pages
+    pages = settle(clean_pages(raw_pages, keep_blank=False), "clean_pages") if clean else raw_pages
     found = headings.detect_headings(pages, bookmarks, layout)
     sections = headings.detected_sections(found, pages)
     included = sections.where(~P.has_excluded_word(F.col("section_title")))
     paged = chunking.section_pages(pages, included).where(strip(F.col("text")) != "")
     chunks = _section_chunks(paged, size, tokenizer)
-    return Ingested(pages, sections, _identified(chunks, documents, F.col("document_id")))
+    chunks = settle(_identified(chunks, documents, F.col("document_id")), "chunks")
+    return Ingested(pages, sections, chunks)
 
 
 def registry_rows(
@@ -219,11 +222,14 @@ def store(
     embedder: Embedder | None = None,
     organization: str = "Clinical Guideline",
     progress: Progress | None = None,
+    vector_table=None,
 ) -> int:
     """Write chunks (first write wins) and registry rows, reporting progress.
 
-    With an embedder the stored chunks carry vectors.  Raises when no chunk
-    came out of the documents.  Returns the number of stored chunks.
+    With an embedder the stored chunks carry vectors; only chunks that are not
+    stored yet are embedded, once.  With a ``vector_table`` they are upserted
+    there as points.  Raises when no chunk came out of the documents.  Returns
+    the number of stored chunks.
     """
     percent = dict(K.STAGE_PERCENT)
 
@@ -233,16 +239,18 @@ def store(
 
     tell("start", "Starting ingestion")
     tell("chunks", "Building chunks")
-    rows = done.chunks
-    if embedder is not None:
+    rows = settle(chunk_table.absent(done.chunks), "new_chunks")
+    added = rows.count()
+    if added and embedder is not None:
         tell("embed", "Embedding chunks")
-        rows = embed(rows, embedder)
+        rows = settle(embed(rows, embedder), "vectors")
     tell("index", "Writing chunks")
-    before = chunk_table.count()
-    chunk_table.insert_if_absent(rows, "chunk_id")
-    stored = chunk_table.count()
-    if stored == 0:
+    if added:
+        chunk_table.append(rows)
+    elif done.chunks.isEmpty():
         raise ValueError("no chunk could be made from the documents")
-    registry_table.insert_if_absent(registry_rows(done, documents, organization), "document_id")
-    tell("done", f"Stored {stored - before} chunks")
-    return stored - before
+    if vector_table is not None and added:
+        vector_table.upsert(dense.to_points(rows), "point_id")
+    registry_table.insert_if_absent(registry_rows(done, documents, organization))
+    tell("done", f"Stored {added} chunks")
+    return added

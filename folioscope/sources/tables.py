@@ -1,84 +1,116 @@
-"""Stored tables on a shared file system, written by Spark only.
+"""Stored tables: Parquet folders that Spark partitions by a hash of the key.
 
-A table is a folder of versions plus a commit log.  A version becomes visible
-when its commit row is appended, so a job that dies half-way leaves the old
-content in place, and a table can be rewritten from its own content.  Inserts
-append a version and leave the stored rows untouched.  One writer at a time.
+A write touches the partitions of its own keys only.  Inserts append to them;
+upserts and deletes write them anew, from a settled copy, by Spark's dynamic
+partition overwrite.  One writer at a time.
 """
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import state, validation
+from ..session import settle
 
-COMMITS = "version bigint, kind string, folder string"
+PART, LIVE = "_part", "_live"
 
 
 class StoredTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+    """Rows of ``schema`` below ``path``, keyed by column ``key``.
+
+    ``parts`` is fixed for the life of a table: choose it so that a partition
+    is rewritten in reasonable time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, parts: int = 16) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
+        self.key = key
+        self.parts = parts
+        self.columns = spark.createDataFrame([], schema).columns
 
     # -- reading
 
-    def _commits(self) -> list:
+    def _stored(self) -> DataFrame:
+        whole = f"{self.schema}, {LIVE} boolean, {PART} int"
         try:
-            log = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
-            return log.orderBy("version").collect()
+            return self.spark.read.schema(whole).parquet(self.path)
         except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], whole)
 
     def exists(self) -> bool:
-        return bool(self._commits())
+        try:
+            self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
 
     def read(self) -> DataFrame:
-        commits = self._commits()
-        full = max((c.version for c in commits if c.kind == "full"), default=0)
-        folders = [c.folder for c in commits if c.version >= full]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
+        return self._stored().where(LIVE).select(self.columns)
 
     def count(self) -> int:
         return self.read().count()
 
     # -- writing
 
-    def _commit(self, rows: DataFrame, kind: str) -> None:
-        commits = self._commits()
-        version = (commits[-1].version if commits else 0) + 1
-        folder = f"{self.path}/versions/{version:08d}-{uuid.uuid4().hex}"
-        target = self.spark.createDataFrame([], self.schema)
-        rows.select(target.columns).write.mode("overwrite").parquet(folder)
-        log = self.spark.createDataFrame([(version, kind, folder)], COMMITS)
-        log.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+    def _part(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def _of(self, touched: list[int]) -> DataFrame:
+        stored = self._stored().where(LIVE)
+        return stored.where(F.col(PART).isin(touched)).select(self.columns)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        """Partitions of these keys: at most ``parts`` numbers."""
+        return [r[0] for r in rows.select(self._part()).distinct().collect()]
+
+    def _write(self, rows: DataFrame, mode: str, touched: list[int] = ()) -> None:
+        """Write rows into their partitions.  Overwriting needs a row in every
+        touched partition, so each gets one that is not live."""
+        placed = rows.select(*self.columns, F.lit(True).alias(LIVE), self._part().alias(PART))
+        if touched:
+            marks = self.spark.createDataFrame([(n,) for n in touched], f"{PART} int")
+            nulls = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in self.columns]
+            placed = placed.unionByName(marks.select(*nulls, F.lit(False).alias(LIVE), PART))
+        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(
+            self.path
+        )
 
     def overwrite(self, rows: DataFrame) -> None:
-        """Drop the content and store ``rows``."""
-        self._commit(rows, "full")
+        """Drop the content and store ``rows``, which may come from the table."""
+        self._write(settle(rows.select(self.columns), "stored_rows"), "overwrite", list(range(self.parts)))
+
+    def absent(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key is not stored; only their partitions are read.
+        Give written rows, since they are read twice."""
+        keys = self._of(self._touched(rows)).select(self.key).distinct()
+        return rows.join(keys, self.key, "left_anti")
 
     def append(self, rows: DataFrame) -> None:
-        self._commit(rows, "append")
+        self._write(rows, "append")
 
-    def upsert(self, rows: DataFrame, key: str, version: str) -> None:
-        """Last write wins."""
-        self._commit(state.upsert(self.read(), rows, key, version), "full")
+    def insert_if_absent(self, rows: DataFrame) -> None:
+        """First write wins; repeats inside the batch all pass."""
+        self.append(self.absent(settle(rows.select(self.columns), "new_rows")))
 
-    def insert_if_absent(self, rows: DataFrame, key: str) -> None:
-        """First write wins; only the new rows are written."""
-        stored = self.read().select(key).join(rows.select(key).distinct(), key, "left_semi")
-        self._commit(rows.join(stored.distinct(), key, "left_anti"), "append")
+    def upsert(self, rows: DataFrame, version: str) -> None:
+        """Last write wins."""
+        batch = settle(rows.select(self.columns), "new_rows")
+        touched = self._touched(batch)
+        content = state.upsert(self._of(touched), batch, self.key, version)
+        self._write(settle(content, "stored_rows"), "overwrite", touched)
 
     def delete(self, keys: DataFrame, on: list[str]) -> None:
-        self._commit(state.delete_keys(self.read(), keys, on), "full")
+        touched = self._touched(keys) if self.key in on else list(range(self.parts))
+        content = state.delete_keys(self._of(touched), keys, on)
+        self._write(settle(content, "stored_rows"), "overwrite", touched)
 
 
 def publish(

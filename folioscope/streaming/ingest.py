@@ -57,7 +57,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch).dropDuplicates(["chunk_id"]).persist()
         try:
-            table.insert_if_absent(rows, "chunk_id")
+            table.insert_if_absent(rows)
         finally:
             rows.unpersist()
 

@@ -70,7 +70,7 @@ def test_gate_and_report(spark):
         chunks = spark.createDataFrame(rows, CHUNKS)
         issues = validation.validate(chunks, sections)
         found = {r.check for r in issues.collect()}
-        table = tables.StoredTable(spark, f"{folder}/{n}", CHUNKS)
+        table = tables.StoredTable(spark, f"{folder}/{n}", CHUNKS, "chunk_id")
         published = tables.publish(chunks, issues, table)
         assert published is (n == 0) and table.count() == (1 if n == 0 else 0)
         if n == 0:
@@ -86,16 +86,16 @@ def test_gate_and_report(spark):
 
 def test_write_policies(spark):
     folder = new_run_dir(spark, "policies")
-    t = tables.StoredTable(spark, folder, "k string, v string, n bigint")
+    t = tables.StoredTable(spark, folder, "k string, v string, n bigint", "k")
     assert not t.exists() and t.count() == 0
     row = lambda *r: spark.createDataFrame([r], "k string, v string, n bigint")
-    t.insert_if_absent(row("a", "old", 1), "k")
-    t.insert_if_absent(row("a", "new", 2), "k")
+    t.insert_if_absent(row("a", "old", 1))
+    t.insert_if_absent(row("a", "new", 2))
     assert [r.v for r in t.read().collect()] == ["old"]
-    t.upsert(row("a", "new", 2), "k", "n")
+    t.upsert(row("a", "new", 2), "n")
     assert [r.v for r in t.read().collect()] == ["new"]
     twice = row("b", "x", 1).union(row("b", "y", 2))
-    t.insert_if_absent(twice, "k")
+    t.insert_if_absent(twice)
     assert t.count() == 3
     t.delete(row("a", "", 0), ["k"])
     assert t.count() == 2
@@ -139,7 +139,7 @@ def test_file_pages(spark, tmp_path):
 def test_stream_redelivery(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one two"), ("b", "three")], "document_id string, text string")
     docs.write.parquet(str(tmp_path / "in"))
-    table = tables.StoredTable(spark, new_run_dir(spark, "redelivery"), TEXT_CHUNKS)
+    table = tables.StoredTable(spark, new_run_dir(spark, "redelivery"), TEXT_CHUNKS, "chunk_id")
     for attempt in range(2):  # a new checkpoint delivers every file again
         stream = document_stream(spark, str(tmp_path / "in"), "document_id string, text string")
         start_ingest(stream, table, str(tmp_path / f"progress{attempt}")).awaitTermination()

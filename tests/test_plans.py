@@ -82,8 +82,8 @@ def test_ingest_and_store(spark):
     raw = spark.createDataFrame([("d", 1, "SCOPE\nsome words"), ("d", 2, "LIMITS\nother words\n2"), ("d", 3, " ")], schemas.PAGES)
     docs = spark.createDataFrame([("d", "Doc D", "d.pdf")], "document_id string, document_name string, pdf_file string")
     folder = new_run_dir(spark, "store")
-    chunks = tables.StoredTable(spark, f"{folder}/chunks", schemas.CHUNKS)
-    registry = tables.StoredTable(spark, f"{folder}/registry", schemas.REGISTRY)
+    chunks = tables.StoredTable(spark, f"{folder}/chunks", schemas.CHUNKS, "chunk_id")
+    registry = tables.StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
     told = []
     for expected in (2, 0):  # the second run adds nothing
         done = ingest.ingest(raw, docs)
@@ -191,3 +191,37 @@ def test_missing_vector_is_an_error(spark):
     v = spark.createDataFrame([(1, [1.0])], "ord bigint, embedding array<double>")
     with pytest.raises(Exception, match="do not pair"):
         zip_embeddings(c, v).select(F.max("ord")).collect()
+
+
+class CountingEmbedder:
+    """Writes a file per call, since calls happen in Python workers."""
+
+    name = "counting"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def embed(self, texts, task):
+        import os
+        import uuid
+
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as out:
+            out.write("\n".join(str(len(t)) for t in texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_chunks_are_embedded_once(spark, tmp_path):
+    pages = [(f"d{k}", n, f"1. Heading {n}\n" + "some words of text here " * 30) for k in range(3) for n in range(1, 5)]
+    raw = spark.createDataFrame(pages, "document_id string, page_number int, text string")
+    docs = raw.select("document_id").distinct().selectExpr("document_id", "document_id AS document_name", "concat(document_id, '.pdf') AS pdf_file")
+    folder = new_run_dir(spark, "embedded")
+    chunks = tables.StoredTable(spark, f"{folder}/chunks", schemas.EMBEDDED_CHUNKS, "chunk_id")
+    registry = tables.StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
+    points = tables.StoredTable(spark, f"{folder}/points", schemas.POINTS, "point_id")
+    embedder = CountingEmbedder(str(tmp_path))
+    done = ingest.ingest(raw, docs)
+    added = ingest.store(done, docs, chunks, registry, embedder, vector_table=points)
+    embedded = sum(len(f.read_text().split("\n")) for f in tmp_path.iterdir())
+    assert added == embedded == chunks.count() == points.count() == done.chunks.count() > 0
+    assert ingest.store(done, docs, chunks, registry, embedder, vector_table=points) == 0
+    assert sum(len(f.read_text().split("\n")) for f in tmp_path.iterdir()) == embedded
