@@ -96,7 +96,7 @@ def unpack_blocks(content) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 # -- tokens -------------------------------------------------------------------
 
 
-class WordTokens(dict):
+class WordTokens:
     """Packed token ids of words, by a tokenizer that never joins words.
 
     Words are what stands between ASCII white space, which the tokenizer drops.
@@ -109,39 +109,35 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, np.int32)
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = np.searchsorted(places, starts).tolist()
-        packed = ids.tobytes()
-        for word, start, end in zip(words, cuts, cuts[1:]):
-            self[word] = packed[4 * start : 4 * end]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = (4 * np.searchsorted(places, starts)).tolist()
+        packed = np.array(found.ids, np.int32).tobytes()
+        self.recent.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
     def packed(self, text: str) -> bytes:
-        words = text.translate(SPACES).split(" ")
-        unknown = set(words).difference(self)
+        # Bytes are split at ASCII white space only.
+        words = text.encode().split()
+        unknown = set(words).difference(self.recent)
         if unknown:
-            if len(self) + len(unknown) > CACHED_WORDS:
-                self.old = dict(self)
-                self.clear()
+            if len(self.recent) + len(unknown) > CACHED_WORDS:
+                self.old, self.recent = self.recent, {}
                 unknown = set(words)
             back = unknown.intersection(self.old)
-            self.update((w, self.old[w]) for w in back)
+            self.recent.update((w, self.old[w]) for w in back)
             fresh = list(unknown - back)
             if fresh:
                 self._learn(fresh)
-        return b"".join(map(self.__getitem__, words))
-
-
-SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+        return b"".join(map(self.recent.__getitem__, words))
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -166,15 +162,16 @@ def tokenise(texts: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
         totals = np.zeros(1, np.int64)
         number = 0
         for batch in pieces(batches):
-            widths, rows = [], []
+            widths, rows, every = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer((packed(text) if text else b"") + end, np.int32)
-                found = np.bincount(ids)
-                if len(found) > len(totals):
-                    totals = np.concatenate([totals, np.zeros(len(found) - len(totals), np.int64)])
-                totals[: len(found)] += found
-                widths.append(2 if len(found) <= 1 << 16 else 4)
+                widths.append(2 if ids.max() < 1 << 16 else 4)
                 rows.append(ids.astype(f"<u{widths[-1]}").tobytes())
+                every.append(ids)
+            found = np.bincount(np.concatenate(every))
+            if len(found) > len(totals):
+                totals = np.concatenate([totals, np.zeros(len(found) - len(totals), np.int64)])
+            totals[: len(found)] += found
             n = batch.num_rows
             numbers = np.arange(number, number + n)
             number += n
