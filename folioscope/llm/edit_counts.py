@@ -1,6 +1,6 @@
 """Edit-aware token counts: a tree of pre-token segments per document.
 
-A document's pre-tokens are gathered into leaves of a few dozen.  A leaf knows
+A document's pre-tokens are gathered into leaves of a few.  A leaf knows
 its characters and its tokens, and a sum tree over the leaves leads from a
 place in the text to the leaf that holds it.  An edit re-encodes the leaves it
 touches and as much context around them as the split pattern can see; all
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder, pieces
 
-LEAF = 32  # pre-tokens of a new leaf
+LEAF = 8  # pre-tokens of a new leaf
 
 
 class SumTree:
