@@ -10,7 +10,7 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .worker import kept
 
-CACHED_PIECES = 300_000  # encoded pre-tokens in each half of a worker's cache, about 60 MB
+CACHED_PIECES = 500_000  # encoded pre-tokens in each half of a worker's cache, about 100 MB
 PIECE_BYTES = 4_000_000
-GROUP_BITS = 8  # ranks of one second-level bitmap: 2 ** GROUP_BITS
+GROUP_BITS = 8  # a second-level bitmap has 2 ** GROUP_BITS ranks, and there are as many of them at most
 
 # Letters and numbers that the split pattern of the rank files
 # does not count as such, because they came after Unicode 16.
@@ -61,6 +61,10 @@ class Splitter:
         return self.pattern_for(text).findall(text)
 
 
+BITS = [1 << n for n in range(1 << GROUP_BITS)]
+LOW = (1 << GROUP_BITS) - 1
+
+
 class RankQueue:
     """Positions in order of merge rank, then of place.
 
@@ -72,34 +76,54 @@ class RankQueue:
 
     __slots__ = ("top", "groups", "buckets")
 
-    def __init__(self):
-        self.top = 0
-        self.groups: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+    def __init__(self, ranks: Iterable[int | None] = ()):
+        """``ranks`` of the positions from 0 on; None waits for nothing."""
+        top, groups, buckets = 0, {}, {}
+        for position, rank in enumerate(ranks):
+            if rank is None:
+                continue
+            if rank in buckets:
+                buckets[rank].append(position)
+                continue
+            buckets[rank] = [position]
+            group = rank >> GROUP_BITS
+            if group in groups:
+                groups[group] |= BITS[rank & LOW]
+            else:
+                groups[group] = BITS[rank & LOW]
+                top |= 1 << group
+        self.top: int = top
+        self.groups: dict[int, int] = groups
+        self.buckets: dict[int, list[int]] = buckets
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
+        if rank in self.buckets:
+            heapq.heappush(self.buckets[rank], position)
             return
         self.buckets[rank] = [position]
         group = rank >> GROUP_BITS
-        self.groups[group] = self.groups.get(group, 0) | 1 << (rank & (1 << GROUP_BITS) - 1)
-        self.top |= 1 << group
+        if group in self.groups:
+            self.groups[group] |= BITS[rank & LOW]
+        else:
+            self.groups[group] = BITS[rank & LOW]
+            self.top |= 1 << group
 
     def pop(self) -> tuple[int, int]:
-        group = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        group = (top & -top).bit_length() - 1
         bits = self.groups[group]
         least = bits & -bits
         rank = group << GROUP_BITS | least.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            bits ^= least
-            self.groups[group] = bits
-            if not bits:
-                self.top ^= 1 << group
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        if bits == least:
+            del self.groups[group]
+            self.top = top ^ (1 << group)
+        else:
+            self.groups[group] = bits ^ least
+        return rank, bucket[0]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,13 +139,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = len(piece)
     after = list(range(1, size + 1))  # start of the next symbol
     before = list(range(-1, size - 1))
-    waiting = [-1] * size  # rank of the pair that begins here
-    queue = RankQueue()
-    for i in range(size - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            waiting[i] = rank
-            queue.push(rank, i)
+    rank_of = ranks.get
+    waiting = [rank_of(piece[i : i + 2]) for i in range(size - 1)]  # of the pair that begins here
+    waiting.append(None)
+    queue = RankQueue(waiting)
     while queue.top:
         rank, i = queue.pop()
         if waiting[i] != rank:
@@ -129,20 +150,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         gone = after[i]
         end = after[gone]
         after[i] = end
-        waiting[gone] = waiting[i] = -1
+        waiting[gone] = waiting[i] = None
         if end < size:
             before[end] = i
-            rank = ranks.get(piece[i : after[end]])
+            rank = waiting[i] = rank_of(piece[i : after[end]])
             if rank is not None:
-                waiting[i] = rank
                 queue.push(rank, i)
         left = before[i]
         if left >= 0:
-            rank = ranks.get(piece[left:end])
-            if rank is None:
-                waiting[left] = -1
-            else:
-                waiting[left] = rank
+            rank = waiting[left] = rank_of(piece[left:end])
+            if rank is not None:
                 queue.push(rank, left)
     ids = []
     i = 0
