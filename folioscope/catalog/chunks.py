@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import constants as K
 from ..functions.vectors import point_id
 from ..operators import chunking, dense, headings
@@ -12,7 +13,9 @@ from ..plans import evaluate, ingest
 from ..sources.pages import conversation_pages
 from ..sources.tables import StoredTable
 from ..session import new_run_dir
-from ..streaming.ingest import TEXT_CHUNKS, document_stream, start_ingest, text_chunks
+from ..streaming.ingest import (
+    TEXT_CHUNKS, document_stream, start_document_ingest, start_ingest, text_chunks,
+)
 from .structure import _HEADING_SQL
 from .tables import SCHEMAS, strip_sql, table
 
@@ -129,16 +132,65 @@ pg AS (SELECT c.document_id, page, text, section_id FROM clean c JOIN sections s
 {_BOUNDS}"""
 
 
-def build_document_chunks(spark, d):
-    """The whole way for any document: clean, detect, chunk."""
-    pages = conversation_pages(table(spark, d, "conversations"))
-    documents = pages.select("document_id").distinct().select(
+def _documents_of(pages):
+    return pages.select("document_id").distinct().select(
         "document_id",
         F.concat(F.lit("Conversation "), F.col("document_id")).alias("document_name"),
         F.concat("document_id", F.lit(".pdf")).alias("pdf_file"),
     )
+
+
+def build_document_chunks(spark, d):
+    """The whole way for any document: clean, detect, chunk."""
+    pages = conversation_pages(table(spark, d, "conversations"))
+    return ingest.ingest(pages, _documents_of(pages), size=SMALL).chunks
+
+
+def ingest_and_store(spark, d):
+    """The whole way into stored tables, twice; the second run adds nothing."""
+    folder = new_run_dir(spark, "ingested")
+    pages = conversation_pages(table(spark, d, "conversations"))
+    documents = _documents_of(pages)
+    chunks = StoredTable(spark, f"{folder}/chunks", schemas.CHUNKS, "chunk_id")
+    registry = StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
     done = ingest.ingest(pages, documents, size=SMALL)
-    return done.chunks
+    for _ in range(2):
+        ingest.store(done, documents, chunks, registry)
+    return registry.read().select("document_id", "status", "total_chunks", "total_pages")
+
+
+def stream_documents(spark, d):
+    """The whole way, as a stream of page files into the stored tables."""
+    folder = new_run_dir(spark, "streamed")
+    turns = document_stream(spark, f"{d}/conversations.parquet", SCHEMAS["conversations"], 1_000_000)
+    chunks = StoredTable(spark, f"{folder}/chunks", schemas.CHUNKS, "chunk_id")
+    registry = StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
+    start_document_ingest(
+        conversation_pages(turns), _documents_of, chunks, registry, f"{folder}/progress", size=SMALL
+    ).awaitTermination()
+    return chunks.read()
+
+
+def store_vectors(spark, d):
+    """Points by stable id: stored, stored again with other payloads, counted."""
+    points = StoredTable(spark, new_run_dir(spark, "points"), schemas.POINTS, "point_id")
+    v = table(spark, d, "embeddings").select(
+        F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("chunk_id"),
+        F.col("label").cast("string").alias("document_id"),
+        "embedding",
+        F.lit(1).alias("page_start"),
+        F.lit(1).alias("page_end"),
+        F.size("embedding").alias("token_count"),
+        *(F.lit("").alias(c) for c in ("document_name", "pdf_file", "section_id", "section_title", "text")),
+    )
+    stored = dense.to_points(v)
+    points.upsert(stored, "point_id")
+    again = v.where(F.col("document_id") == "1").withColumn("text", F.lit("again"))
+    points.upsert(dense.to_points(again), "point_id")
+    return points.read().select(
+        "point_id", "payload.chunk_id", "payload.document_id", "payload.text",
+        F.size("embedding").alias("dimensions"),
+    )
 
 
 def section_chunks_trimmed(spark, d):
@@ -227,6 +279,9 @@ QUERIES = {
     "point_ids": point_ids,
     "zip_vectors": zip_vectors,
     "stream_ingest": stream_ingest,
+    "stream_documents": stream_documents,
+    "ingest_and_store": ingest_and_store,
+    "store_vectors": store_vectors,
 }
 
 _DOC_WINDOWS = windows_sql("SELECT doc_id, text FROM documents", "doc_id", ChunkSize())
@@ -266,3 +321,17 @@ WITH {_DOC_WINDOWS} SELECT concat(doc_id, printf('_c%03d', chunk_no)) AS chunk_i
   doc_id::VARCHAR AS document_id, CAST(chunk_no AS INTEGER) AS chunk_no,
   CAST(token_count AS INTEGER) AS token_count, text FROM made""",
 }
+ORACLE["stream_documents"] = ORACLE["build_document_chunks"]
+ORACLE["ingest_and_store"] = f"""
+WITH {_INGESTED} {windows_sql(_SECTION_SOURCE, 'k', SMALL)}, {_SPANS},
+c AS (SELECT document_id, CAST(count(*) AS INTEGER) AS total_chunks
+  FROM spans JOIN sections USING (document_id, section_id) GROUP BY document_id),
+p AS (SELECT document_id, CAST(count(*) AS INTEGER) AS total_pages FROM clean GROUP BY document_id)
+SELECT document_id, 'indexed' AS status, total_chunks, total_pages FROM c JOIN p USING (document_id)"""
+ORACLE["store_vectors"] = f"""
+WITH h AS (SELECT vec_id, label, embedding,
+    sha1(unhex('{K.DNS_NAMESPACE_HEX}') || encode(concat('vec_', vec_id))) AS h FROM embeddings)
+SELECT concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-',
+  ['8','9','a','b'][1 + (instr('0123456789abcdef', h[17]) - 1) % 4], h[18:20], '-', h[21:32]) AS point_id,
+  concat('vec_', vec_id) AS chunk_id, label::VARCHAR AS document_id,
+  CASE WHEN label = 1 THEN 'again' ELSE '' END AS text, CAST(len(embedding) AS INTEGER) AS dimensions FROM h"""

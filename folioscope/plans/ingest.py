@@ -169,22 +169,40 @@ def ingest(
     size: ChunkSize = chunking.DEFAULT_SIZE,
     tokenizer: Tokenizer | None = None,
     clean: bool = True,
+    progress: Progress | None = None,
 ) -> Ingested:
     """The way for any document: clean, detect sections, chunk.
 
     ``documents`` is ``document_id, document_name, pdf_file``.  Cleaned pages,
     headings and chunks are written once each and read from there on.
     """
+    tell = _teller(progress)
+    tell("extract", "Cleaning pages")
     pages = settle(clean_pages(raw_pages, keep_blank=False), "clean_pages") if clean else raw_pages
+    tell("extracted", "Pages are clean")
+    tell("sections", "Detecting sections")
     found = headings.detect_headings(pages, bookmarks, layout)
     sections = headings.detected_sections(found, pages)
+    tell("sectioned", "Sections are known")
+    tell("chunks", "Building chunks")
     included = sections.where(~P.has_excluded_word(F.col("section_title")))
     paged = chunking.section_pages(pages, included).where(strip(F.col("text")) != "")
     chunks = _section_chunks(paged, size, tokenizer)
     chunks = settle(_identified(chunks, documents, F.col("document_id")), "chunks")
+    tell("chunked", "Chunks are written")
     return Ingested(pages, sections, chunks)
 
 
+def _teller(progress: Progress | None) -> Callable[[str, str], None]:
+    percent = dict(K.STAGE_PERCENT)
+
+    def tell(stage: str, message: str) -> None:
+        if progress:
+            progress(stage, message, percent[stage])
+
+    return tell
+
+
 def registry_rows(
     done: Ingested, documents: DataFrame, organization: str = "Clinical Guideline"
 ) -> DataFrame:
@@ -231,19 +249,14 @@ def store(
     there as points.  Raises when no chunk came out of the documents.  Returns
     the number of stored chunks.
     """
-    percent = dict(K.STAGE_PERCENT)
-
-    def tell(stage: str, message: str) -> None:
-        if progress:
-            progress(stage, message, percent[stage])
-
+    tell = _teller(progress)
     tell("start", "Starting ingestion")
-    tell("chunks", "Building chunks")
     rows = settle(chunk_table.absent(done.chunks), "new_chunks")
     added = rows.count()
     if added and embedder is not None:
         tell("embed", "Embedding chunks")
         rows = settle(embed(rows, embedder), "vectors")
+        tell("embedded", "Vectors are written")
     tell("index", "Writing chunks")
     if added:
         chunk_table.append(rows)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.chunking import DEFAULT_SIZE, ChunkSize, split_into_chunks
+from ..plans.ingest import Progress, ingest, store
+from ..plugins import Embedder
+from ..session import settle
 from ..sources.tables import StoredTable
 
 TEXT_CHUNKS = "chunk_id string, document_id string, chunk_no int, token_count int, text string"
@@ -67,6 +70,40 @@ def start_ingest(
     return writer.start()
 
 
+def start_document_ingest(
+    pages: DataFrame,
+    documents_of: Callable[[DataFrame], DataFrame],
+    chunks: StoredTable,
+    registry: StoredTable,
+    checkpoint: str,
+    embedder: Embedder | None = None,
+    vectors: StoredTable | None = None,
+    progress: Progress | None = None,
+    size: ChunkSize = DEFAULT_SIZE,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Stream of raw pages through the whole way of :func:`plans.ingest.ingest`.
+
+    Every micro-batch is cleaned, cut into sections and chunks, embedded where
+    an embedder is given, stored and registered, with all stages reported.
+    All pages of a document have to come in one batch, as they do when a file
+    holds whole documents.  A batch that is delivered again adds nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        raw = settle(batch, "raw_pages")
+        if raw.isEmpty():
+            return
+        documents = documents_of(raw)
+        done = ingest(raw, documents, size=size, progress=progress)
+        store(done, documents, chunks, registry, embedder, progress=progress, vector_table=vectors)
+
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 class ProgressListener(StreamingQueryListener):
     """Passes stream progress on as ``(stage, message, percent)`` calls."""
 
