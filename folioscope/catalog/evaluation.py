@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -9,6 +11,8 @@ from ..functions.tokens import word_count
 from ..functions.vectors import unit
 from ..operators import dense, evaluation, lexical
 from ..plans import evaluate
+from ..plans.ask import MODES, retrieve
+from ..session import settle
 from .retrieval import DENSE_SQL, LEGS_SQL
 from .tables import corpus, questions, table, terms_sql, text_questions, truth, vectors
 
@@ -71,6 +75,29 @@ def mode_comparison(spark, d):
     return evaluate.compare_modes(hits, v, truth(spark, d), digits=DIGITS)
 
 
+def retrieve_modes(spark, d):
+    """Every retrieval mode behind one call: dense, sparse and both fusions.
+
+    All documents are in the chunk table, those without a vector as well.
+    """
+    columns = vectors(spark, d).drop("section_id")
+    chunks = settle(corpus(spark, d).join(columns, "chunk_id", "left"), "chunks")
+    asked = settle(questions(spark, d), "questions")
+    index = lexical.build_index(chunks, "index_text")
+    found = [
+        retrieve(chunks, asked, mode, K.TOP_K, index=index).select(
+            F.lit(MODE_NAMES[mode]).alias("mode"), "query_id", "chunk_id", F.col("rank").cast("int").alias("rank")
+        )
+        for mode in MODES
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+MODE_NAMES = {
+    "dense": "dense", "sparse": "sparse", "hybrid": "hybrid_rrf", "score_fusion": "hybrid_weighted",
+}
+
+
 def model_comparison(spark, d):
     """The stored vectors and their signs, at full length, as two models."""
     v, q = vectors(spark, d), questions(spark, d)
@@ -142,6 +169,7 @@ QUERIES = {
     "metrics_at_k": metrics_at_k,
     "mode_comparison": mode_comparison,
     "model_comparison": model_comparison,
+    "retrieve_modes": retrieve_modes,
     "k_sweep": k_sweep,
     "chunk_ablation": chunk_ablation,
     "query_detail": query_detail,
@@ -226,6 +254,9 @@ SELECT query_id, CAST(k AS INTEGER) AS k, hit, round(precision, 6) AS precision,
     "mode_comparison": f"""
 WITH {LEGS_SQL}, {_TRUTH}, {_metrics_sql(_MODES, K.BENCHMARK_KS, 'mode')}
 SELECT mode, CAST(k AS INTEGER) AS k, {_MEANS} FROM met GROUP BY mode, k""",
+    "retrieve_modes": f"""
+WITH {LEGS_SQL.replace('CROSS JOIN embeddings', 'CROSS JOIN embeddings SEMI JOIN documents ON doc_id = vec_id')}
+SELECT mode, query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM ({_MODES})""",
     "model_comparison": f"""
 WITH {DENSE_SQL}, {_SIGNS}, {_TRUTH}, {_metrics_sql(
     "SELECT 'full' AS model, query_id, chunk_id, rank FROM dense WHERE rank <= 5 "

@@ -99,6 +99,30 @@ def json_tolerant_parse(spark, d):
     )
 
 
+def newest_chats(spark, d):
+    """The five newest chats of each user."""
+    return state.newest_chats(_chats(spark, d), 5).select("user_id", "id", "title", "rank")
+
+
+def wrapped_json(spark, d):
+    """Registry rows in wrapper objects; rows of one language are cut short and
+    left out by the tolerant scan.  A missing file adds nothing."""
+    path = new_run_dir(spark, "wrapped")
+    entry = F.struct(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.col("source").alias("document_name"),
+        F.col("n_chars").cast("int").alias("total_chunks"),
+    )
+    line = F.to_json(F.struct(F.array(entry).alias("documents")))
+    docs = table(spark, d, "documents")
+    docs.select(
+        F.when(F.col("lang") == "de", F.left(line, F.length(line) - 2)).otherwise(line).alias("value")
+    ).write.text(path)
+    found = read_json_tolerant(spark, path, schemas.REGISTRY, "documents", lines=True)
+    none = read_json_tolerant(spark, f"{path}-missing", schemas.REGISTRY, "documents", lines=True)
+    return found.unionByName(none).select("document_id", "document_name", "total_chunks")
+
+
 def upsert_chats(spark, d):
     """Every event rewrites the chat of the event number it names, if it owns it."""
     chats = _chats(spark, d)
@@ -202,6 +226,8 @@ QUERIES = {
     "delete_by_key": delete_by_key,
     "latest_per_user": latest_per_user,
     "json_tolerant_parse": json_tolerant_parse,
+    "newest_chats": newest_chats,
+    "wrapped_json": wrapped_json,
     "upsert_chats": upsert_chats,
     "register_users": register_users,
     "consecutive_events": consecutive_events,
@@ -236,6 +262,14 @@ SELECT m.user_id::VARCHAR AS user_id, e::VARCHAR AS id, event_type AS filename,
 SELECT user_id::VARCHAR AS user_id, event_id::VARCHAR AS id, json_extract_string(props, '$.k') AS k,
   event_type AS title, event_id::VARCHAR AS updated
 FROM events WHERE event_type NOT IN ('error', 'view')""",
+    "newest_chats": """
+SELECT user_id, id, title, rank FROM (
+  SELECT user_id::VARCHAR AS user_id, event_id::VARCHAR AS id, event_type AS title,
+    CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS rank
+  FROM events WHERE event_type NOT IN ('error', 'view')) WHERE rank <= 5""",
+    "wrapped_json": """
+SELECT doc_id::VARCHAR AS document_id, source AS document_name, CAST(n_chars AS INTEGER) AS total_chunks
+FROM documents WHERE lang <> 'de' OR lang IS NULL""",
     "upsert_chats": f"""
 WITH {_CHATS},
 n AS (SELECT json_extract_string(props, '$.k') AS id, user_id::VARCHAR AS user_id, props, event_id FROM events),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import last_rows
+from .ordered import last_rows, top_k
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -99,8 +99,7 @@ def upsert_chats(chats: DataFrame, new: DataFrame) -> DataFrame:
 def list_chats(chats: DataFrame) -> DataFrame:
     """Chats with their JSON object extended by id, title and time.
 
-    Rows whose JSON is not an object are skipped.  Sort by ``user_id`` and
-    descending ``updated_at`` for display.
+    Rows whose JSON is not an object are skipped.
     """
     parsed = F.try_parse_json("data_json")
     is_object = F.schema_of_variant(parsed).startswith("OBJECT")
@@ -118,6 +117,12 @@ def list_chats(chats: DataFrame) -> DataFrame:
     )
 
 
+def newest_chats(chats: DataFrame, page: int = 50) -> DataFrame:
+    """The ``page`` newest chats of each user with their ``rank``, newest first;
+    ties follow the id.  No more than a page per user leaves a task."""
+    return top_k(list_chats(chats), ["user_id"], [F.desc("updated_at"), F.asc("id")], page)
+
+
 # -- patient reports ---------------------------------------------------------
 
 
