@@ -141,13 +141,6 @@ def keep_first_title(text: Column, title: Column) -> Column:
     return let(F.split(text, "\n", -1), keep)
 
 
-def pages_joined(pages: Column) -> Column:
-    """Join an ordered array of page texts with a blank line, blanks left out."""
-    return F.array_join(
-        F.filter(F.transform(pages, strip), lambda x: x != ""), "\n\n"
-    )
-
-
 def file_name(path: Column) -> Column:
     """Last path part, for both kinds of slash."""
     return F.regexp_extract(path, r"[^/\\]*\z", 0)

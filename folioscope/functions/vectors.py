@@ -23,10 +23,6 @@ def norm(a: Column) -> Column:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
-
-
 def unit(a: Column) -> Column:
     """Vector scaled to length one."""
     return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))

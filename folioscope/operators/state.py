@@ -38,10 +38,6 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def latest_per_key(df: DataFrame, key: str, version: str) -> DataFrame:
-    return last_rows(df, [key], [version])
-
-
 def now_millis() -> Column:
     return F.unix_millis(F.current_timestamp())
 

@@ -4,7 +4,6 @@ PAGES = "document_id string, page_number int, text string"
 SPAN = "struct<text:string,size:double,font:string>"
 LAYOUT = f"document_id string, page_number int, block_no int, line_no int, spans array<{SPAN}>"
 BOOKMARKS = "document_id string, ord int, level int, title string, page_number int"
-HEADINGS = "document_id string, ord bigint, page_number int, title string"
 SECTIONS = (
     "document_id string, ord bigint, section_id string, section_title string, "
     "start_page int, end_page int"
@@ -36,14 +35,9 @@ VITALS = (
     "medications array<string>, lab_values map<string,string>, clinical_summary string"
 )
 ISSUES = "level string, check string, chunk_id string, message string"
-CONFIGS = (
-    "config_id string, name string, target_tokens int, max_tokens int, "
-    "min_tokens int, overlap_tokens int"
-)
 USERS = "id string, name string, email string, password_hash string, created_at bigint"
 USER_CHATS = "id string, user_id string, title string, data_json string, updated_at bigint"
 PATIENT_REPORTS = (
     "id string, user_id string, filename string, vitals_json string, "
     "summary_text string, uploaded_at bigint"
 )
-PROGRESS = "stage string, message string, percent double"

@@ -54,6 +54,20 @@ def read_json_tolerant(
     return good.select(F.explode(items).alias("r")).select("r.*")
 
 
+def read_test_set(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled queries of a JSON array, with their expected sections and chunks.
+
+    Entries without an id or a query are left out; missing lists are empty.
+    """
+    rows = read_json_tolerant(spark, path, schemas.TEST_SET, "queries")
+    return rows.where("query_id IS NOT NULL AND query IS NOT NULL").withColumns(
+        {
+            "expected_chunk_ids": F.coalesce("expected_chunk_ids", F.array().cast("array<string>")),
+            "expected_pages": F.coalesce("expected_pages", F.array().cast("array<int>")),
+        }
+    )
+
+
 def _fields(df: DataFrame) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -63,11 +77,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-
-
 def registry_listing(spark: SparkSession, registry: str, folder: str) -> DataFrame:
     """``kind, name``: registered documents and the files of a folder."""
     known = read_json_tolerant(spark, registry, schemas.REGISTRY, "documents").select(

@@ -225,3 +225,26 @@ def test_chunks_are_embedded_once(spark, tmp_path):
     assert added == embedded == chunks.count() == points.count() == done.chunks.count() > 0
     assert ingest.store(done, docs, chunks, registry, embedder, vector_table=points) == 0
     assert sum(len(f.read_text().split("\n")) for f in tmp_path.iterdir()) == embedded
+
+
+def test_labelled_set(spark, tmp_path):
+    rows = [
+        {"query_id": "Q1", "query": "dose?", "expected_section_id": "s1", "expected_chunk_ids": ["c1"], "expected_pages": [3], "topic": "t"},
+        {"query_id": "Q2", "query": "salt?", "expected_section_id": "s2"},
+        {"query_id": None, "query": "nameless"},
+    ]
+    (tmp_path / "set.json").write_text(json.dumps(rows))
+    found = files.read_test_set(spark, str(tmp_path / "set.json")).orderBy("query_id").collect()
+    assert [(r.query_id, r.expected_chunk_ids, r.expected_pages) for r in found] == [("Q1", ["c1"], [3]), ("Q2", [], [])]
+    assert files.read_test_set(spark, str(tmp_path / "none.json")).collect() == []
+
+
+def test_notes_times_and_clock(spark):
+    from folioscope.operators import context
+    from folioscope.plans.evaluate import timed
+
+    noted = spark.createDataFrame([("high",), ("",), (None,)], "t string").select(context.patient_text_note(F.col("t")).alias("n"))
+    assert [bool(r.n) for r in noted.collect()] == [True, False, False]
+    told = timed("range", lambda: spark.range(5), lambda df: df.count())
+    assert told["mode"] == "range" and told["latency_ms"] > 0
+    assert spark.range(1).select(state.now_millis().alias("n")).first().n > 1_600_000_000_000
