@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from folioscope import catalog  # noqa: E402
-from folioscope.session import local_session  # noqa: E402
+from folioscope.session import local_session, run_scope  # noqa: E402
 
 HEADLINE = (
     "clean_text",
@@ -50,7 +50,8 @@ def main() -> None:
     timings: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
-        queries[name](spark, folder).write.format("noop").mode("overwrite").save()
+        with run_scope(spark):
+            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {timings[name]}", file=sys.stderr, flush=True)
     total = round(sum(timings.values()), 3)

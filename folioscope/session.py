@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,9 +79,36 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="folioscope-")
 
 
+_scopes: list[list[str]] = []
+
+
 def new_run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for one run."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder for one run.
+
+    It belongs to the innermost :func:`run_scope`, if there is one.
+    """
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the run folders made inside when the block ends.
+
+    Results that read them have to be written, or otherwise used up, inside.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        configuration = spark._jsc.hadoopConfiguration()
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -248,3 +248,17 @@ def test_notes_times_and_clock(spark):
     told = timed("range", lambda: spark.range(5), lambda df: df.count())
     assert told["mode"] == "range" and told["latency_ms"] > 0
     assert spark.range(1).select(state.now_millis().alias("n")).first().n > 1_600_000_000_000
+
+
+def test_run_folders_are_deleted_with_their_scope(spark):
+    import os
+
+    from folioscope.session import run_scope, settle
+
+    kept = new_run_dir(spark, "kept")
+    with run_scope(spark):
+        written = settle(spark.range(5), "scoped")
+        inside = written.inputFiles()[0].removeprefix("file://")
+        written.write.parquet(kept)
+        assert os.path.exists(inside)
+    assert not os.path.exists(inside) and spark.read.parquet(kept).count() == 5
