@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from folioscope.session import new_run_dir, prepare
+from folioscope.session import new_run_dir, prepare, run_scope
 
 # Share of the tokens that reach the mixing stage and go on; no document is
 # taken twice, so the weights decide which leaves give way.
@@ -68,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = new_run_dir(spark, f"pipeline-{number}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with run_scope(spark):  # what a stage settles is not needed after it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
