@@ -104,7 +104,7 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(made)
+        _scopes.pop()
         configuration = spark._jsc.hadoopConfiguration()
         for path in made:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
