@@ -375,16 +375,16 @@ def duplicate_text(chunks: DataFrame, **options) -> DataFrame:
 def _longest_common(a: str, b: str, least: int) -> int:
     """Length of the longest common substring, 0 when below ``least``.
 
-    Grows the best length found so far: every start in ``b`` is tried for a
-    match that is one character longer.
+    A common substring begins with a common piece of ``least`` characters, so
+    only starts of such pieces are tried, each for a match that is longer than
+    the best so far.
     """
+    pieces = {a[n : n + least] for n in range(len(a) - least + 1)}
     best = least - 1
-    start = 0
-    while start + best < len(b):
-        if b[start : start + best + 1] in a:
-            best += 1
-        else:
-            start += 1
+    for start in range(len(b) - least + 1):
+        if b[start : start + least] in pieces:
+            while start + best < len(b) and b[start : start + best + 1] in a:
+                best += 1
     return best if best >= least else 0
 
 
