@@ -159,6 +159,14 @@ def profile_headings(spark, d):
     return headings.profile_headings(_recommendation_pages(spark, d), skip_pages=())
 
 
+SKIPPED_PAGES = (2, 3)
+
+
+def profile_headings_skipped(spark, d):
+    """Headings of all pages but those of the contents list."""
+    return headings.profile_headings(_recommendation_pages(spark, d), SKIPPED_PAGES)
+
+
 _PROFILE = f"""
 {_REC_LINES},
 found AS (SELECT document_id, page_number, pos, line AS title,
@@ -314,6 +322,7 @@ QUERIES = {
     "rule_headings": rule_headings,
     "heading_merge": heading_merge,
     "profile_headings": profile_headings,
+    "profile_headings_skipped": profile_headings_skipped,
     "section_ranges": section_ranges,
     "section_ranges_clamped": section_ranges_clamped,
     "page_buckets": page_buckets,
@@ -345,6 +354,10 @@ FROM shaped WHERE {_HEADING_SQL}""",
     "profile_headings": (
         f"WITH {_PROFILE} SELECT document_id, page_number, pos, title FROM profile"
     ),
+    "profile_headings_skipped": (
+        f"WITH {_PROFILE.replace('FROM merged WHERE', f'FROM merged WHERE page_number NOT IN {SKIPPED_PAGES} AND')} "
+        "SELECT document_id, page_number, pos, title FROM profile"
+    ),
     "section_ranges": f"""
 WITH {_PROFILE},
 o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, pos) AS n,
