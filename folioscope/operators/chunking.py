@@ -112,22 +112,21 @@ def chunk_array(text: Column, size: ChunkSize = DEFAULT_SIZE) -> Column:
 
 
 def _cut(tokens: list[int], size: ChunkSize) -> list[list[int]]:
-    """Windows by scanning, for any sizes."""
-    windows = []
-    start = 0
-    while start < len(tokens):
-        windows.append(tokens[start : start + size.target])
-        if start + size.target >= len(tokens):
-            break
-        start += size.step
-    out: list[list[int]] = []
-    for window in reversed(windows):
-        # out[-1] is the already settled window to the right
-        if out and len(out[-1]) < size.minimum and len(window) + len(out[-1]) <= size.maximum:
-            out[-1] = window + out[-1]
-        else:
-            out.append(window)
-    return out[::-1]
+    """Windows of any tokens.
+
+    Window k begins at k times the step, and the first one that reaches the end
+    is the last.  From the right, a window below the minimum joins its left
+    neighbour if both fit into the maximum.
+    """
+    if not tokens:
+        return []
+    steps = max(0, -(-(len(tokens) - size.target) // size.step))
+    windows = [tokens[k * size.step : k * size.step + size.target] for k in range(steps + 1)]
+    for at in range(steps, 0, -1):
+        left, right = windows[at - 1 : at + 1]
+        if len(right) < size.minimum and len(left) + len(right) <= size.maximum:
+            windows[at - 1 : at + 1] = [left + right]
+    return windows
 
 
 def chunk_with(tokenizer: Tokenizer, text: str, size: ChunkSize) -> list[tuple[str, int]]:
