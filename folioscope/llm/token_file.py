@@ -132,9 +132,13 @@ class WordTokens:
             if len(self.recent) + len(unknown) > CACHED_WORDS:
                 self.old, self.recent = self.recent, {}
                 unknown = set(words)
-            back = unknown.intersection(self.old)
-            self.recent.update((w, self.old[w]) for w in back)
-            fresh = list(unknown - back)
+            fresh = []
+            for word in unknown:
+                kept_ids = self.old.get(word)
+                if kept_ids is None:
+                    fresh.append(word)
+                else:
+                    self.recent[word] = kept_ids
             if fresh:
                 self._learn(fresh)
         return b"".join(map(self.recent.__getitem__, words))
