@@ -124,9 +124,9 @@ class WordTokens:
         packed = np.array(found.ids, np.int32).tobytes()
         self.recent.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
 
-    def packed(self, text: str) -> bytes:
+    def packed(self, text: str | bytes) -> bytes:
         # Bytes are split at ASCII white space only.
-        words = text.encode().split()
+        words = (text.encode() if isinstance(text, str) else text).split()
         unknown = set(words).difference(self.recent)
         if unknown:
             if len(self.recent) + len(unknown) > CACHED_WORDS:
@@ -216,7 +216,8 @@ def write(
     per-task counts.
     """
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("id"), F.col(text_col).alias("text")
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("id"),
+        F.col(text_col).cast("binary").alias("text"),
     )
     spark = docs.sparkSession
     ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
