@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .worker import kept
 
-CACHED_PIECES = 500_000  # encoded pre-tokens in each half of a worker's cache, about 100 MB
+CACHED_PIECES = 400_000  # encoded pre-tokens in each half of a worker's cache, about 80 MB
 PIECE_BYTES = 4_000_000
 GROUP_BITS = 8  # a second-level bitmap has 2 ** GROUP_BITS ranks, and there are as many of them at most
 
@@ -192,6 +192,11 @@ class Encoder(dict):
         self[piece] = packed
         return packed
 
+    def rest(self) -> None:
+        """Give back the old half, at the end of a task: other stages need the
+        memory."""
+        self.old = {}
+
     def packed(self, text: str) -> bytes:
         """The ids as packed 32-bit integers."""
         return b"".join(map(self.__getitem__, self.split(text)))
@@ -259,7 +264,8 @@ def encode(
     names = [*keep, ids_col, *([decoded_col] if decoded_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = encoder(rank_file, pattern).packed
+        own = encoder(rank_file, pattern)
+        packed = own.packed
         for batch in pieces(batches):
             parts = [packed(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
             ends = np.cumsum([0, *map(len, parts)]) // 4
@@ -268,6 +274,7 @@ def encode(
             )
             more = [_decoded(made, rank_file)] if decoded_col else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made, *more], names=names)
+        own.rest()
 
     chosen = df.select(*keep, F.col(text_col).alias("_text"))
     kinds = [(ids_col, "array<int>"), *([(decoded_col, "binary")] if decoded_col else [])]

@@ -154,6 +154,7 @@ def count(docs: DataFrame, *, rank_file: str, pattern: str, id_col: str = "doc_i
                 ],
                 names=["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"],
             )
+        encode.rest()
 
     return _renamed(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, n_tokens bigint, {STATE}")
 
@@ -191,6 +192,7 @@ def apply_edits(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
                              kept.chars, kept.leaf_tokens, kept.text))
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        encode.rest()
 
     names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "encoded_chars", "n_chars",
              "leaf_chars", "leaf_tokens", "text"]
