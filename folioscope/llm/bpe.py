@@ -176,14 +176,15 @@ class Encoder(dict):
     needed again come back; so frequent pre-tokens are never lost.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int | None = None):
         super().__init__()
+        self.cached = cached or CACHED_PIECES
         self.old: dict[str, bytes] = {}
         self.ranks = ranks
         self.split = Splitter(pattern)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
+        if len(self) >= self.cached:
             self.old = dict(self)
             self.clear()
         packed = self.old.get(piece)
@@ -214,9 +215,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, cached: int | None = None) -> Encoder:
     """The encoder of this worker for a rank file."""
-    return kept(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
+    return kept(("bpe", path, pattern, cached), lambda: Encoder(read_ranks(path), pattern, cached))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

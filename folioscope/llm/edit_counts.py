@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, encoder, pieces
 
 LEAF = 8  # pre-tokens of a new leaf
+CACHED_PIECES = 600_000  # of each half of a worker's cache: regions are encoded again and again
 
 
 class SumTree:
@@ -142,7 +143,7 @@ def count(docs: DataFrame, *, rank_file: str, pattern: str, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(rank_file, pattern)
+        encode = encoder(rank_file, pattern, CACHED_PIECES)
         for batch in pieces(batches):
             counted = [CountedText(t or "", encode) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -154,7 +155,6 @@ def count(docs: DataFrame, *, rank_file: str, pattern: str, id_col: str = "doc_i
                 ],
                 names=["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"],
             )
-        encode.rest()
 
     return _renamed(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, n_tokens bigint, {STATE}")
 
@@ -176,7 +176,7 @@ def apply_edits(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
     stateful = {"leaf_chars", "leaf_tokens"} <= set(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(rank_file, pattern)
+        encode = encoder(rank_file, pattern, CACHED_PIECES)
         for batch in pieces(batches):
             rows = []
             for doc_id, text, edits, chars, tokens in zip(*(c.to_pylist() for c in batch.columns)):
@@ -192,7 +192,6 @@ def apply_edits(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
                              kept.chars, kept.leaf_tokens, kept.text))
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        encode.rest()
 
     names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "encoded_chars", "n_chars",
              "leaf_chars", "leaf_tokens", "text"]
