@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .components import components
-from .shingles import MinHasher, Shingler, sketch_similarity
+from .shingles import MinHasher, Shingler, differing_bits, most_differing_bits
 
 WORDS = 5
 THRESHOLD = 75  # percent, shared of all shingles
@@ -19,8 +19,8 @@ THRESHOLD = 75  # percent, shared of all shingles
 # probability 1 - 6e-6.
 BANDS, ROWS = 32, 4
 BINS, BITS = 2048, 2048
-# Pairs whose sketches are this many standard deviations below the threshold
-# are put aside.
+# Pairs whose sketches differ by this many standard deviations more than those
+# of a pair at the threshold are put aside.
 DEVIATIONS = 5
 MEMBERS = 512  # rows of a bucket that are compared as one block
 
@@ -124,20 +124,6 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _least_estimate(shingles: np.ndarray, samples: np.ndarray, percent: int) -> np.ndarray:
-    """Least estimate that a row's partners need so that none at the threshold
-    is lost.
-
-    Two errors add up: that of samples standing for sets, which shrinks as the
-    samples cover the set, and that of samples meeting in one bit.
-    """
-    j = percent / 100
-    sampling = j * (1 - j) / samples * (1 - samples / shingles)
-    apart = 2 * samples * (1 - j) / (1 + j)
-    meeting = apart * np.exp(2 * apart / BITS) / np.sqrt(BITS / 2) * (1 + j) ** 2 / (4 * samples)
-    return j - DEVIATIONS * np.sqrt(sampling + meeting**2) - 0.005
-
-
 def _compare(dealt: DataFrame, percent: int, across: bool) -> DataFrame:
     """Pairs of ids whose sketches are similar enough, from each block pair.
 
@@ -152,19 +138,20 @@ def _compare(dealt: DataFrame, percent: int, across: bool) -> DataFrame:
                 continue
             ids = group.column("id").to_numpy()
             own = group.column("_own").to_numpy()
-            samples = group.column("samples").to_numpy().astype(np.float64)
-            enough = _least_estimate(group.column("n_shingles").to_numpy(), samples, percent)
+            sizes, samples = group.column("n_shingles").to_numpy(), group.column("samples").to_numpy()
             joined = b"".join(group.column("sketch").to_pylist())
             sketches = np.frombuffer(joined, np.uint64).reshape(len(ids), BITS // 64)
             p, q = group.column("_p")[0].as_py(), group.column("_q")[0].as_py()
             left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
             if not len(left) or not len(right):
                 continue
-            alike = sketch_similarity(
-                sketches[left], samples[left], sketches[right], samples[right], BITS
+            differ = differing_bits(sketches[left], sketches[right])
+            most = most_differing_bits(
+                sizes[left], samples[left], sizes[right], samples[right], percent / 100, BINS, BITS, DEVIATIONS
             )
-            least = np.minimum(enough[left][:, None], enough[right][None, :])
-            alike[(ids[left][:, None] == ids[right][None, :]) | (alike < least)] = -1
+            # The smaller the share of the bits a pair may differ in, the nearer.
+            alike = 1 - differ / most
+            alike[ids[left][:, None] == ids[right][None, :]] = -1
             if across:
                 part = group.column("component").to_numpy()
                 alike[part[left][:, None] == part[right][None, :]] = -1

@@ -1,8 +1,10 @@
 import random
 
 import duckdb
+import numpy as np
+import pytest
 
-from folioscope.llm import exact_dedup, near_dedup
+from folioscope.llm import exact_dedup, near_dedup, shingles
 from folioscope.llm.components import components
 
 DOCS = "doc_id bigint, text string"
@@ -89,6 +91,53 @@ def test_near_in_many_blocks(spark, monkeypatch):
     assert {x.component_id for x in found} == {0}
 
 
+def halves(r, count, other, percent):
+    """Sets of ``count`` and ``other`` hashes, of which just enough are shared."""
+    shared = -(-(count + other) * percent // (100 + percent))
+    union = r.integers(0, 2**64, count + other - shared, dtype=np.uint64)
+    return np.sort(union[:count]), np.sort(union[count - shared :])
+
+
+@pytest.mark.parametrize("count", [7, 40, 150, 1000, 2000, 2048, 4000, 20_000])
+def test_sketches_of_near_sets_pass(count):
+    """No pair at the threshold or above is put aside, far pairs are."""
+    r = np.random.default_rng(count)
+    hasher = shingles.MinHasher(near_dedup.BANDS, near_dedup.ROWS, near_dedup.BINS, near_dedup.BITS)
+
+    def passes(percent, other=count):
+        sets = halves(r, count, other, percent)
+        (x, m), (y, n) = map(hasher.odd_sketch, sets)
+        x, y = (np.frombuffer(s, np.uint64)[None, :] for s in (x, y))
+        sized = [np.array([k]) for k in (len(sets[0]), m, len(sets[1]), n)]
+        most = shingles.most_differing_bits(
+            *sized, 0.75, near_dedup.BINS, near_dedup.BITS, near_dedup.DEVIATIONS
+        )
+        return shingles.differing_bits(x, y)[0, 0] <= most[0, 0]
+
+    for percent in (75, 77, 79, 82):
+        assert all(passes(percent) for _ in range(60))
+        assert all(passes(percent, count + count // 10) for _ in range(60))
+    assert not any(passes(30) for _ in range(60))
+
+
+def test_near_long_texts(spark, near_brute):
+    """Pairs of 1000, 4000 and 20,000 words, from 75 to 82 percent and below."""
+    r = random.Random(11)
+    rows = []
+    for count in (1000, 4000, 20_000):
+        for percent in (60, 75, 76, 78, 80, 82):
+            # The first words are shared; all shingles of a text differ.
+            shared = -(-2 * (count - 4) * percent // (100 + percent)) + 4
+            first = [f"w{r.getrandbits(60)}" for _ in range(shared)]
+            for _ in range(2):
+                rest = [f"w{r.getrandbits(60)}" for _ in range(count - shared)]
+                rows.append((len(rows), " ".join(first + rest)))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    mine = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in found)
+    assert mine == near_brute(rows)
+    assert sum(not x.kept for x in found) == 15
+
+
 def test_near_edges(spark):
     schema = DOCS + ", kept string, component_id int, id int, bands int"
     rows = [(5, "a b c d e f", "", 1, 1, 1), (5, "a b c d e f", "", 1, 1, 1), (None, "a b c d e f", "", 1, 1, 1),
