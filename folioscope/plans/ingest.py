@@ -246,7 +246,8 @@ def store(
 
     With an embedder the stored chunks carry vectors; only chunks that are not
     stored yet are embedded, once.  With a ``vector_table`` they are upserted
-    there as points.  Raises when no chunk came out of the documents.  Returns
+    there as points, with the vectors of chunks stored earlier that have no
+    point yet, as after a cut run.  Raises when no chunk came out of the documents.  Returns
     the number of stored chunks.
     """
     tell = _teller(progress)
@@ -258,12 +259,19 @@ def store(
         rows = settle(embed(rows, embedder), "vectors")
         tell("embedded", "Vectors are written")
     tell("index", "Writing chunks")
+    points = None
+    if vector_table is not None:
+        held = settle(dense.to_points(chunk_table.present(done.chunks)), "held_points")
+        points = vector_table.absent(held)
+        if added:
+            points = points.unionByName(dense.to_points(rows))
+        points = settle(points, "points")
     if added:
         chunk_table.append(rows)
     elif done.chunks.isEmpty():
         raise ValueError("no chunk could be made from the documents")
-    if vector_table is not None and added:
-        vector_table.upsert(dense.to_points(rows), "point_id")
+    if points is not None and not points.isEmpty():
+        vector_table.upsert(points, "point_id")
     registry_table.insert_if_absent(registry_rows(done, documents, organization))
     tell("done", f"Stored {added} chunks")
     return added

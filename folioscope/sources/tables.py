@@ -93,6 +93,11 @@ class StoredTable:
         keys = self._of(self._touched(rows)).select(self.key).distinct()
         return rows.join(keys, self.key, "left_anti")
 
+    def present(self, rows: DataFrame) -> DataFrame:
+        """The stored rows that have a key of ``rows``; only their partitions
+        are read.  Give written rows, since they are read twice."""
+        return self._of(self._touched(rows)).join(rows.select(self.key), self.key, "left_semi")
+
     def append(self, rows: DataFrame) -> None:
         self._write(rows, "append")
 

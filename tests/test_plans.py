@@ -227,6 +227,33 @@ def test_chunks_are_embedded_once(spark, tmp_path):
     assert sum(len(f.read_text().split("\n")) for f in tmp_path.iterdir()) == embedded
 
 
+def test_vectors_after_a_cut_run(spark, tmp_path, monkeypatch):
+    """Chunks that are stored without their points get them in the next run."""
+    raw = spark.createDataFrame(
+        [("d", n, f"1. Heading {n}\n" + "some words of text here " * 30) for n in range(1, 4)],
+        "document_id string, page_number int, text string",
+    )
+    docs = spark.createDataFrame([("d", "d", "d.pdf")], "document_id string, document_name string, pdf_file string")
+    folder = new_run_dir(spark, "cut")
+    chunks = tables.StoredTable(spark, f"{folder}/chunks", schemas.EMBEDDED_CHUNKS, "chunk_id")
+    registry = tables.StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
+    points = tables.StoredTable(spark, f"{folder}/points", schemas.POINTS, "point_id")
+    embedder = CountingEmbedder(str(tmp_path))
+    done = ingest.ingest(raw, docs)
+
+    def cut(*_):
+        raise RuntimeError("cut")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(points, "upsert", cut)
+        with pytest.raises(RuntimeError, match="cut"):
+            ingest.store(done, docs, chunks, registry, embedder, vector_table=points)
+    assert chunks.count() > 0 and points.count() == 0
+    assert ingest.store(done, docs, chunks, registry, embedder, vector_table=points) == 0
+    stored = {r.payload.chunk_id: r.embedding for r in points.read().collect()}
+    assert stored == {r.chunk_id: r.embedding for r in chunks.read().collect()}
+
+
 def test_labelled_set(spark, tmp_path):
     rows = [
         {"query_id": "Q1", "query": "dose?", "expected_section_id": "s1", "expected_chunk_ids": ["c1"], "expected_pages": [3], "topic": "t"},
