@@ -7,6 +7,7 @@ from . import (
     exact_dedup,
     mixing,
     near_dedup,
+    periodic_runs,
     token_file,
     toxicity,
     url_filter,
@@ -15,7 +16,7 @@ from . import (
 
 _PARTS = (
     bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, edit_counts, toxicity,
-    near_dedup,
+    near_dedup, periodic_runs,
 )
 
 
