@@ -12,11 +12,12 @@ from . import (
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 
 _PARTS = (
     bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, edit_counts, toxicity,
-    near_dedup, periodic_runs,
+    near_dedup, periodic_runs, whitening,
 )
 
 
