@@ -5,6 +5,7 @@ from . import (
     edit_counts,
     embedding_dedup,
     exact_dedup,
+    language_id,
     mixing,
     near_dedup,
     periodic_runs,
@@ -17,7 +18,7 @@ from . import (
 
 _PARTS = (
     bpe, warc, url_filter, token_file, exact_dedup, embedding_dedup, mixing, edit_counts, toxicity,
-    near_dedup, periodic_runs, whitening,
+    near_dedup, periodic_runs, language_id, whitening,
 )
 
 
