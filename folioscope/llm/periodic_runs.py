@@ -248,10 +248,9 @@ def planted(text: Column, doc_id: Column) -> Column:
     seed = F.floor(checksum / 10)
     start = (seed % size).cast("int")
     period = (1 + F.floor((size - start) / (3 + seed % 8))).cast("int")
-    again = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: F.get(words, F.when(i < start, i).otherwise(start + (i - start) % period)),
-    )
+    unit = F.slice(words, start + 1, period)
+    times = F.ceil((size - start) / period).cast("int")
+    again = F.slice(F.concat(F.slice(words, F.lit(1), start), F.flatten(F.array_repeat(unit, times))), F.lit(1), size)
     chosen = (checksum % 10 == 0) & (F.length(bare) > 0)
     return F.when(chosen, F.array_join(again, " ")).otherwise(text)
 
