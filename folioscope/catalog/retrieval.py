@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import context, dense, fusion, lexical, state, targets
+from ..operators import context, dense, dense_index, fusion, lexical, postings, state, targets
 from ..operators.clinical import parse_vitals
 from ..plans.ask import ask as ask_plan
 from ..plans.ask import leg_size
@@ -61,6 +61,34 @@ def bm25_stored_index(spark, d):
     return lexical.bm25_top_k(None, text_questions(spark, d), K.TOP_K, index=index)
 
 
+def bm25_postings(spark, d):
+    """A posting index is stored, opened and searched block by block."""
+    path = new_run_dir(spark, "postings")
+    postings.add(corpus(spark, d), path, "index_text")
+    index = postings.PostingIndex.open(spark, path)
+    return lexical.bm25_top_k(None, text_questions(spark, d), K.TOP_K, index=index)
+
+
+def bm25_segments(spark, d):
+    """An index that grew: every document came first with its language as text,
+    together with strangers, then with half of its text, then as it is, in
+    three batches; the strangers are taken out again and segments merged."""
+    path = new_run_dir(spark, "segments")
+    docs = corpus(spark, d).select("chunk_id", "index_text", "section_title")
+    early = docs.select("chunk_id", F.col("section_title").alias("index_text"))
+    strangers = docs.select((-1 - F.col("chunk_id")).alias("chunk_id"), F.reverse("index_text").alias("index_text"))
+    postings.add(early.union(strangers), path, "index_text")
+    half = F.col("index_text").substr(F.lit(1), F.floor(F.length("index_text") / 2).cast("int"))
+    postings.add(docs.select("chunk_id", half.alias("index_text")), path, "index_text")
+    for n in range(3):
+        batch = docs.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == n)
+        postings.add(batch.select("chunk_id", "index_text"), path, "index_text")
+    postings.remove(strangers, path)
+    postings.merge(spark, path)
+    index = postings.PostingIndex.open(spark, path)
+    return lexical.bm25_top_k(None, text_questions(spark, d), K.TOP_K, index=index)
+
+
 def retrieve_bm25(spark, d):
     return lexical.bm25_top_k(
         corpus(spark, d), text_questions(spark, d), K.TOP_K, text="index_text"
@@ -138,6 +166,14 @@ def retrieve_dense(spark, d):
     return dense.dense_top_k(vectors(spark, d), questions(spark, d))
 
 
+def dense_stored_index(spark, d):
+    """An index of cells and shells is stored, loaded again and searched."""
+    path = new_run_dir(spark, "dense_index")
+    dense_index.build_index(vectors(spark, d), path)
+    index = dense_index.DenseIndex.load(spark, path)
+    return dense.dense_top_k(None, questions(spark, d), index=index)
+
+
 def _located(spark, d):
     """Vectors with the document fields of the same number."""
     docs = corpus(spark, d).select("chunk_id", "document_id", "pdf_file")
@@ -401,9 +437,12 @@ QUERIES = {
     "bm25_idf": bm25_idf,
     "retrieve_bm25": retrieve_bm25,
     "bm25_stored_index": bm25_stored_index,
+    "bm25_postings": bm25_postings,
+    "bm25_segments": bm25_segments,
     "retrieve_bm25_filtered": retrieve_bm25_filtered,
     "retrieve_bm25_prefiltered": retrieve_bm25_prefiltered,
     "retrieve_dense": retrieve_dense,
+    "dense_stored_index": dense_stored_index,
     "retrieve_dense_postfilter": retrieve_dense_postfilter,
     "retrieve_dense_prefilter": retrieve_dense_prefilter,
     "fuse_rrf": fuse_rrf,
@@ -578,4 +617,6 @@ c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)
 SELECT conv_id::VARCHAR AS user_id, turns, k, event_type AS summary
 FROM c LEFT JOIN r ON r.user_id = c.conv_id""",
 }
-ORACLE["bm25_stored_index"] = ORACLE["retrieve_bm25"]
+for _name in ("bm25_stored_index", "bm25_postings", "bm25_segments"):
+    ORACLE[_name] = ORACLE["retrieve_bm25"]
+ORACLE["dense_stored_index"] = ORACLE["retrieve_dense"]

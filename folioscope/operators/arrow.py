@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,3 +37,22 @@ def map_column(
     return df.mapInArrow(run, schema).select(
         *(df.columns if out in df.columns else [*df.columns, out])
     )
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with one value of ``key``, as slices of the batches they lie in."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            if rest and values[start] != last:
+                yield rest
+                rest = []
+            rest.append(batch.slice(start, end - start))
+            last = values[start]
+    if rest:
+        yield rest

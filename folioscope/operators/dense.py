@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.vectors import point_id
 from . import scoring
+from .dense_index import DenseIndex
 
 # vectors are long: 4096 of 3072 doubles are 100 MB
 MAX_SHIPPED_VECTORS = 4096
@@ -21,12 +22,16 @@ def dense_top_k(
     vector: str = "embedding",
     query_vector: str = "vector",
     query_id: str = "query_id",
+    index: DenseIndex | None = None,
     **limits,
 ) -> DataFrame:
     """``query_id, item_id, dense_score, rank``, highest cosine first.
 
-    Rows and queries without a vector are left out.
+    Rows and queries without a vector are left out.  With a stored ``index``
+    the ``vectors`` are not read, and of the index only what can hold a hit.
     """
+    if index is not None:
+        return index.top_k(queries, k, query_vector, query_id)
     hits = scoring.best_k(
         vectors.where(F.col(vector).isNotNull()).select(item_id, vector),
         queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector),

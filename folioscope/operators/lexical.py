@@ -50,9 +50,15 @@ def _raw_idf(n_docs: int) -> Column:
     return F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
+def floored_idf(terms: DataFrame, n_docs: int, floor: float) -> DataFrame:
+    """``term, df, idf`` of ``term, df``; negative values are lifted to the floor."""
+    raw = _raw_idf(n_docs)
+    return terms.select("term", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
+
+
 @dataclass
 class Bm25Index:
-    """Stored statistics and term table of a corpus.
+    """Stored statistics and term table of a corpus, for searches that scan it.
 
     ``terms`` is ``term, df``; ``items`` is the :func:`term_table`, so a search
     neither reads nor cuts texts again.
@@ -67,10 +73,14 @@ class Bm25Index:
 
     def idf(self) -> DataFrame:
         """``term, df, idf``; negative values are lifted to the floor."""
-        raw = _raw_idf(self.n_docs)
-        return self.terms.select(
-            "term", "df", F.when(raw < 0, F.lit(self.idf_floor)).otherwise(raw).alias("idf")
-        )
+        return floored_idf(self.terms, self.n_docs, self.idf_floor)
+
+    def best(
+        self, weights: DataFrame, k: int, item_id: str, query_id: str, k1: float, b: float, **limits
+    ) -> DataFrame:
+        """``query_id, item_id, score, rank`` for ``query_id, term, weight``."""
+        scorer = scoring.term_scorer(self.average_length, k1, b, query_id)
+        return scoring.best_k(self.items.select(item_id, "terms"), weights, scorer, k, item_id, query_id, **limits)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Bm25Index":
@@ -157,19 +167,13 @@ def bm25_top_k(
     """``query_id, item_id, bm25_score, rank``, highest score first.
 
     Documents without any query term score 0 and fill the list when fewer than
-    ``k`` match; equal scores follow the id order.  With a stored ``index``
-    the ``corpus`` is not read; without one it is indexed first.
+    ``k`` match; equal scores follow the id order.  With a stored ``index``, a
+    :class:`Bm25Index` or a ``postings.PostingIndex``, the ``corpus`` is not
+    read; without one it is cut into terms first and scanned.
     """
     index = index or build_index(corpus, text, item_id)
-    hits = scoring.best_k(
-        index.items.select(item_id, "terms"),
-        query_weights(queries, index, query_text, query_id),
-        scoring.term_scorer(index.average_length, k1, b, query_id),
-        k,
-        item_id,
-        query_id,
-        **limits,
-    )
+    weights = query_weights(queries, index, query_text, query_id)
+    hits = index.best(weights, k, item_id, query_id, k1, b, **limits)
     return hits.withColumnRenamed("score", "bm25_score")
 
 

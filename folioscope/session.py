@@ -131,3 +131,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HELD_ROWS = 20_000
+
+
+def held(df: DataFrame, name: str, rows: int = HELD_ROWS) -> DataFrame:
+    """As :func:`settle`, but a result of at most ``rows`` rows stays with the
+    driver, which saves writing it.  The rows are counted first; only use it
+    for rows of bounded width."""
+    small = df.limit(rows + 1).toArrow()
+    if small.num_rows > rows:
+        return settle(df, name)
+    return df.sparkSession.createDataFrame(small, df.schema)
