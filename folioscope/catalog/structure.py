@@ -9,9 +9,8 @@ from ..functions import predicates as P
 from ..functions.text import squeeze, strip, stripped_lines
 from ..operators import headings
 from ..operators.ordered import first_rows
-from ..sources.pages import (
-    HTML_BLOCK, HTML_BOLD, HTML_HEADING, conversation_pages, html_bookmarks, html_layout,
-)
+from ..session import settle
+from ..sources.pages import conversation_pages, html_blocks, html_bookmarks, html_layout
 from .tables import strip_sql, table, upper_sql
 
 # -- line tests ---------------------------------------------------------------
@@ -228,16 +227,31 @@ def first_occurrence(spark, d):
 
 
 def body_size_mode(spark, d):
-    return headings.body_font_sizes(html_layout(table(spark, d, "pages")))
+    return headings.body_font_sizes(html_layout(html_blocks(table(spark, d, "pages"))))
 
 
-_INNER = r"regexp_replace(regexp_replace({}, '<br\s*/?>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+# Each "<" begins an event.  A running count of the tags of block elements tells
+# which events stand together; those behind a heading or paragraph are a block.
+_REFERENCES = "txt"
+for _name, _letter in K.HTML_REFERENCES.items():
+    _REFERENCES = f"replace({_REFERENCES}, '&{_name};', chr({ord(_letter)}))"
 _LAYOUT = rf"""
-blocks AS (SELECT url, i - 1 AS block_no, regexp_extract(m[i], '^<(h[1-6]|p)', 1) AS tag,
-    CASE WHEN regexp_matches(m[i], '{HTML_BOLD}') THEN 'b' ELSE '' END AS bold,
-    regexp_replace({_INNER.format('m[i]')}, '^\s+|\s+$', '', 'g') AS txt
-  FROM (SELECT url, unnest(range(1, len(m) + 1)) AS i, m FROM (
-    SELECT url, regexp_extract_all(html, '{HTML_BLOCK}', 0) AS m FROM pages))),
+events AS (SELECT url, page_id, i, e[i] AS piece, i > 1 AND regexp_matches(e[i], '^/?[a-zA-Z][^>]*>') AS is_tag,
+    lower(regexp_extract(e[i], '^(/?[a-zA-Z][a-zA-Z0-9]*)(?:[\s/>])', 1)) AS tag
+  FROM (SELECT url, page_id, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT url, page_id, string_split(
+    regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<') AS e
+    FROM pages))),
+told AS (SELECT *, coalesce(is_tag AND ltrim(tag, '/') IN {K.HTML_BLOCK_ELEMENTS!r}, false) AS edge,
+    CASE WHEN NOT is_tag THEN CASE WHEN i > 1 THEN '<' ELSE '' END || piece
+      ELSE CASE WHEN tag = 'br' THEN ' ' ELSE '' END || substr(piece, strpos(piece, '>') + 1) END AS words FROM events),
+islands AS (SELECT *, sum(edge::INT) OVER (PARTITION BY page_id ORDER BY i) AS island FROM told),
+joined AS (SELECT url, page_id, island, arg_min(tag, i) AS tag, arg_min(words, i) AS first_words, bool_or(edge) AS edge,
+    string_agg(CASE WHEN is_tag AND NOT edge THEN tag END, ' ' ORDER BY i) AS inside,
+    string_agg(words, '' ORDER BY i) AS txt FROM islands GROUP BY url, page_id, island),
+blocks AS (SELECT url, row_number() OVER (PARTITION BY page_id ORDER BY island) - 1 AS block_no, tag,
+    CASE WHEN split_part(inside, ' ', 1) = 'b' AND trim(first_words) = '' THEN 'b' ELSE '' END AS bold,
+    regexp_replace(replace({_REFERENCES}, '&amp;', '&'), '^\s+|\s+$', '', 'g') AS txt
+  FROM joined WHERE edge AND tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p')),
 sized AS (SELECT *, CASE tag WHEN 'h1' THEN 24.0 WHEN 'h2' THEN 18.0 WHEN 'h3' THEN 14.0
     WHEN 'h4' THEN 12.0 WHEN 'p' THEN 10.0 ELSE 11.0 END::DOUBLE AS size FROM blocks),
 w AS (SELECT url, size, sum(len(txt)) AS n, min(block_no) AS place FROM sized WHERE txt <> ''
@@ -248,7 +262,7 @@ body AS (SELECT url, size AS body_size FROM (SELECT *, row_number() OVER (PARTIT
 
 
 def layout_headings(spark, d):
-    return headings.layout_headings(html_layout(table(spark, d, "pages"))).select(
+    return headings.layout_headings(html_layout(html_blocks(table(spark, d, "pages")))).select(
         "document_id", "page_number", F.col("order.minor").cast("int").alias("block_no"), "title"
     )
 
@@ -266,14 +280,18 @@ usable AS (SELECT *, row_number() OVER (PARTITION BY url, title ORDER BY block_n
 """
 
 
-def _html_pages(spark, d):
-    """Text of the tags, one line per tag, all on page 1."""
-    layout = html_layout(table(spark, d, "pages"))
-    text = F.col("spans")[0]["text"]
-    return layout.groupBy("document_id", "page_number").agg(
+def html_block_text(spark, d):
+    """Headings and paragraphs of all pages."""
+    blocks = html_blocks(table(spark, d, "pages"))
+    return blocks.select("document_id", "block_no", "tag", "bold", strip(F.col("text")).alias("text"))
+
+
+def _html_pages(blocks):
+    """Text of the blocks, one line a block, all on page 1."""
+    return blocks.groupBy("document_id", F.lit(1).alias("page_number")).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("block_no", text.alias("t")))),
+                F.array_sort(F.collect_list(F.struct("block_no", strip(F.col("text")).alias("t")))),
                 lambda s: s["t"],
             ),
             "\n",
@@ -283,9 +301,9 @@ def _html_pages(spark, d):
 
 def html_headings(spark, d):
     """The whole cascade on HTML pages: bookmarks, layout, lines, buckets."""
-    source = table(spark, d, "pages")
-    pages = _html_pages(spark, d)
-    found = headings.detect_headings(pages, html_bookmarks(source), html_layout(source))
+    blocks = settle(html_blocks(table(spark, d, "pages")), "blocks")
+    pages = settle(_html_pages(blocks), "pages")
+    found = headings.detect_headings(pages, html_bookmarks(blocks), html_layout(blocks))
     return headings.detected_sections(found, pages).withColumn("ord", F.col("ord").cast("int"))
 
 
@@ -329,6 +347,7 @@ QUERIES = {
     "first_occurrence": first_occurrence,
     "excluded_titles": excluded_titles,
     "bookmark_headings": bookmark_headings,
+    "html_block_text": html_block_text,
     "body_size_mode": body_size_mode,
     "layout_headings": layout_headings,
     "html_headings": html_headings,
@@ -399,15 +418,17 @@ u AS (SELECT *, row_number() OVER (PARTITION BY document_id, title ORDER BY turn
     AND NOT regexp_matches(upper(title), '{"|".join(K.EXCLUDED_TITLE_WORDS)}'))
 SELECT document_id, CAST(turn + 1 AS INTEGER) AS page_number, CAST(turn AS INTEGER) AS ord, title
 FROM u WHERE r = 1""",
+    "html_block_text": f"""
+WITH {_LAYOUT.rstrip().rstrip(',')}
+SELECT url AS document_id, CAST(block_no AS INTEGER) AS block_no, tag, bold = 'b' AS bold, txt AS text FROM blocks""",
     "body_size_mode": f"WITH {_LAYOUT} SELECT url AS document_id, body_size FROM body",
     "layout_headings": f"""
 WITH {_HEADS} SELECT url AS document_id, CAST(1 AS INTEGER) AS page_number,
     CAST(block_no AS INTEGER) AS block_no, title FROM usable WHERE r = 1""",
     "html_headings": f"""
 WITH {_HEADS},
-toc AS (SELECT url, i, trim(regexp_replace({strip_sql('x')}, '\\s+', ' ', 'g'), ':-. ') AS title, n
-  FROM (SELECT url, generate_subscripts(l, 1) AS i, {_INNER.format('unnest(l)')} AS x, len(l) AS n FROM (
-    SELECT url, regexp_extract_all(html, '{HTML_HEADING}', 0) AS l FROM pages))),
+toc AS (SELECT url, block_no AS i, trim(regexp_replace(txt, '\\s+', ' ', 'g'), ':-. ') AS title,
+    count(*) OVER (PARTITION BY url) AS n FROM blocks WHERE tag <> 'p'),
 s1 AS (SELECT url, 1 AS src, min(i) AS place, title FROM toc WHERE n >= 3 AND title <> ''
     AND len(title) < 140
     AND NOT regexp_matches(upper(title), '{"|".join(K.EXCLUDED_TITLE_WORDS)}') GROUP BY url, title),

@@ -287,3 +287,21 @@ QUOTA_WAIT_MAX = 60.0
 ERROR_WAIT = 2.0
 GENERATE_ATTEMPTS = 2
 GENERATE_WAIT = 1.0
+
+# -- HTML ---------------------------------------------------------------------
+
+# Fixed values of the HTML standard: elements that end a paragraph or heading
+# where they begin or end, and character references.
+HTML_BLOCK_ELEMENTS = (
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre",
+    "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
+)
+HTML_HIDDEN_ELEMENTS = ("script", "style", "template")
+HTML_REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae",
+    "middot": "\u00b7", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019",
+    "ldquo": "\u201c", "rdquo": "\u201d", "bull": "\u2022", "hellip": "\u2026", "euro": "\u20ac",
+    "trade": "\u2122",
+}

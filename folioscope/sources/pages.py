@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import constants as K
+from ..functions.arrays import each
 from ..functions.text import document_id_of, file_name, strip
 from ..operators.cleaning import clean_text, drop_blank
 
@@ -93,56 +95,102 @@ def conversation_pages(conversations: DataFrame) -> DataFrame:
 
 # -- HTML: tag level stands in for font size ----------------------------------
 
-# A heading or paragraph up to its end tag; the start tag may have attributes.
-HTML_BLOCK = r"(?s)<(?:h[1-6]|p)(?:\s[^>]*)?>.*?</(?:h[1-6]|p)>"
-HTML_HEADING = r"(?s)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>"
-HTML_BOLD = r"(?s)^<[^>]*>\s*<b(?:\s[^>]*)?>"
-HTML_TAG = r"(?s)<[^>]*>"
+# A tag; "<" before anything but a letter, and a tag without end, are text.
+HTML_TAG = r"</?[a-zA-Z][^>]*>"
+HTML_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<![^>]*>" + "".join(
+    rf"|<{name}\b.*?(?:</{name}\s*>|\z)" for name in K.HTML_HIDDEN_ELEMENTS
+)
+HTML_EDGE = rf"(?i)(</?(?:{'|'.join(K.HTML_BLOCK_ELEMENTS)})(?:[\s/][^>]*)?>)"
+HTML_START = r"(?i)^<(h[1-6]|p)[\s/>]"
+HTML_BOLD = r"(?i)^<[^>]*>\s*<b[\s/>]"
+_MARK = "\u0000"  # HTML has no such character
 TAG_SIZE = {"h1": 24.0, "h2": 18.0, "h3": 14.0, "h4": 12.0, "h5": 11.0, "h6": 11.0, "p": 10.0}
 
 
-def html_layout(pages: DataFrame, document_id: str = "url", html: str = "html") -> DataFrame:
-    """Layout rows of HTML texts: one block per heading or paragraph tag.
+def html_blocks(pages: DataFrame, document_id: str = "url", html: str = "html") -> DataFrame:
+    """``document_id, block_no, tag, bold, text``: headings and paragraphs.
 
-    The text of a block is all of it up to the end tag, without inline tags; a
-    line break counts as a space.  Blocks are found once and then taken apart.
+    Each start tag of one begins a block.  It ends at the next tag of a block
+    element, be it a start or an end: its own end tag, that of a parent, or the
+    start of what cannot stand inside it, so unclosed paragraphs swallow
+    nothing and lose nothing.  Comments, scripts and styles are left out, a
+    line break is a space, other tags inside vanish and character references
+    are resolved.  Pages without blocks, and nulls, give no rows.
     """
-    sizes = F.create_map(*[F.lit(x) for pair in TAG_SIZE.items() for x in pair])
+    bare = F.regexp_replace(F.replace(F.col(html), F.lit(_MARK), F.lit("")), HTML_HIDDEN, "")
+    parts = F.split(F.regexp_replace(bare, HTML_EDGE, _MARK + "$1"), _MARK)
     block = F.col("block")
-    return pages.select(
-        F.col(document_id).cast("string").alias("document_id"),
-        F.lit(1).alias("page_number"),
-        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HTML_BLOCK), 0)).alias("block_no", "block"),
-    ).select(
+    found = each(
+        pages,
+        [F.col(document_id).cast("string").alias("document_id")],
+        F.filter(parts, lambda part: part.rlike(HTML_START)),
+        "block",
+        "block_no",
+    )
+    return found.select(
+        "document_id",
+        "block_no",
+        F.lower(F.regexp_extract(block, HTML_START, 1)).alias("tag"),
+        block.rlike(HTML_BOLD).alias("bold"),
+        inner_text(block).alias("text"),
+    )
+
+
+def inner_text(block: Column) -> Column:
+    """Text of a block: a line break is a space, tags are left out, character
+    references stand for their characters."""
+    spaced = F.regexp_replace(block, r"(?i)<br[\s/]*>", " ")
+    return resolved(F.regexp_replace(spaced, HTML_TAG, ""))
+
+
+def resolved(text: Column) -> Column:
+    """Character references resolved, each once; unknown ones stay as they are."""
+
+    def numbered(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        hexed = F.when(F.lower(digits).startswith("x"), F.substring(digits, 2, 6)).otherwise(F.conv(digits, 10, 16))
+        code = F.conv(hexed, 16, 10).cast("bigint")
+        known = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+        rest = F.substring(piece, F.length(digits) + 2, F.length(piece))
+        return F.when(known, F.concat(letter, rest)).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(text, "&#")
+    decoded = F.concat(
+        F.get(pieces, F.lit(0)),
+        F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), numbered), ""),
+    )
+    out = F.when(text.contains("&#"), decoded).otherwise(text)
+    for name, letter in K.HTML_REFERENCES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))  # last: "&amp;lt;" is not "<"
+
+
+def html_layout(blocks: DataFrame) -> DataFrame:
+    """Layout rows of :func:`html_blocks`, one line a block, all on page 1."""
+    sizes = F.create_map(*[F.lit(x) for pair in TAG_SIZE.items() for x in pair])
+    return blocks.select(
         "document_id",
-        "page_number",
+        F.lit(1).alias("page_number"),
         "block_no",
         F.lit(0).alias("line_no"),
         F.array(
             F.struct(
-                strip(inner_text(block)).alias("text"),
-                F.element_at(sizes, F.regexp_extract(block, "^<(h[1-6]|p)", 1)).alias("size"),
-                F.when(block.rlike(HTML_BOLD), "Serif-Bold").otherwise("Serif").alias("font"),
+                strip(F.col("text")).alias("text"),
+                F.element_at(sizes, F.col("tag")).alias("size"),
+                F.when(F.col("bold"), "Serif-Bold").otherwise("Serif").alias("font"),
             )
         ).alias("spans"),
     )
 
 
-def inner_text(block: Column) -> Column:
-    """Text between the outer tags of a block, inline tags left out."""
-    return F.regexp_replace(F.regexp_replace(block, r"<br\s*/?>", " "), HTML_TAG, "")
-
-
-def html_bookmarks(pages: DataFrame, document_id: str = "url", html: str = "html") -> DataFrame:
-    """Heading tags as bookmarks, all on page 1."""
-    return pages.select(
-        F.col(document_id).cast("string").alias("document_id"),
-        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(HTML_HEADING), 0)).alias("ord", "block"),
-    ).select(
+def html_bookmarks(blocks: DataFrame) -> DataFrame:
+    """Headings of :func:`html_blocks` as bookmarks, all on page 1."""
+    return blocks.where(F.col("tag") != "p").select(
         "document_id",
-        "ord",
-        F.substring("block", 3, 1).cast("int").alias("level"),
-        inner_text(F.col("block")).alias("title"),
+        F.col("block_no").alias("ord"),
+        F.substring("tag", 2, 1).cast("int").alias("level"),
+        F.col("text").alias("title"),
         F.lit(1).alias("page_number"),
     )
 
@@ -165,5 +213,5 @@ def layout_of(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 __all__ = [
     "PageReader", "PyMuPdfReader", "bookmarks_of", "clean_pages", "conversation_pages",
-    "html_bookmarks", "html_layout", "inspect_pages", "layout_of", "list_files", "read_files",
+    "html_blocks", "html_bookmarks", "html_layout", "inspect_pages", "layout_of", "list_files", "read_files",
 ]
