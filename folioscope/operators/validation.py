@@ -19,6 +19,7 @@ from ..functions import constants as K
 from ..functions.arrays import each
 from ..functions.text import percent, strip, stripped_lines, whole
 from ..functions.tokens import word_count
+from ..session import settle
 from .arrow import map_column
 from .duplicates import near_duplicates
 from .ordered import lag_in_order, top_k
@@ -515,7 +516,10 @@ def validate(
 
     Section checks are skipped when there are no sections (one row is read to
     find out).  ``boundary_check=False`` leaves out the section page check.
+    Each check reads the chunks, so they are written once first.
     """
+    chunks = settle(chunks, "chunks")
+    sections = settle(sections, "sections") if sections is not None else None
     local = (
         missing_field() + empty_chunk() + chunk_id_format() + page_numbers(chunks.schema)
         + token_count_mismatch() + token_bounds(minimum, maximum)
