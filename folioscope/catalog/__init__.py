@@ -3,9 +3,9 @@
 import functools
 
 from ..session import prepare
-from . import chunks, evaluation, retrieval, state, structure, text, validation
+from . import chunks, evaluation, retrieval, state, stored, structure, text, validation
 
-_PARTS = (text, structure, chunks, retrieval, evaluation, validation, state)
+_PARTS = (text, structure, chunks, retrieval, evaluation, validation, state, stored)
 
 
 def _prepared(run):

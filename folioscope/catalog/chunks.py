@@ -16,6 +16,7 @@ from ..session import new_run_dir
 from ..streaming.ingest import (
     TEXT_CHUNKS, document_stream, start_document_ingest, start_ingest, text_chunks,
 )
+from ..streaming.waiting import start_page_ingest
 from .structure import _HEADING_SQL
 from .tables import SCHEMAS, strip_sql, table
 
@@ -171,6 +172,30 @@ def stream_documents(spark, d):
     return chunks.read()
 
 
+def stream_pages(spark, d):
+    """The whole way, as a stream of single pages: the turns of a conversation
+    stand in different files, each file is a batch, and the first turns come
+    once more at the end.  Only the last turn tells how many there are."""
+    folder = new_run_dir(spark, "paged")
+    pages = conversation_pages(table(spark, d, "conversations"))
+    last = pages.groupBy("document_id").agg(F.max("page_number").alias("page_count"))
+    told = pages.join(last, "document_id").withColumn(
+        "page_count", F.when(F.col("page_number") == F.col("page_count"), F.col("page_count"))
+    )
+    for n in range(2):
+        part = told.where(F.pmod(F.xxhash64("document_id", "page_number"), F.lit(2)) == n)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    late = told.where(F.col("page_number") == 1).withColumn("text", F.reverse("text"))
+    late.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    chunks = StoredTable(spark, f"{folder}/chunks", schemas.CHUNKS, "chunk_id")
+    registry = StoredTable(spark, f"{folder}/registry", schemas.REGISTRY, "document_id")
+    stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    start_page_ingest(
+        stream, _documents_of, chunks, registry, f"{folder}/progress", f"{folder}/waiting", size=SMALL
+    ).awaitTermination()
+    return chunks.read()
+
+
 def store_vectors(spark, d):
     """Points by stable id: stored, stored again with other payloads, counted."""
     points = StoredTable(spark, new_run_dir(spark, "points"), schemas.POINTS, "point_id")
@@ -280,6 +305,7 @@ QUERIES = {
     "zip_vectors": zip_vectors,
     "stream_ingest": stream_ingest,
     "stream_documents": stream_documents,
+    "stream_pages": stream_pages,
     "ingest_and_store": ingest_and_store,
     "store_vectors": store_vectors,
 }
@@ -322,6 +348,7 @@ WITH {_DOC_WINDOWS} SELECT concat(doc_id, printf('_c%03d', chunk_no)) AS chunk_i
   CAST(token_count AS INTEGER) AS token_count, text FROM made""",
 }
 ORACLE["stream_documents"] = ORACLE["build_document_chunks"]
+ORACLE["stream_pages"] = ORACLE["build_document_chunks"]
 ORACLE["ingest_and_store"] = f"""
 WITH {_INGESTED} {windows_sql(_SECTION_SOURCE, 'k', SMALL)}, {_SPANS},
 c AS (SELECT document_id, CAST(count(*) AS INTEGER) AS total_chunks

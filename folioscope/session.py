@@ -105,10 +105,14 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.pop()
-        configuration = spark._jsc.hadoopConfiguration()
         for path in made:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(configuration).delete(place, True)
+            delete_dir(spark, path)
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
