@@ -11,6 +11,7 @@ from ..session import settle
 from .ordered import top_k
 
 QUOTED = r'@"([^"]+)"'
+GRAM = 3  # characters of the pieces that keys are filed under
 MENTION = r'@(?:"([^"]+)"|([\p{L}\p{N}_.\-]+))'
 
 
@@ -53,22 +54,29 @@ def _first_by_key(keys: DataFrame) -> DataFrame:
     return keys.where(F.col("key") != "").groupBy("key").agg(F.min("ord").alias("ord"))
 
 
-def _sizes(keys: DataFrame) -> list[int]:
-    """The distinct key lengths, a handful of numbers."""
-    return sorted(r.n for r in keys.select(F.length("key").alias("n")).distinct().collect())
+def _grams(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters; none if the text is shorter."""
+    places = F.sequence(F.lit(1), F.length(text) - F.lit(size - 1))
+    pieces = F.transform(places, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
 
 
-def _substrings(text: Column, sizes: list[int]) -> Column:
-    """All distinct substrings of the given sizes."""
-    if not sizes:
-        return F.array().cast("array<string>")
-    per_size = F.transform(
-        F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.length(text)),
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.length(text) - s + 1), lambda i: F.substr(text, i, s)
-        ),
-    )
-    return F.array_distinct(F.flatten(per_size))
+def containing(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text, key``: pairs of ``texts.text`` and ``keys.key`` where the text
+    contains the key.  Both are distinct and not empty.
+
+    Each key is filed under the piece of ``GRAM`` characters that fewest keys
+    have (a shorter key under itself).  A text looks up its own pieces only,
+    three for each of its characters at most, however many lengths the keys
+    have, and meets only keys whose rarest piece it holds; these are compared.
+    """
+    own = F.when(F.length("key") < GRAM, F.array("key")).otherwise(_grams(F.col("key"), GRAM))
+    filed = settle(keys.select("key", F.explode(own).alias("gram")), "grams")
+    counts = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = filed.join(counts, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    every = F.concat(*(_grams(F.col("text"), size) for size in range(1, GRAM + 1)))
+    looked = texts.select("text", F.explode(every).alias("gram"))
+    return looked.join(anchors, "gram").where(F.col("text").contains(F.col("key"))).select("text", "key")
 
 
 def resolve_targets(
@@ -84,11 +92,8 @@ def resolve_targets(
     made-up row.  Among several rows the first by ``ord`` wins.  Blank targets
     stay null.
 
-    Containment is an equality join on substrings.  Registry keys are reduced
-    to the first ``ord`` per substring before the join, so each target meets at
-    most one row per substring and no pairs are formed.  Only substrings of
-    lengths that occur on the other side are made: the distinct keys of both
-    sides are written once, and their lengths (a handful of numbers) are read.
+    Containment is an equality join on short pieces (:func:`containing`), both
+    ways.  The distinct keys of both sides are written once.
     """
     plain = F.regexp_replace(F.lower(strip(F.col(text))), r"\.pdf|@", "")
     asked = targets.select(target_id, F.col(text), F.nullif(plain, F.lit("")).alias("key"))
@@ -107,23 +112,12 @@ def resolve_targets(
     partial = rows.select("ord", F.explode(F.array("id", "file", "org")).alias("key"))
     partial = settle(_first_by_key(partial), "registry")
 
-    sizes, key_sizes = _sizes(distinct), _sizes(partial)
-    contained = (
-        partial.select("ord", F.explode(_substrings(F.col("key"), sizes)).alias("key"))
-        .groupBy("key")
-        .agg(F.min("ord").alias("ord"))
-        .join(distinct, "key")
-        .select("key", "ord")
-    )
-    target_parts = distinct.select(
-        F.col("key").alias("target"),
-        F.explode(_substrings(F.col("key"), key_sizes)).alias("key"),
-    )
-    containing = target_parts.join(partial, "key").select(
-        F.col("target").alias("key"), "ord"
-    )
+    inside = containing(partial.select(F.col("key").alias("text")), distinct)
+    contained = inside.join(partial.withColumnRenamed("key", "text"), "text").select("key", "ord")
+    around = containing(distinct.select(F.col("key").alias("text")), partial.select("key"))
+    holding = around.join(partial, "key").select(F.col("text").alias("key"), "ord")
     second = (
-        contained.unionByName(containing).groupBy("key").agg(F.min("ord").alias("ord_partial"))
+        contained.unionByName(holding).groupBy("key").agg(F.min("ord").alias("ord_partial"))
     )
     chosen = (
         distinct.join(exact, "key", "left")

@@ -124,8 +124,10 @@ def ablate_chunk_sizes(
     """Size statistics with hit rate and precision per chunk configuration.
 
     ``chunks`` come from :func:`chunk_configs` with ``chunk_id, section_id``;
-    ``search`` ranks one configuration.  Relevance is the section alone.
+    ``search`` ranks one configuration.  Relevance is the section alone.  The
+    chunks are written once; statistics, search and sections read them there.
     """
+    chunks = settle(chunks, "configurations")
     groups = ("config_id", "name", "target_tokens", "overlap_tokens")
     sizes = chunking.chunk_statistics(chunks, groups)
     ids = [c[0] for c in K.CHUNK_CONFIGS]

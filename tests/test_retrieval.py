@@ -151,3 +151,29 @@ def test_ask_with_plugins(spark):
     assert {s.document_id for s in got["b"].sources} == {"doc_x"}
     assert got["a"].sources[0].chunk_id in ("k3", "k4") and got["a"].answer.endswith("characters")
     assert "X set" in got["b"].prompt and got["b"]["query"] == "salt"
+
+
+def test_containing_keys_by_anchors(spark):
+    rng = random.Random(4)
+    keys = {"".join(rng.choices("abc", k=rng.randint(1, 7))) for _ in range(120)} | {"é", "éa", "a.b", "%_"}
+    made = {"".join(rng.choices("abcd", k=rng.randint(1, 40))) for _ in range(150)} | {"xéax", "100%_", "a", "a.b"}
+    t = spark.createDataFrame([(x,) for x in sorted(made)], "text string")
+    k = spark.createDataFrame([(x,) for x in sorted(keys)], "key string")
+    got = sorted(map(tuple, targets.containing(t, k).collect()))
+    assert got == sorted((x, y) for x in made for y in keys if y in x)
+
+
+def test_anchors_of_long_texts(spark):
+    """Rows of the join follow the texts' size, not the number of key lengths."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts_ = ["".join(rng.choices(letters, k=400)) for _ in range(500)]
+    keys = [texts_[n][n % 300 : n % 300 + 3 + n % 90] for n in range(0, 500, 5)] + ["".join(rng.choices(letters, k=60)) for _ in range(400)]
+    t = spark.createDataFrame([(x,) for x in texts_], "text string")
+    k = spark.createDataFrame([(x,) for x in sorted(set(keys))], "key string")
+    found = targets.containing(t, k)
+    assert found.count() >= 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    grams = sum(len({x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}) for x in texts_)
+    assert grams < 3 * 400 * 500
