@@ -101,8 +101,10 @@ class WordTokens:
 
     Words are what stands between ASCII white space, which the tokenizer drops.
     The new words of a text are encoded together, as one text, and told apart
-    by the places of their tokens.  Recent words are kept; a full cache becomes
-    the old one, from which words that are needed again come back.
+    by the places of their tokens.  Strings of special tokens hold no white
+    space and get their ids inside words too, as the library does by itself.
+    Recent words are kept; a full cache becomes the old one, from which words
+    that are needed again come back.
     """
 
     def __init__(self, path: str):
@@ -112,8 +114,6 @@ class WordTokens:
         self.recent: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]

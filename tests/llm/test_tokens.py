@@ -84,18 +84,31 @@ def test_codes():
 
 def test_words_are_encoded_as_the_whole(monkeypatch):
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     monkeypatch.setattr(token_file, "CACHED_WORDS", 50)
     packed = token_file.WordTokens(WORDS).packed
-    for text in texts(1500, 7):
+    every = [*texts(1500, 7), *SPECIAL]
+    random.Random(2).shuffle(every)
+    for text in every:
         assert np.frombuffer(packed(text), np.int32).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+# Strings of special tokens alone, inside and at the edges of words.
+SPECIAL = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "<|startoftext|>y", "pre<|endoftext|>post",
+    "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|> Up", "<|endoftext", "a\t<|startoftext|>\nb<|endoftext|>c d",
+]
+
+
+def test_strings_of_special_tokens():
+    tokens = token_file.WordTokens(WORDS).packed(b"a <|endoftext|> b")
+    assert np.frombuffer(tokens, np.int32).tolist() == [320, 49407, 321]
+
+
 def test_token_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_TOKENS", 50)
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     rows = [(k * 7 % 101, t) for k, t in enumerate(texts(101, 9))] + [(200, None), (201, "long words " * 3000)]
+    rows += [(300 + k, t) for k, t in enumerate(SPECIAL)]
     df = spark.createDataFrame([(*r, "p") for r in rows], DOCS + ", place string")
     token_file.write(df, f"{tmp_path}/t", tokenizer_file=WORDS, end_id=2)
     full = token_file.with_starts(token_file.read(spark, f"{tmp_path}/t")).collect()
