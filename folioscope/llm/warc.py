@@ -3,11 +3,12 @@
 Archives are written by Spark's text writer, one record a row with the blank
 lines after a record as the line separator, so that any file system with a
 Hadoop path works and lost tasks leave nothing behind.  A part file is one
-gzip member.
+gzip member; archives with a member for each record are read as well.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ SEGMENT = 16 * 1024  # bytes of a block that one record holds at most
 CHUNK = 8 * 1024  # bytes of a chunk of the transfer coding
 RECORDS_PER_FILE = 2_000
 OUTPUT_BYTES = 4_000_000  # records handed on at a time
+INPUT_BYTES = 1 << 16  # compressed bytes taken at a time
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -210,17 +212,39 @@ RECORD = (
 )
 
 
+def members(content) -> Iterator[bytes]:
+    """The members of a gzip file, one after the other: archives hold a member
+    for each record, or several records in one.  A member that is cut short is
+    an error; zero bytes behind the last one are not."""
+    data, at = memoryview(content), 0
+    while at < len(data) and (data[at] or bytes(data[at:]).strip(b"\0")):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            piece = data[at : at + INPUT_BYTES]
+            if not len(piece):
+                raise ValueError("a gzip member is cut short")
+            parts.append(reader.decompress(piece))
+            at += len(piece)
+        at -= len(reader.unused_data)
+        yield b"".join(parts)
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
+    kinds = (pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+    names = ["record_id", "type", "refers_to", "origin", "segment", "total", "block"]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                columns: list[list] = [[] for _ in range(7)]
-                for fields, block in parse(zlib.decompress(content.as_buffer(), 31)):
-                    number, total = (
-                        fields.get(b"warc-segment-number"),
-                        fields.get(b"warc-segment-total-length"),
-                    )
-                    values = (
+                rows, size = [], 0
+                for fields, block in itertools.chain.from_iterable(map(parse, members(content.as_buffer()))):
+                    number = fields.get(b"warc-segment-number")
+                    total = fields.get(b"warc-segment-total-length")
+                    rows.append((
                         fields[b"warc-record-id"],
                         fields[b"warc-type"].decode(),
                         fields.get(b"warc-refers-to"),
@@ -228,16 +252,12 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
                         number and int(number),
                         total and int(total),
                         block,
-                    )
-                    for column, value in zip(columns, values):
-                        column.append(value)
-                kinds = (
-                    pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)],
-                    names=["record_id", "type", "refers_to", "origin", "segment", "total", "block"],
-                )
+                    ))
+                    size += len(block)
+                    if size >= OUTPUT_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
+                yield made(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(run, RECORD)

@@ -46,6 +46,29 @@ def test_incomplete_segments(spark, tmp_path):
     assert blocks[1] is not None and blocks[2] is None
 
 
+def test_warc_members(spark, tmp_path):
+    """Archives of others: a member for each record, several records in one."""
+    import gzip
+
+    def record(n):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + b"page %d " % n * 9000
+        head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d:00>\r\nContent-Length: %d\r\n\r\n"
+        return head % (n, len(block)) + block + b"\r\n\r\n"
+
+    each = [gzip.compress(record(n)) for n in range(5)]
+    some = gzip.compress(b"".join(map(record, range(5, 8))))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.gz").write_bytes(b"".join(each))
+    (tmp_path / "w" / "b.gz").write_bytes(some + gzip.compress(record(8)) + b"\0" * 10)
+    found = {warc_page(r.record_id): bytes(r.payload) for r in warc.read(spark, f"{tmp_path}/w").collect()}
+    assert found == {n: b"page %d " % n * 9000 for n in range(9)}
+    whole = b"".join(each)
+    for cut in (1, 10, len(each[-1]) - 1):
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.members(whole[:-cut]))
+    assert len(list(warc.members(whole))) == 5 and list(warc.members(b"")) == []
+
+
 def warc_page(record_id):
     return int(warc.PAGE_URN.fullmatch(bytes(record_id))[1])
 
