@@ -264,19 +264,23 @@ def search(
     kinds = {query_id: asked.schema[query_id].dataType, item_id: stored.schema[item_id].dataType}
     schema = f"`{query_id}` {kinds[query_id].simpleString()}, `{item_id}` {kinds[item_id].simpleString()}, score double"
     out = pa.schema([(n, to_arrow_type(t)) for n, t in kinds.items()] + [("score", pa.float64())])
-    pieces = {(c, s): max(1, math.ceil(n / ROWS_PER_SLICE)) for c, s, n in zip(
-        *(index.shells.column(c).to_pylist() for c in ("cell", "shell", "amount")))}
-    largest = max(pieces.values(), default=1)
+    # A row a shell, MAX_CELLS times a few: how many slices each is cut into.
+    amounts = zip(*(index.shells.column(c).to_pylist() for c in ("cell", "shell", "amount")))
+    slices = F.broadcast(
+        index.spark.createDataFrame(
+            [(c, s, math.ceil(n / ROWS_PER_SLICE)) for c, s, n in amounts], "cell int, shell int, _slices int"
+        )
+    )
 
     def scored(chosen: DataFrame) -> DataFrame:
         cells = [row.cell for row in chosen.select("cell").distinct().collect()]  # MAX_CELLS at most
-        keys = ["cell", "shell", "_piece", "_group"]
-        rows = stored.where(F.col("cell").isin(cells)).select(
-            item_id, "vector", "cell", "shell", F.pmod(F.xxhash64(item_id), F.lit(largest)).cast("int").alias("_piece"),
+        keys = ["cell", "shell", "_slice", "_group"]
+        rows = stored.where(F.col("cell").isin(cells)).join(slices, ["cell", "shell"]).select(
+            item_id, "vector", "cell", "shell", F.pmod(F.xxhash64(item_id), F.col("_slices")).cast("int").alias("_slice"),
             F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"),
         )
-        wanted = chosen.join(asked, query_id).select(
-            query_id, "_vector", "cell", "shell", F.explode(F.sequence(F.lit(0), F.lit(largest - 1))).alias("_piece"),
+        wanted = chosen.join(asked, query_id).join(slices, ["cell", "shell"]).select(
+            query_id, "_vector", "cell", "shell", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"),
             F.pmod(F.xxhash64(query_id), F.lit(groups)).cast("int").alias("_group"),
         )
         return rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(_scorer(out, query_id, k), schema)

@@ -35,6 +35,7 @@ from .ordered import top_k
 from .scoring import BestK, _id_array, best_k, term_scorer
 
 BLOCK_DOCUMENTS = 256
+BLOCK_TERMS = 2_000_000  # terms of a block's texts, about, however long they are
 LENGTH_CLASSES = 16
 TERMS_PER_PART = 500_000  # terms of all texts, roughly, in one folder of postings
 MAX_PARTS = 4096
@@ -223,7 +224,9 @@ def _add(
         F.percentile_approx("length", ranks).alias("splits"),
     ).first()
     splits = sorted(set(seen.splits or []))
-    per_class = max(1, math.ceil(seen.n / block_documents / (len(splits) + 1)))
+    per_class = max(
+        1, math.ceil(seen.n / block_documents / (len(splits) + 1)), math.ceil(seen.length / BLOCK_TERMS)
+    )
     parts = min(MAX_PARTS, max(1, math.ceil(seen.length / terms_per_part)))
 
     blocks = per_class * (len(splits) + 1)

@@ -165,7 +165,10 @@ def clustered(rng, count, size=16, groups=30, noise=0.05):
     return (centres[rng.integers(0, groups, count)] + noise * rng.normal(size=(count, size))).tolist()
 
 
-def test_vector_index_equals_a_scan(spark):
+@pytest.mark.parametrize("limits", [{}, {"ROWS_PER_SLICE": 50, "QUERIES_AT_ONCE": 9}])
+def test_vector_index_equals_a_scan(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(dense_index, name, value)
     rng = np.random.default_rng(2)
     values = clustered(rng, 3000)
     odd = [(5000, [0.0] * 16), (5001, None), *[(5100 + n, [1.0] * 16) for n in range(400)]]
