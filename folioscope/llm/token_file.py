@@ -16,6 +16,7 @@ bytes, lowest first.  The ranking is a table of its own beside the blocks.
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -186,6 +187,18 @@ def tokenise(texts: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     return texts.mapInArrow(run, TOKENS)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of rows of tokens and counts, a row a token."""
+    totals = np.zeros(0, np.int64)
+    for batch in batches:
+        tokens = batch.column(0).flatten().to_numpy()
+        more = int(tokens.max(initial=-1)) + 1 - len(totals)
+        totals = np.concatenate([totals, np.zeros(max(0, more), np.int64)])
+        np.add.at(totals, tokens, batch.column(1).flatten().to_numpy())
+    used = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["token", "n"])
+
+
 def _tokens(*columns) -> pa.RecordBatch:
     kinds = [
         pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()),
@@ -224,12 +237,10 @@ def write(
     plain = new_run_dir(spark, "plain_ids")
     tokenise(ordered, tokenizer_file, end_id).write.option("compression", "zstd").parquet(plain)
     stored = spark.read.parquet(plain)
-    counted = stored.where("number is null").select(
-        F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("counts").alias("n"))).alias("c")
-    )
-    ranked = (
-        counted.groupBy("c.token").agg(F.sum("c.n").alias("n")).orderBy(F.desc("n"), "token").toArrow()
-    )
+    by_task = stored.where("number is null").select("tokens", "counts")
+    # A vocabulary for each task is added up in steps of the root of their number.
+    counted = by_task.repartition(max(1, math.isqrt(by_task.count()))).mapInArrow(_added, "token int, n bigint")
+    ranked = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").toArrow()
     by_rank = ranked.column("token").to_numpy()
     ranks = pa.table({"rank": np.arange(len(by_rank)), "token": by_rank})
     spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{path}/ranks")
