@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 
 from folioscope.operators import context, dense, evaluation, fusion, lexical, targets
 from folioscope.plans.ask import ask
+from folioscope.session import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -177,3 +178,12 @@ def test_anchors_of_long_texts(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     grams = sum(len({x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}) for x in texts_)
     assert grams < 3 * 400 * 500
+
+
+def test_pieces_are_not_broadcast(spark):
+    """Written keys and texts are small files; their pieces are not small rows."""
+    t = settle(spark.range(3000).selectExpr("concat('unknown ', id) AS text"), "texts")
+    k = settle(spark.range(20).selectExpr("concat('n ', id) AS key"), "keys")
+    found = targets.containing(t, k)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum(f"n {key}" in f"unknown {n}" for n in range(3000) for key in range(20))
