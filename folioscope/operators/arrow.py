@@ -16,6 +16,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``BATCH_BYTES``, one row at least.
+
+    Spark cuts batches by their rows; Python objects made of a batch of long
+    texts would grow with the texts.
+    """
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_column(
     df: DataFrame, out: str, data_type: T.DataType, inputs: Sequence[str], function: Callable
 ) -> DataFrame:
@@ -27,7 +42,7 @@ def map_column(
     inputs = list(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             values = [batch.column(c).to_pylist() for c in inputs]
             made = pa.array([function(*row) for row in zip(*values)], arrow_type)
             yield pa.RecordBatch.from_arrays(

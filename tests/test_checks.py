@@ -2,8 +2,10 @@
 
 import random
 import sys
+from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
@@ -45,6 +47,61 @@ def test_near_duplicates(spark, block_rows):
     assert got == expected and len(expected) > 30
 
 
+def cell_of(texts):
+    made = [(n, f"c{n}", *duplicates._counted(t)) for n, t in enumerate(texts)]
+    names = ["ord", "chunk_id", "letters", "counts", "sig"]
+    cell = pa.table({name: [row[n].tolist() if name == "counts" else row[n] for row in made] for n, name in enumerate(names)})
+    same = {name: pa.array([0] * len(made), pa.int32()) for name in ("kind", "i", "j", "side")}
+    for name, column in same.items():
+        cell = cell.append_column(name, column)
+    return cell
+
+
+@pytest.mark.parametrize("part", [1 << 24, 1 << 10])
+def test_cell_by_brute_force(monkeypatch, part):
+    """Near and far texts, a wide alphabet, count matrices held in parts."""
+    monkeypatch.setattr(duplicates, "PART_CELLS", part)
+    rng = random.Random(11)
+    wide = [chr(0x4E00 + n) for n in range(700)] + ["\U0001f600"]
+    texts = []
+    for n in range(500):
+        letters = rng.choice(["abcdefgh", "xyzéß ", wide])
+        texts.append("".join(rng.choices(letters, k=rng.randint(100, 110))) if n % 3 or not texts else rng.choice(texts) + rng.choice(["", "q", "#"]))
+    counts = [Counter(t) for t in texts]
+    expected = {}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            ratio = 2.0 * (counts[i] & counts[j]).total() / (len(a) + len(texts[j]))
+            if ratio >= 0.97:
+                expected[f"{i}"] = (j, f"c{j}", ratio)
+                break
+    cell = cell_of(texts)
+    places = {sig: n for n, sig in reversed(list(enumerate(cell.column("sig").to_pylist())))}
+    found = duplicates._compare_cell(0.97)(cell).to_pylist()
+    first = {}
+    for n, sig in enumerate(cell.column("sig").to_pylist()):
+        first.setdefault(sig, n)
+    got = {r["sig"]: (r["ord"], r["other"], r["ratio"]) for r in found if first[r["sig"]] != r["ord"]}
+    wanted = {cell.column("sig")[n].as_py(): expected[f"{n}"] for n in first.values() if f"{n}" in expected}
+    assert {k: v for k, v in got.items() if places[k] in first.values() and k in wanted} == wanted and len(wanted) > 20
+
+
+def test_few_pairs_are_compared_in_full(monkeypatch):
+    """Texts that are all alike are done after their first match."""
+    pairs = []
+    plain = duplicates._common
+
+    def counted(a, b):
+        pairs.append(a.shape[0] * a.shape[1] * b.shape[1])
+        return plain(a, b)
+
+    monkeypatch.setattr(duplicates, "_common", counted)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(1200)]
+    assert len(duplicates._compare_cell(0.97)(cell_of(texts))) == 1199
+    assert sum(pairs) < 0.5 * 26 * 1200 * 1200
+
+
 def test_overlaps(spark):
     rng = random.Random(9)
     words = [rng.choice(["alpha", "beta", "gamma", "delta", "x"]) for _ in range(400)]
