@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.arrays import each
-from ..functions.text import percent, strip, stripped_lines, whole
+from ..functions.text import let, percent, strip, stripped_lines, whole
 from ..functions.tokens import word_count
 from ..session import settle
 from .arrow import map_column
@@ -26,6 +27,8 @@ from .ordered import lag_in_order, top_k
 
 ISSUE = "struct<level:string,check:string,chunk_id:string,message:string>"
 CHUNK_BUCKET = 1024
+HASH_BASE = 0x9E3779B97F4A7C15
+HASH_BITS = 16
 
 
 def _issue(level: str, check: str, message: Column, unnamed: str = "<unknown>") -> Column:
@@ -121,10 +124,9 @@ def page_numbers(schema: T.StructType | None = None) -> list[tuple[Column, Colum
 
 def token_count_mismatch(counted: Column | None = None) -> list[tuple[Column, Column]]:
     """``counted`` is the recount; words by default."""
-    actual = counted if counted is not None else word_count(_text())
-    drift = F.abs(actual - F.col("token_count")) / actual
-    return [
-        (
+    def mismatch(actual: Column) -> Column:
+        drift = F.abs(actual - F.col("token_count")) / actual
+        return F.when(
             F.col("token_count").isNotNull() & (actual > 0) & (drift > K.TOKEN_DRIFT),
             _issue(
                 "WARNING", "token_count_mismatch",
@@ -134,7 +136,10 @@ def token_count_mismatch(counted: Column | None = None) -> list[tuple[Column, Co
                 ),
             ),
         )
-    ]
+
+    actual = counted if counted is not None else word_count(_text())
+    # The text is counted once, not for each place the count is used in.
+    return [(F.col("token_count").isNotNull(), let(actual, mismatch))]
 
 
 def token_bounds(
@@ -183,19 +188,21 @@ def excluded_content_leak(
     names = list(excluded)
     line = F.get(F.filter(stripped_lines(_text()), lambda x: F.upper(x).isin(names)), 0)
     title = F.coalesce("section_title", F.lit(""))
-    return [
-        (
-            ~F.upper(title).isin(names) & line.isNotNull(),
+
+    def leak(found: Column) -> Column:
+        return F.when(
+            found.isNotNull(),
             _issue(
                 "ERROR", "excluded_content_leak",
                 _cat(
                     "Chunk (section '", title, "') contains a line matching an excluded "
-                    "section title ('", line, "') — likely REFERENCES/ANNEXES content bled "
+                    "section title ('", found, "') — likely REFERENCES/ANNEXES content bled "
                     "in due to page-level boundary rounding",
                 ),
             ),
         )
-    ]
+
+    return [(~F.upper(title).isin(names), let(line, leak))]
 
 
 def standalone_page_number() -> list[tuple[Column, Column]]:
@@ -257,7 +264,10 @@ def short_text() -> list[tuple[Column, Column]]:
 
 
 def row_issues(chunks: DataFrame, checks: list[tuple[Column, Column]]) -> DataFrame:
-    """Run checks of one row in one pass; rows without issues emit nothing."""
+    """Run checks of one row in one pass; rows without issues emit nothing.
+
+    An issue may be null where its condition is not the whole test.
+    """
     found = F.array_compact(F.array(*[F.when(cond, issue) for cond, issue in checks]))
     return each(chunks, [], found, "i").select("i.*")
 
@@ -318,33 +328,36 @@ def running_header_leak(
         test = F.upper(x).isin(names)
         return test | F.upper(x).startswith(prefix) if prefix else test
 
-    marked = F.filter(
-        F.transform(lines, lambda x, i: F.when(is_header(x), F.struct(i.alias("pos"), x.alias("line")))),
-        lambda s: s.isNotNull(),
-    )
-    known = (
-        chunks.select("ord", "chunk_id", F.get(marked, 0).alias("m"))
-        .where(F.col("m").isNotNull())
-        .select(
-            "ord", "chunk_id", F.col("m.pos").alias("pos"), F.lit(0).alias("kind"),
-            F.col("m.line").alias("line"),
+    if sections is None:
+        marked = F.filter(
+            F.transform(lines, lambda x, i: F.when(is_header(x), F.struct(i.alias("pos"), x.alias("line")))),
+            lambda s: s.isNotNull(),
         )
-    )
-    if sections is not None:
+        known = (
+            chunks.select("ord", "chunk_id", F.get(marked, 0).alias("m"))
+            .where(F.col("m").isNotNull())
+            .select(
+                "ord", "chunk_id", F.col("m.pos").alias("pos"), F.lit(0).alias("kind"),
+                F.col("m.line").alias("line"),
+            )
+        )
+    else:
         titles = sections.select(
             "document_id",
             F.upper(strip(F.coalesce("section_title", F.lit("")))).alias("_upper"),
-        ).distinct()
+        ).distinct().withColumn("_titled", F.lit(True))
         own = F.upper(strip(F.coalesce("section_title", F.lit(""))))
+        # The lines are cut once for both tests.
         exploded = each(
             chunks, ["ord", "chunk_id", "document_id", own.alias("_own")], lines, "line", "pos"
         ).withColumn("_upper", F.upper("line"))
-        other = (
-            exploded.where(F.col("_upper") != F.col("_own"))
-            .join(titles, ["document_id", "_upper"], "left_semi")
-            .select("ord", "chunk_id", "pos", F.lit(1).alias("kind"), "line")
+        other = F.col("_titled") & (F.col("_upper") != F.col("_own"))
+        known = (
+            exploded.join(titles, ["document_id", "_upper"], "left")
+            .withColumn("kind", F.when(is_header(F.col("line")), 0).when(other, 1))
+            .where(F.col("kind").isNotNull())
+            .select("ord", "chunk_id", "pos", "kind", "line")
         )
-        known = known.unionByName(other)
     first = known.groupBy("ord", "chunk_id").agg(
         F.min(F.struct("pos", "kind", "line")).alias("m")
     )
@@ -373,18 +386,47 @@ def duplicate_text(chunks: DataFrame, **options) -> DataFrame:
     ).select("i.*")
 
 
+def _piece_hashes(text: str, size: int) -> np.ndarray:
+    """A hash of each piece of ``size`` characters, joined from halves."""
+    made = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    whole_, done = None, 0
+    width = 1
+    while True:
+        if size & width:
+            if whole_ is None:
+                whole_, done = made, width
+            else:
+                count = len(text) - done - width + 1
+                whole_ = whole_[:count] * _power(width) + made[done : done + count]
+                done += width
+        width *= 2
+        if width > size:
+            return whole_
+        half = width // 2
+        made = made[: len(made) - half] * _power(half) + made[half:]
+
+
+def _power(width: int) -> np.uint64:
+    return np.uint64(pow(HASH_BASE, width, 1 << 64))
+
+
 def _longest_common(a: str, b: str, least: int) -> int:
     """Length of the longest common substring, 0 when below ``least``.
 
     A common substring begins with a common piece of ``least`` characters, so
-    only starts of such pieces are tried, each for a match that is longer than
-    the best so far.
+    only starts of pieces with a hash that ``a`` may have are tried, each for a
+    match that is longer than the best so far.
     """
-    pieces = {a[n : n + least] for n in range(len(a) - least + 1)}
+    if len(a) < least or len(b) < least:
+        return 0
+    known = np.zeros(1 << HASH_BITS, dtype=bool)
+    known[_piece_hashes(a, least) >> np.uint64(64 - HASH_BITS)] = True
+    starts = np.flatnonzero(known[_piece_hashes(b, least) >> np.uint64(64 - HASH_BITS)])
     best = least - 1
-    for start in range(len(b) - least + 1):
-        if b[start : start + least] in pieces:
-            while start + best < len(b) and b[start : start + best + 1] in a:
+    for start in starts.tolist():
+        while start + best < len(b) and (at := a.find(b[start : start + best + 1])) >= 0:
+            best += 1
+            while at + best < len(a) and start + best < len(b) and a[at + best] == b[start + best]:
                 best += 1
     return best if best >= least else 0
 

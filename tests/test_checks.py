@@ -115,6 +115,34 @@ def test_overlaps(spark):
         assert got.get(f"c{i:03d}", 0) == (size if size >= 20 else 0)
 
 
+def test_longest_common_text():
+    """Against difflib; starts that share nothing are not searched for."""
+    rng = random.Random(10)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcé😀", k=rng.randint(0, 60))) for _ in range(2))
+        least = rng.randint(1, 6)
+        size = SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size
+        assert validation._longest_common(a, b, least) == (size if size >= least else 0)
+
+    class Watched(str):
+        asked = 0
+
+        def find(self, *args):
+            Watched.asked += 1
+            return super().find(*args)
+
+    a, b = ("".join(rng.choices("abcdefghij", k=1500)) for _ in range(2))
+    assert validation._longest_common(Watched(a), b + a[:400], 20) == 400 and Watched.asked < 150
+
+
+def test_words_are_counted_once(spark):
+    """The recount of a text stands once in the plan, however often it is used."""
+    chunks = spark.createDataFrame([], CHUNKS)
+    found = validation.row_issues(chunks, validation.token_count_mismatch())
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_count") + plan.count("regexpcount") <= 2
+
+
 CHUNKS = "ord bigint, chunk_id string, document_id string, document_name string, section_id string, section_title string, page_start int, page_end int, token_count int, text string"
 
 
