@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import settle
+from .arrow import small_batches
 from .ordered import top_k
 
 MAX_SHIPPED_QUERY_ROWS = 200_000
 ROWS_PER_BLOCK = 20_000
+SCORES = 1_000_000  # scores that are computed at once
 
 # make_scorer(query table) -> scorer; scorer(batch) -> (scores [n, q], allowed or None)
 Scorer = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]
@@ -99,8 +101,8 @@ def _search(
 ) -> pa.Table:
     query_ids, scorer = make_scorer(queries)
     best = BestK(len(query_ids), k)
-    step = max(1, min(4096, 4_000_000 // max(1, len(query_ids))))
-    for batch in batches:
+    step = max(1, min(4096, SCORES // max(1, len(query_ids))))
+    for batch in small_batches(batches):
         for start in range(0, batch.num_rows, step):
             part = batch.slice(start, step)
             scores, allowed = scorer(part)

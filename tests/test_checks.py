@@ -10,8 +10,8 @@ import pytest
 from pyspark import cloudpickle
 
 from folioscope import schemas
-from folioscope.operators import duplicates, state, validation
-from folioscope.session import new_run_dir
+from folioscope.operators import arrow, duplicates, state, validation
+from folioscope.session import new_run_dir, prepare
 from folioscope.sources import files, pages, tables
 from folioscope.streaming.ingest import TEXT_CHUNKS, document_stream, start_ingest
 
@@ -143,6 +143,17 @@ def test_words_are_counted_once(spark):
     assert plan.count("regexp_count") + plan.count("regexpcount") <= 2
 
 
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 500 + ["y"]})
+    parts = list(arrow.small_batches([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(part.nbytes for part in parts) <= arrow.BATCH_BYTES and len(parts) < 20
+
+
+def test_python_batches_are_bounded(spark):
+    assert prepare(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
 CHUNKS = "ord bigint, chunk_id string, document_id string, document_name string, section_id string, section_title string, page_start int, page_end int, token_count int, text string"
 
 
