@@ -8,7 +8,9 @@ it is appended to its predecessor (overlap included).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,24 +93,25 @@ def chunk_array(text: Column, size: ChunkSize = DEFAULT_SIZE) -> Column:
     are rows anyway.  Sections that span many pages use ``build_chunks``.
     """
 
-    def chunked(pieces: Column) -> Column:
-        n = F.size(pieces)
-        whole = F.array(
-            F.struct(strip(text).alias("text"), n.cast("int").alias("n_tokens"))
-        )
-        many = F.transform(
-            _window_slices(pieces, n.cast("bigint"), size),
-            lambda w: F.struct(
-                strip(F.array_join(w, "")).alias("text"), F.size(w).alias("n_tokens")
-            ),
-        )
-        return (
-            F.when(n == 0, F.array().cast("array<struct<text:string,n_tokens:int>>"))
-            .when(n <= size.maximum, whole)
-            .otherwise(many)
-        )
+    return let(word_pieces(text), lambda pieces: _chunked(text, pieces, size))
 
-    return let(word_pieces(text), chunked)
+
+def _chunked(text: Column, pieces: Column, size: ChunkSize) -> Column:
+    n = F.size(pieces)
+    whole = F.array(
+        F.struct(strip(text).alias("text"), n.cast("int").alias("n_tokens"))
+    )
+    many = F.transform(
+        _window_slices(pieces, n.cast("bigint"), size),
+        lambda w: F.struct(
+            strip(F.array_join(w, "")).alias("text"), F.size(w).alias("n_tokens")
+        ),
+    )
+    return (
+        F.when(n == 0, F.array().cast("array<struct<text:string,n_tokens:int>>"))
+        .when(n <= size.maximum, whole)
+        .otherwise(many)
+    )
 
 
 def _cut(tokens: list[int], size: ChunkSize) -> list[list[int]]:
@@ -167,6 +170,38 @@ def split_into_chunks(
     )
 
 
+def split_into_sizes(
+    df: DataFrame, sizes: Sequence[ChunkSize], text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """As :func:`split_into_chunks` for several sizes at once, words as tokens:
+    adds ``size_no``, the place of a chunk's size (from 0).
+
+    A text is cut into words once for all sizes.
+    """
+    if not all(size.closed_form for size in sizes):
+        parts = [split_into_chunks(df, text, s, keep=keep).withColumn("size_no", F.lit(n)) for n, s in enumerate(sizes)]
+        return reduce(DataFrame.unionByName, parts)
+    whole = F.col(text)
+
+    def chunked(pieces: Column) -> Column:
+        def numbered(size_no: int, size: ChunkSize) -> Column:
+            return F.transform(
+                _chunked(whole, pieces, size),
+                lambda c, i: F.struct(F.lit(size_no).alias("size_no"), (i + 1).alias("chunk_no"), c.alias("c")),
+            )
+
+        return F.concat(*(numbered(n, size) for n, size in enumerate(sizes)))
+
+    rows = df.select(*keep, let(word_pieces(whole), chunked).alias("_chunks"))
+    return each(rows, keep, "_chunks", "_chunk").select(
+        *keep,
+        F.col("_chunk.chunk_no").alias("chunk_no"),
+        F.col("_chunk.c.text").alias("text"),
+        F.col("_chunk.c.n_tokens").alias("token_count"),
+        F.col("_chunk.size_no").alias("size_no"),
+    )
+
+
 PAGE_BUCKET = 64
 
 

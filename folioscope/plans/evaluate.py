@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -100,17 +100,16 @@ def tune_k(
 
 def chunk_configs(texts: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Chunks of every text under each published size: adds ``config_id``."""
-    parts = []
-    for config_id, name, target, maximum, minimum, overlap in K.CHUNK_CONFIGS:
-        size = ChunkSize(target, maximum, minimum, overlap)
-        parts.append(
-            chunking.split_into_chunks(texts, size=size, keep=keep)
-            .withColumn("config_id", F.lit(config_id))
-            .withColumn("name", F.lit(name))
-            .withColumn("target_tokens", F.lit(target))
-            .withColumn("overlap_tokens", F.lit(overlap))
-        )
-    return reduce(DataFrame.unionByName, parts)
+    sizes = [ChunkSize(*c[2:]) for c in K.CHUNK_CONFIGS]
+    chunks = chunking.split_into_sizes(texts, sizes, keep=keep)
+
+    def of_config(field: int) -> Column:
+        return F.element_at(F.array(*(F.lit(c[field]) for c in K.CHUNK_CONFIGS)), F.col("size_no") + 1)
+
+    return chunks.select(
+        *keep, "chunk_no", "text", "token_count", of_config(0).alias("config_id"), of_config(1).alias("name"),
+        of_config(2).alias("target_tokens"), of_config(5).alias("overlap_tokens"),
+    )
 
 
 def ablate_chunk_sizes(

@@ -123,3 +123,22 @@ def test_byte_pair_tokenizer(spark):
     got = chunking.split_into_chunks(df, size=size, tokenizer=tool, keep=("k",)).orderBy("chunk_no").collect()
     assert len(got) > 2 and all(r.token_count <= 302 for r in got)
     assert got[0].text.startswith("word0 word1")
+
+
+def test_words_are_cut_once_for_all_sizes(spark, monkeypatch):
+    calls = []
+    cut = chunking.word_pieces
+    monkeypatch.setattr(chunking, "word_pieces", lambda c: calls.append(1) or cut(c))
+    texts = [(1, None), (2, ""), (3, " a  b "), (4, " ".join(f"w{n}" for n in range(57)))]
+    df = spark.createDataFrame(texts, "n int, text string")
+    sizes = [chunking.ChunkSize(5, 8, 2, 1), chunking.ChunkSize(10, 15, 4, 3)]
+    got = chunking.split_into_sizes(df, sizes, keep=("n",))
+    assert len(calls) == 1
+    for number, size in enumerate(sizes):
+        alone = chunking.split_into_chunks(df, size=size, keep=("n",))
+        own = got.where(f"size_no = {number}").select(alone.columns)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, alone.collect()))
+    bare = chunking.ChunkSize(5, 8, 6, 1)  # merges cascade: windows are scanned
+    other = chunking.split_into_sizes(df, [bare], keep=("n",))
+    alone = chunking.split_into_chunks(df, size=bare, keep=("n",))
+    assert sorted(map(tuple, other.drop("size_no").collect())) == sorted(map(tuple, alone.collect()))
