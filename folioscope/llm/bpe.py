@@ -126,12 +126,18 @@ class RankQueue:
         return rank, bucket[0]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token.
+def byte_pairs(ranks: dict[bytes, int]) -> list[list[int | None]]:
+    """Ranks of the pairs of bytes, by first and second byte."""
+    return [[ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int | None]] | None = None) -> list[int]:
+    """Ids of one pre-token; ``pairs`` are the :func:`byte_pairs` of the ranks.
 
     Symbols are a linked list over byte positions.  The waiting pair of lowest
     rank, the leftmost of equals, is merged until no neighbouring pair has a
-    rank.  Time grows with n log n, also for very long pre-tokens.
+    rank.  Time grows with n log n, also for very long pre-tokens.  The steps of
+    ``RankQueue`` are written out here, since their calls took most of the time.
     """
     known = ranks.get(piece)
     if known is not None:
@@ -140,11 +146,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, size + 1))  # start of the next symbol
     before = list(range(-1, size - 1))
     rank_of = ranks.get
-    waiting = [rank_of(piece[i : i + 2]) for i in range(size - 1)]  # of the pair that begins here
+    # of the pair that begins here
+    if pairs is None:
+        waiting = [rank_of(piece[i : i + 2]) for i in range(size - 1)]
+    else:
+        waiting = [pairs[a][b] for a, b in zip(piece, piece[1:])]
     waiting.append(None)
+    bits, low, shift, push = BITS, LOW, GROUP_BITS, heapq.heappush
     queue = RankQueue(waiting)
-    while queue.top:
-        rank, i = queue.pop()
+    top, groups, buckets = queue.top, queue.groups, queue.buckets
+    while top:
+        group = (top & -top).bit_length() - 1
+        marked = groups[group]
+        least = marked & -marked
+        rank = group << shift | least.bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heapq.heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            if marked == least:
+                del groups[group]
+                top ^= 1 << group
+            else:
+                groups[group] = marked ^ least
         if waiting[i] != rank:
             continue
         gone = after[i]
@@ -153,19 +179,39 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         waiting[gone] = waiting[i] = None
         if end < size:
             before[end] = i
-            rank = waiting[i] = rank_of(piece[i : after[end]])
+            rank = rank_of(piece[i : after[end]])
             if rank is not None:
-                queue.push(rank, i)
+                waiting[i] = rank
+                if rank in buckets:
+                    push(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    group = rank >> shift
+                    if group in groups:
+                        groups[group] |= bits[rank & low]
+                    else:
+                        groups[group] = bits[rank & low]
+                        top |= 1 << group
         left = before[i]
         if left >= 0:
             rank = waiting[left] = rank_of(piece[left:end])
             if rank is not None:
-                queue.push(rank, left)
+                if rank in buckets:
+                    push(buckets[rank], left)
+                else:
+                    buckets[rank] = [left]
+                    group = rank >> shift
+                    if group in groups:
+                        groups[group] |= bits[rank & low]
+                    else:
+                        groups[group] = bits[rank & low]
+                        top |= 1 << group
     ids = []
     i = 0
     while i < size:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 
@@ -181,6 +227,7 @@ class Encoder(dict):
         self.cached = cached or CACHED_PIECES
         self.old: dict[str, bytes] = {}
         self.ranks = ranks
+        self.pairs = byte_pairs(ranks)
         self.split = Splitter(pattern)
 
     def __missing__(self, piece: str) -> bytes:
@@ -189,7 +236,7 @@ class Encoder(dict):
             self.clear()
         packed = self.old.get(piece)
         if packed is None:
-            packed = array("i", merge(piece.encode(), self.ranks)).tobytes()
+            packed = array("i", merge(piece.encode(), self.ranks, self.pairs)).tobytes()
         self[piece] = packed
         return packed
 
@@ -255,9 +302,11 @@ def encode(
     pattern: str,
     keep: Sequence[str],
     decoded_col: str | None = None,
+    cached: int | None = None,
 ) -> DataFrame:
     """Columns ``keep`` and ``ids_col``, the token ids of the whole text; with
     ``decoded_col`` also the bytes that the ids decode to, as a check.
+    ``cached`` bounds the pre-tokens in each half of a worker's cache.
 
     A null text counts as empty and has no ids.  The rank file has to be
     readable at this path on every executor.
@@ -265,7 +314,7 @@ def encode(
     names = [*keep, ids_col, *([decoded_col] if decoded_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(rank_file, pattern)
+        own = encoder(rank_file, pattern, cached)
         packed = own.packed
         for batch in pieces(batches):
             parts = [packed(t) if t else b"" for t in batch.column(len(keep)).to_pylist()]
@@ -297,7 +346,7 @@ def decode(df: DataFrame, ids_col: str, bytes_col: str, *, rank_file: str, keep:
     return chosen.mapInArrow(run, _schema(df, keep, [(bytes_col, "binary")]))
 
 
-def round_trip(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
+def round_trip(df: DataFrame, *, rank_file: str, pattern: str, cached: int | None = None) -> DataFrame:
     """Per document of ``doc_id, text``: token count and digests of the ids and
     of the bytes they decode to.
 
@@ -305,7 +354,7 @@ def round_trip(df: DataFrame, *, rank_file: str, pattern: str) -> DataFrame:
     worker per core.
     """
     encoded = encode(
-        df, "text", "ids", rank_file=rank_file, pattern=pattern, keep=["doc_id"], decoded_col="decoded"
+        df, "text", "ids", rank_file=rank_file, pattern=pattern, keep=["doc_id"], decoded_col="decoded", cached=cached
     )
     return encoded.select(
         "doc_id",
@@ -325,6 +374,7 @@ def op1_byte_bpe(spark, folder):
         spark.read.parquet(f"{folder}/documents.parquet"),
         rank_file=public_tokenizers.path("byte_bpe_50k.tiktoken"),
         pattern=public_tokenizers.PATTERN,
+        cached=2 * CACHED_PIECES,  # nothing else needs the worker's memory here
     )
 
 

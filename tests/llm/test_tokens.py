@@ -178,3 +178,16 @@ def test_edit_query_against_recounts(spark, data, theirs):
             text = text[:at] + e.inserted + text[min(at + e.removed, len(text)) :]
         r = found[row.doc_id]
         assert (r.n_tokens_before, r.n_tokens) == (before, len(theirs.encode_ordinary(text)))
+
+
+def test_pairs_of_bytes_by_table_give_the_same_merges():
+    ranks = {bytes([b]): b for b in range(256)}
+    for n, pair in enumerate([b"ab", b"bc", b"abc", b"aa", b"aaaa", b"ca", b"\xc3\xa9", b"a\xc3\xa9"]):
+        ranks[pair] = 256 + n
+    pairs = bpe.byte_pairs(ranks)
+    assert pairs[ord("a")][ord("b")] == 256 and pairs[ord("b")][ord("a")] is None
+    for piece in (b"abcabcaaaaaab", b"aaaaaaaaa", b"xyz", "aébcéa".encode(), b"q"):
+        ids = bpe.merge(piece, ranks, pairs)
+        assert ids == bpe.merge(piece, ranks)
+        word_of = {rank: word for word, rank in ranks.items()}
+        assert b"".join(map(word_of.__getitem__, ids)) == piece
