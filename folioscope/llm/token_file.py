@@ -16,8 +16,11 @@ bytes, lowest first.  The ranking is a table of its own beside the blocks.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +40,8 @@ MAGIC, VERSION = b"TOKB", 1
 HEAD = "<4sIIQQQ"
 BLOCK_TOKENS = 1_000_000
 CACHED_WORDS = 300_000  # in each half of a worker's cache
+WORDS_AT_ONCE = 500  # in a call of the library
+TEXT_BYTES = 8_000_000  # of which equal pieces are looked up once
 
 # Lengths of the four codes of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -97,15 +102,68 @@ def unpack_blocks(content) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 # -- tokens -------------------------------------------------------------------
 
 
+# Kinds of bytes that decide where words are cut.  A quotation mark is the ASCII
+# apostrophe, other bytes are control characters and those of other alphabets.
+SPACE, LETTER, DIGIT, MARK, QUOTE, OTHER = range(6)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[list(b" \t\n\r\x0b\x0c")] = SPACE
+KINDS[list(string.ascii_letters.encode())] = LETTER
+KINDS[list(string.digits.encode())] = DIGIT
+KINDS[list(string.punctuation.encode())] = MARK
+KINDS[ord("'")] = QUOTE
+# Whether a piece begins between a byte of one kind and the next (6 * kind + kind).
+BEGINS = np.zeros((6, 6), bool)
+BEGINS[SPACE, SPACE + 1 :] = True
+BEGINS[LETTER, [DIGIT, MARK, QUOTE]] = True
+BEGINS[DIGIT, [LETTER, DIGIT, MARK, QUOTE]] = True
+BEGINS[MARK, [LETTER, DIGIT]] = True
+BEGINS[QUOTE, DIGIT] = True
+BEGINS = BEGINS.reshape(-1)
+# One run of letters, one digit or one run of marks.
+ONE = re.compile(
+    rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+|[0-9]|[!-/:-@\[-`{-~]+"
+).fullmatch
+
+# The normaliser and pattern for which words may be cut and lower-cased.
+NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte of UTF-8 text; both bytes of U+00C0 to U+017F are
+    letters but for the two signs there and U+0130, of which lower-casing makes
+    a letter and a combining dot."""
+    kinds = KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    lead = lead[lead + 1 < len(data)]
+    first, second = data[lead], data[lead + 1]
+    no_letter = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC4) & (second == 0xB0)
+    lead = lead[~no_letter]
+    kinds[lead] = LETTER
+    kinds[lead + 1] = LETTER
+    return kinds
+
+
 class WordTokens:
-    """Packed token ids of words, by a tokenizer that never joins words.
+    """Token ids of texts, by a tokenizer that never joins words.
 
     Words are what stands between ASCII white space, which the tokenizer drops.
-    The new words of a text are encoded together, as one text, and told apart
-    by the places of their tokens.  Strings of special tokens hold no white
-    space and get their ids inside words too, as the library does by itself.
-    Recent words are kept; a full cache becomes the old one, from which words
-    that are needed again come back.
+    Where its normaliser and pattern are the ones above, words are cut further,
+    at places that no match of the pattern spans (beside ASCII marks and digits,
+    where nothing composes), and ASCII letters are lower-cased unless something
+    may compose with them: fewer pieces differ.  Texts with a string of a special
+    token keep whole words; the strings hold no white space and get their ids
+    inside words too, as the library does by itself.
+
+    Equal pieces of a batch are looked up once; the new ones are encoded together
+    by the library.  A piece that is one match ends with the only id that closes
+    a word; the others are told apart by the places of their tokens.  Recent
+    pieces are kept; a full cache becomes the old one, from which pieces that are
+    needed again come back.
     """
 
     def __init__(self, path: str):
@@ -115,34 +173,110 @@ class WordTokens:
         self.recent: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _learn(self, words: list[bytes]) -> None:
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        added = made.get("added_tokens") or []
+        self.special = [a["content"].encode().lower() for a in added]
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = made["model"].get("end_of_word_suffix")
+        self.cuts = (
+            (made.get("normalizer") or {}).get("normalizers") == NORMALIZER
+            and steps[0].get("pattern") == {"Regex": PATTERN}
+            and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+            and [(s["type"], s.get("use_regex")) for s in steps[1:]] == [("ByteLevel", False)]
+            and bool(suffix)
+            and not any(a["normalized"] or ONE(a["content"].encode()) for a in added)
+        )
+        if self.cuts:
+            vocabulary = self.tokenizer.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _pieces(self, texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The pieces of all texts, and how many there are up to the end of each."""
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        if self.cuts:
+            kinds = byte_kinds(data)
+            small = data.tobytes().lower()
+            for name in self.special:
+                at = small.find(name)
+                while at >= 0:
+                    text = np.searchsorted(bounds, at, "right") - 1
+                    whole = kinds[bounds[text] : bounds[text + 1]]
+                    whole[whole != SPACE] = OTHER
+                    at = small.find(name, max(at + 1, int(bounds[text + 1])))
+            loose = kinds == LETTER  # what may be lower-cased
+            loose[:-1] &= kinds[1:] != OTHER
+            data = np.where(loose, np.frombuffer(small, np.uint8), data)
+        else:
+            kinds = np.where(KINDS[data] == SPACE, np.uint8(SPACE), np.uint8(OTHER))
+        solid = kinds != SPACE
+        begins = np.zeros(len(data), bool)
+        begins[1:] = BEGINS[6 * kinds[:-1] + kinds[1:]]
+        firsts = bounds[:-1][bounds[:-1] < len(data)]
+        begins[firsts] = solid[firsts]
+        upto = np.searchsorted(np.flatnonzero(begins), bounds[1:])
+        body = data[solid]
+        offsets = np.append(np.flatnonzero(begins[solid]), len(body)).astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(body)]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, buffers), upto
+
+    def _placed(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
         found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         cuts = (4 * np.searchsorted(places, starts)).tolist()
         packed = np.array(found.ids, np.int32).tobytes()
-        self.recent.update((w, packed[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _closed(self, words: list[bytes]) -> list[bytes]:
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        cuts = [0, *(4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self._placed(words)
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        learnt = {}
+        single = [w for w in words if ONE(w)] if self.cuts else []
+        rest = list(set(words).difference(single))
+        for those, encode in ((single, self._closed), (rest, self._placed)):
+            for at in range(0, len(those), WORDS_AT_ONCE):
+                some = those[at : at + WORDS_AT_ONCE]
+                learnt.update(zip(some, encode(some)))
+        return learnt
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words."""
+        found = list(map(self.recent.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if missing:
+            again = {w: self.old[w] for w in missing if w in self.old}
+            again.update(self._learn([w for w in missing if w not in again]))
+            if len(self.recent) + len(again) > CACHED_WORDS:
+                self.old, self.recent = self.recent, {}
+            self.recent.update(again)
+            found = [again[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), and how many there are up to the
+        end of each."""
+        cut, upto = self._pieces(texts.cast(pa.binary()).fill_null(b""))
+        coded = cut.dictionary_encode()
+        known = self._known(coded.dictionary.to_pylist())
+        made = pa.array(known, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(made.buffers()[1], np.int32)[made.offset :][: len(made) + 1] // 4
+        return np.frombuffer(made.buffers()[2] or b"", np.int32)[ends[0] : ends[-1]], ends[upto] - ends[0]
 
     def packed(self, text: str | bytes) -> bytes:
-        # Bytes are split at ASCII white space only.
-        words = (text.encode() if isinstance(text, str) else text).split()
-        unknown = set(words).difference(self.recent)
-        if unknown:
-            if len(self.recent) + len(unknown) > CACHED_WORDS:
-                self.old, self.recent = self.recent, {}
-                unknown = set(words)
-            fresh = []
-            for word in unknown:
-                kept_ids = self.old.get(word)
-                if kept_ids is None:
-                    fresh.append(word)
-                else:
-                    self.recent[word] = kept_ids
-            if fresh:
-                self._learn(fresh)
-        return b"".join(map(self.recent.__getitem__, words))
+        raw = text.encode() if isinstance(text, str) else text
+        return self.ids(pa.array([raw], pa.binary()))[0].tobytes()
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -157,30 +291,30 @@ def tokenise(texts: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """The ids of every row of ``id, text``, numbered in each partition, and one
     row per partition with the token counts of all its rows.
 
-    Ids have two bytes each (``width``) if they all fit, else four.
+    Ids have two bytes each (``width``) if all of a batch fit, else four.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        packed = word_tokens(tokenizer_file).packed
-        end = np.array([end_id], np.int32).tobytes()
+        words = word_tokens(tokenizer_file)
         totals = np.zeros(1, np.int64)
         number = 0
-        for batch in pieces(batches):
-            widths, rows, every = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer((packed(text) if text else b"") + end, np.int32)
-                widths.append(2 if ids.max() < 1 << 16 else 4)
-                rows.append(ids.astype(f"<u{widths[-1]}").tobytes())
-                every.append(ids)
-            found = np.bincount(np.concatenate(every))
+        for batch in pieces(batches, TEXT_BYTES):
+            n = batch.num_rows
+            ids, upto = words.ids(batch.column(1))
+            ids = np.insert(ids, upto, end_id)
+            upto = upto + np.arange(1, n + 1)
+            width = 2 if ids.max(initial=0) < 1 << 16 else 4
+            offsets = (np.concatenate([[0], upto]) * width).astype(np.int32)
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))]
+            rows = pa.BinaryArray.from_buffers(pa.binary(), n, buffers)
+            found = np.bincount(ids)
             if len(found) > len(totals):
                 totals = np.concatenate([totals, np.zeros(len(found) - len(totals), np.int64)])
             totals[: len(found)] += found
-            n = batch.num_rows
             numbers = np.arange(number, number + n)
             number += n
-            yield _tokens([part] * n, numbers, batch.column(0), widths, rows, [None] * n, [None] * n)
+            yield _tokens([part] * n, numbers, batch.column(0), [width] * n, rows, [None] * n, [None] * n)
         used = np.flatnonzero(totals)
         yield _tokens([part], [None], [None], [None], [None], [used], [totals[used]])
 

@@ -1,9 +1,11 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -104,6 +106,43 @@ def test_strings_of_special_tokens():
     assert np.frombuffer(tokens, np.int32).tolist() == [320, 49407, 321]
 
 
+def test_pieces_of_words_are_shared():
+    words = token_file.WordTokens(WORDS)
+    learnt, learn = [], words._learn
+    words._learn = lambda some: learnt.extend(some) or learn(some)
+    words.packed("Haus haus, (HAUS) haus-Haus haus's Île île. 1961 1691")
+    expected = ["haus", ",", "(", ")", "-", "'s", "Île", "île", ".", "1", "6", "9"]
+    assert sorted(learnt) == sorted(w.encode() for w in expected)
+
+
+def same_ids(path, every):
+    ids, upto = token_file.WordTokens(path).ids(pa.array([t.encode() for t in every], pa.binary()))
+    whole = Tokenizer.from_file(path)
+    starts = [0, *upto[:-1]]
+    for text, a, b in zip(every, starts, upto):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_cuts_beside_every_character():
+    r = random.Random(6)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    every = [
+        f"{c},a{c}.{c}1{c}H{c}'s{c}\"'t A{c}{r.choice(marks)}{c}B {c} <{c}é{c}É{c}'{c}9'{c}{c}I{c}'LL"
+        for c in map(chr, [*range(1, 0x1000), *range(0x1E00, 0x2300), 0xAC00, 0xFB01, 0x1F600])
+    ]
+    same_ids(WORDS, ["", *every, "", "ẖ H̱ẗT̈ J̌ İ, i̇. 1̈≮≠,"])
+
+
+def test_other_tokenizers_keep_whole_words(tmp_path):
+    with open(WORDS, encoding="utf-8") as file:
+        made = json.load(file)
+    made["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    assert not token_file.WordTokens(str(path)).cuts
+    same_ids(str(path), [*texts(300, 8), *SPECIAL, "Haus, HAUS haus's"])
+
+
 def test_token_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_TOKENS", 50)
     whole = Tokenizer.from_file(WORDS)
